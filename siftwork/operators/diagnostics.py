@@ -77,7 +77,7 @@ def select_removable(diagnostics: DataFrame, contexts: DataFrame) -> DataFrame:
     covered = flagged.join(compiled, "project").groupBy("path", "line_no").agg(
         F.bool_and(F.col("flagged") == F.col("compiled")).alias("_all")
     )
-    return covered.select("path", "line_no", F.when("_all", "removable").otherwise("partial").alias("status"))
+    return covered.select("path", "line_no", F.when(F.col("_all"), "removable").otherwise("partial").alias("status"))
 
 
 def byte_lines(files: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from operator import or_
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from siftwork.functions import paths
 from siftwork.functions import text as tx
@@ -43,7 +44,7 @@ def file_inventory(files: DataFrame) -> DataFrame:
     return files.groupBy("repo").agg(F.count("*").alias("file_count"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _python_definitions(content: pd.Series) -> pd.Series:
     def names(source: str | None) -> list[str]:
         if source is None:
