@@ -52,7 +52,9 @@ def normalize(path: Column) -> Column:
         )
 
     folded = F.array_join(F.aggregate(segments(path), F.array().cast("array<string>"), fold), "/")
-    return F.when(absolute, F.concat(F.lit("/"), folded)).otherwise(folded)
+    # Most paths are folded already; one search is cheaper than taking them apart.
+    foldable = path.rlike(r"\\|//|/\z|(?:^|/)\.{1,2}(?:/|\z)")
+    return F.when(~foldable, path).when(absolute, F.concat(F.lit("/"), folded)).otherwise(folded)
 
 
 def in_any_folder(path: Column, names: Iterable[str]) -> Column:
@@ -72,6 +74,9 @@ def uri_to_path(uri: Column) -> Column:
         literal_percent = F.regexp_replace(col, "%(?![0-9A-Fa-f]{2})", "%25")
         return F.url_decode(F.replace(literal_percent, F.lit("+"), F.lit("%2B")))
 
-    is_file = uri.rlike("(?i)^file:")
     file_part = F.regexp_extract(uri, r"(?i)^file:(?://[^/?#]*)?([^?#]*)", 1)
-    return F.when(is_file, unquote(unquote(file_part))).otherwise(unquote(uri))
+    return (
+        F.when(uri.rlike("(?i)^file:"), unquote(unquote(file_part)))
+        .when(F.contains(uri, F.lit("%")), unquote(uri))
+        .otherwise(uri)
+    )

@@ -60,13 +60,12 @@ def sarif_diagnostics(sarif: DataFrame, rule: str = RULE) -> DataFrame:
         F.coalesce("at.region.endLine", start).alias("end"),
     )
     own_code = F.lower("path").endswith(".cs") & ~F.col("path").rlike(r"(?i)[\\/](?:obj|bin)[\\/]")
-    return (
-        placed.filter(own_code & (F.col("end") >= F.col("start")))
-        .select(
-            paths.normalize(F.col("path")).alias("path"), F.explode(F.sequence("start", "end")).alias("line_no"), "project", "tfm"
-        )
-        .distinct()
+    spans = placed.filter(own_code & (F.col("end") >= F.col("start"))).select(
+        paths.normalize(F.col("path")).alias("path"), "start", "end", "project", "tfm"
     )
+    # Equal spans merge before they unfold into lines.
+    lines = spans.distinct().select("path", F.explode(F.sequence("start", "end")).alias("line_no"), "project", "tfm")
+    return lines.distinct()
 
 
 def select_removable(diagnostics: DataFrame, contexts: DataFrame) -> DataFrame:

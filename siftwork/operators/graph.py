@@ -8,14 +8,17 @@ unique per node, which lets adaptive execution split a hub's rows over many task
 
 from __future__ import annotations
 
+import random
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions import paths
 from siftwork.functions import text as tx
-from siftwork.sources.checkpoints import materialize
+from siftwork.sources.checkpoints import materialize, materialize_counting
 
 
 # --- nodes and edges ------------------------------------------------------------------------
@@ -86,87 +89,81 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 # --- strong components ----------------------------------------------------------------------
 
+# Orders tried at once; more of them mean fewer rounds and wider rows.
+_ORDERS = 3
+
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(repo, name, component, size) for components of two or more nodes.
 
-    `component` is the smallest name in it. Each round gives the nodes of the remaining graph
-    a random order, finds for each node the first node that reaches it and the first one it
-    reaches, and keeps only edges whose ends agree on both: other edges cannot lie on a cycle.
-    Nodes whose two answers coincide form a component with that node. The random order makes
-    the number of rounds logarithmic in expectation, also for long chains without a cycle.
+    `component` is the smallest name in it. Each round puts the nodes of the remaining graph in
+    some random orders and finds, per order, the first node that reaches a node and the first
+    one it reaches. Where both are the same node, that node's component is known. Edges whose
+    ends disagree in any answer lie on no cycle and are dropped. Random orders make the number
+    of rounds logarithmic in expectation, also for long chains without a cycle.
     """
+    edges = materialize(edges.select("repo", "src", "dst").filter("src != dst"), "edges")
     ends = edges.select("repo", F.explode(F.array("src", "dst")).alias("name")).distinct()
-    nodes = materialize(ends.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    # Hashing one long under a fixed seed is a permutation: ids stay unique and become random.
+    nodes = materialize(ends.withColumn("id", F.xxhash64(F.monotonically_increasing_id())), "nodes")
     sources = nodes.select("repo", F.col("name").alias("src"), F.col("id").alias("u"))
     targets = nodes.select("repo", F.col("name").alias("dst"), F.col("id").alias("v"))
-    links = materialize(
-        edges.filter("src != dst").join(sources, ["repo", "src"]).join(targets, ["repo", "dst"]).select("u", "v"),
-        "links",
+    links, left = materialize_counting(
+        edges.join(sources, ["repo", "src"]).join(targets, ["repo", "dst"]).select("u", "v"), "links"
     )
-    found = []
-    while not links.isEmpty():
-        number = len(found)
-        # One long under a fixed seed: the hash is a permutation of ids, so labels stay unique.
-        ordered = links.select(
-            F.xxhash64(F.lit(number), "u").alias("u"), F.xxhash64(F.lit(number), "v").alias("v"),
-            F.col("u").alias("u_id"), F.col("v").alias("v_id"),
-        )
-        labels = _reach_labels(ordered)
-        touched = links.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        members = touched.join(
-            labels.filter("f = b").select("p", F.col("f").alias("root")), F.xxhash64(F.lit(number), "id") == F.col("p")
-        )
-        found.append(
-            materialize(members.select("id", F.lit(number).alias("round"), "root"), "members")
-        )
-        at_u = labels.select(F.col("p").alias("u"), F.col("f").alias("fu"), F.col("b").alias("bu"))
-        at_v = labels.select(F.col("p").alias("v"), F.col("f").alias("fv"), F.col("b").alias("bv"))
-        links = materialize(
-            ordered.join(at_u, "u").join(at_v, "v").filter("fu = fv and bu = bv and fu != bu")
-            .select(F.col("u_id").alias("u"), F.col("v_id").alias("v")),
-            "links",
+    rng = random.Random(0)
+    found: list[DataFrame] = []
+    while left:
+        keys = [rng.getrandbits(63) for _ in range(_ORDERS)]
+        labels = _reach_labels(links, keys)
+        f, b = [f"f{i}" for i in range(_ORDERS)], [f"b{i}" for i in range(_ORDERS)]
+        root = F.coalesce(*[F.when(F.col(x) == F.col(y), F.col(x).bitwiseXOR(F.lit(k))) for x, y, k in zip(f, b, keys)])
+        judged = labels.withColumn("root", root)
+        found.append(judged.filter("root is not null").select("id", "root"))
+        open_nodes = judged.filter("root is null")
+        at_u = open_nodes.select(F.col("id").alias("u"), *[F.col(c).alias(f"{c}_u") for c in f + b])
+        at_v = open_nodes.select(F.col("id").alias("v"), *[F.col(c).alias(f"{c}_v") for c in f + b])
+        agree = reduce(and_, [F.col(f"{c}_u") == F.col(f"{c}_v") for c in f + b])
+        links, left = materialize_counting(
+            links.join(at_u, "u").join(at_v, "v").filter(agree).select("u", "v"), "links"
         )
     if not found:
-        return nodes.select("repo", "name", F.col("name").alias("component"), F.lit(1).cast("bigint").alias("size")).limit(0)
-    members = found[0]
-    for more in found[1:]:
-        members = members.unionByName(more)
-    named = members.join(nodes, "id")
-    components = named.groupBy("round", "root").agg(F.min("name").alias("component"), F.count("*").alias("size"))
-    return named.join(components.filter("size > 1"), ["round", "root"]).select("repo", "name", "component", "size")
+        none = nodes.limit(0)
+        return none.select("repo", "name", F.col("name").alias("component"), F.lit(1).cast("bigint").alias("size"))
+    members = reduce(DataFrame.unionByName, found).join(nodes, "id")
+    components = members.groupBy("root").agg(F.min("name").alias("component"), F.count("*").alias("size"))
+    return members.join(components.filter("size > 1"), "root").select("repo", "name", "component", "size")
 
 
-def _reach_labels(links: DataFrame) -> DataFrame:
-    """(p, f, b): the least label that reaches p, and the least label p reaches.
+def _reach_labels(links: DataFrame, keys: list[int]) -> DataFrame:
+    """(id, f0.., b0..): per order the least label that reaches a node, and the least it reaches.
 
-    A node also takes the label of its label, which doubles the distance covered per step.
+    A node's label in an order is its id XOR the order's key, so a label tells its node. Each
+    step a node asks its neighbours and the nodes of all its labels, which shortens long paths,
+    for what they know; the answers combine before the shuffle.
     """
-    seen = links.select(F.explode(F.array("u", "v")).alias("p")).distinct()
-    state = seen.select("p", F.col("p").alias("f"), F.col("p").alias("b"))
-    none = F.lit(None).cast("bigint")
-    pairs = links.select("u", "v")
+    f, b = [f"f{i}" for i in range(len(keys))], [f"b{i}" for i in range(len(keys))]
+    labels = [(c, key, back) for names, back in ((f, "true"), (b, "false")) for c, key in zip(names, keys)]
+    neighbours = links.selectExpr("v AS asker", "u AS target", "true AS back").unionByName(
+        links.selectExpr("u AS asker", "v AS target", "false AS back")
+    )
+    known = ", ".join(f"struct({c} ^ {key}L AS target, {back} AS back)" for c, key, back in labels)
+    jump = f"explode(array_distinct(array({known}))) AS _a"
+    answer = [f"if({'back' if back == 'true' else 'NOT back'}, {c}, NULL) AS {c}" for c, _, back in labels]
+    nothing = [f"CAST(NULL AS BIGINT) AS {c}_old" for c in f + b]
+    before = [f"{c} AS {c}_old" for c in f + b]
+    least = [F.min(c).alias(c) for c in f + b] + [F.min(f"{c}_old").alias(f"{c}_old") for c in f + b]
+    changed = F.expr(" OR ".join(f"{c} != {c}_old" for c in f + b))
+    ends = links.selectExpr("explode(array(u, v)) AS id").distinct()
+    state = ends.selectExpr("id", *[f"id ^ {key}L AS {c}" for c, key, _ in labels])
     while True:
-        at_u = state.select(F.col("p").alias("u"), "f")
-        at_v = state.select(F.col("p").alias("v"), "b")
-        of_f = state.select(F.col("p").alias("f"), F.col("f").alias("next"))
-        of_b = state.select(F.col("p").alias("b"), F.col("b").alias("next"))
-        news = [
-            state.select("p", "f", "b", F.col("f").alias("old_f"), F.col("b").alias("old_b")),
-            pairs.join(at_u, "u").select(F.col("v").alias("p"), "f", none.alias("b"), none.alias("old_f"), none.alias("old_b")),
-            pairs.join(at_v, "v").select(F.col("u").alias("p"), none.alias("f"), "b", none.alias("old_f"), none.alias("old_b")),
-            state.join(of_f, "f").select("p", F.col("next").alias("f"), none.alias("b"), none.alias("old_f"), none.alias("old_b")),
-            state.join(of_b, "b").select("p", none.alias("f"), F.col("next").alias("b"), none.alias("old_f"), none.alias("old_b")),
-        ]
-        merged = news[0]
-        for more in news[1:]:
-            merged = merged.union(more)
-        step = merged.groupBy("p").agg(
-            F.min("f").alias("f"), F.min("b").alias("b"), F.min("old_f").alias("old_f"), F.min("old_b").alias("old_b")
-        )
-        step = materialize(step, "labels")
-        state = step.select("p", "f", "b")
-        if step.filter("f != old_f or b != old_b").isEmpty():
+        jumps = state.selectExpr("id AS asker", jump).selectExpr("asker", "_a.target", "_a.back")
+        asks = neighbours.union(jumps.filter("asker != target"))
+        answers = asks.join(state.withColumnRenamed("id", "target"), "target").selectExpr("asker AS id", *answer, *nothing)
+        step = state.selectExpr("*", *before).union(answers).groupBy("id").agg(*least)
+        state, moved = materialize_counting(step.select("id", *f, *b, changed.alias("changed")), "labels", "changed")
+        state = state.drop("changed")
+        if not moved:
             return state
 
 
@@ -179,6 +176,7 @@ def find_cycles(edges: DataFrame) -> DataFrame:
     Among equally short cycles the one met first when references are followed in file order
     wins, so paths carry the reference positions and the least position list is kept.
     """
+    edges = materialize(edges.select("repo", "src", "dst", "pos"), "edges")
     components = materialize(strong_components(edges), "components")
     loops = edges.filter("src = dst").select("repo", F.col("src").alias("name"), F.col("src").alias("component"))
     alone = loops.join(components, ["repo", "name"], "left_anti")
@@ -196,7 +194,8 @@ def find_cycles(edges: DataFrame) -> DataFrame:
     )
     visited = [frontier.select("repo", "component", "node")]
     closed = []
-    while not frontier.isEmpty():
+    left = True
+    while left:
         onward = frontier.withColumnRenamed("node", "src").join(inner, ["repo", "component", "src"])
         # A closing edge counts as the node it leaves: nodes are taken in order, edges are not.
         closes = F.col("dst") == F.col("component")
@@ -212,7 +211,7 @@ def find_cycles(edges: DataFrame) -> DataFrame:
         frontier = step.join(done.select("repo", "component"), ["repo", "component"], "left_anti")
         for earlier in visited:
             frontier = frontier.join(earlier, ["repo", "component", "node"], "left_anti")
-        frontier = materialize(frontier, "frontier")
+        frontier, left = materialize_counting(frontier, "frontier")
         visited.append(frontier.select("repo", "component", "node"))
     cycles = closed[0] if closed else frontier
     for more in closed[1:]:

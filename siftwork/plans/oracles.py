@@ -105,13 +105,17 @@ def project(k: str) -> str:
     return f"'P' || lpad(({k})::VARCHAR, 10, '0') || '.' || ['Utility','DB','Orders','WebApi'][({k}) % 4 + 1]"
 
 
+def repo(k: str) -> str:
+    return f"'repo-' || ({k} // 50)"
+
+
 LINKS = """
     SELECT s_suppkey AS k, s_suppkey + 1 AS t, 0::BIGINT AS place FROM supplier WHERE s_suppkey % 5 < 4
     UNION ALL SELECT s_suppkey, s_suppkey - 4, 1 FROM supplier WHERE s_suppkey % 10 = 4
     UNION ALL SELECT s_suppkey, s_suppkey + 7, 2 FROM supplier WHERE s_suppkey % 3 = 0
     UNION ALL SELECT s_suppkey, s_suppkey + 1, 3 FROM supplier WHERE s_suppkey % 5 < 4"""
 NUMBERED_LINKS = f"SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY place) - 1 AS pos FROM ({LINKS})"
-KNOWN_EDGES = f"SELECT k, t, min(pos) AS pos FROM ({NUMBERED_LINKS}) SEMI JOIN supplier ON t = s_suppkey GROUP BY k, t"
+KNOWN_EDGES = f"SELECT k, t, min(pos) AS pos FROM ({NUMBERED_LINKS}) SEMI JOIN supplier ON t = s_suppkey AND t // 50 = k // 50 GROUP BY k, t"
 BLOCKS = "SELECT s_suppkey AS k, s_suppkey // 10 * 10 AS first FROM supplier WHERE s_suppkey % 10 < 5"
 
 DIAGNOSTICS = """
@@ -390,25 +394,25 @@ ORACLES: dict[str, str] = {
               FROM ({TEST_TOTALS}) JOIN ({TEST_COUNTS}) USING (run_id)) USING (repo)
         LEFT JOIN (SELECT run_id AS repo, error_lines, warning_lines, {BUILD_STATUS} AS build_status
                    FROM ({build_exit('l_suppkey')}) JOIN ({build_counts('l_suppkey')}) USING (run_id)) USING (repo)""",
-    "project_names": f"SELECT 'main' AS repo, 'src/' || name || '/' || name || '.csproj' AS path, name FROM (SELECT {project('s_suppkey')} AS name FROM supplier)",
-    "project_edges": f"SELECT 'main' AS repo, {project('k')} AS src, {project('t')} AS dst, pos FROM ({KNOWN_EDGES})",
+    "project_names": f"SELECT repo, 'src/' || name || '/' || name || '.csproj' AS path, name FROM (SELECT {repo('s_suppkey')} AS repo, {project('s_suppkey')} AS name FROM supplier)",
+    "project_edges": f"SELECT {repo('k')} AS repo, {project('k')} AS src, {project('t')} AS dst, pos FROM ({KNOWN_EDGES})",
     "dangling_references": f"""
-        SELECT 'main' AS repo, {project('k')} AS src, 'src/' || ({project('t')}) || '/' || ({project('t')}) || '.csproj' AS target, pos
-        FROM ({NUMBERED_LINKS}) ANTI JOIN supplier ON t = s_suppkey""",
+        SELECT {repo('k')} AS repo, {project('k')} AS src, 'src/' || ({project('t')}) || '/' || ({project('t')}) || '.csproj' AS target, pos
+        FROM ({NUMBERED_LINKS}) ANTI JOIN supplier ON t = s_suppkey AND t // 50 = k // 50""",
     "adjacency": f"""
-        SELECT 'main' AS repo, {project('s_suppkey')} AS src, {project('t')} AS dst, count(t) OVER (PARTITION BY s_suppkey) AS targets
+        SELECT {repo('s_suppkey')} AS repo, {project('s_suppkey')} AS src, {project('t')} AS dst, count(t) OVER (PARTITION BY s_suppkey) AS targets
         FROM supplier LEFT JOIN ({KNOWN_EDGES}) ON k = s_suppkey""",
-    "strong_components": f"SELECT 'main' AS repo, {project('k')} AS name, {project('first')} AS component, 5::BIGINT AS size FROM ({BLOCKS})",
+    "strong_components": f"SELECT {repo('k')} AS repo, {project('k')} AS name, {project('first')} AS component, 5::BIGINT AS size FROM ({BLOCKS})",
     "find_cycles": f"""
-        SELECT 'main' AS repo, component, 5::BIGINT AS length, string_agg(name, ' -> ' ORDER BY k) || ' -> ' || component AS cycle
-        FROM (SELECT k, {project('k')} AS name, {project('first')} AS component FROM ({BLOCKS})) GROUP BY component""",
+        SELECT repo, component, 5::BIGINT AS length, string_agg(name, ' -> ' ORDER BY k) || ' -> ' || component AS cycle
+        FROM (SELECT k, {repo('k')} AS repo, {project('k')} AS name, {project('first')} AS component FROM ({BLOCKS})) GROUP BY repo, component""",
     "layer_of": f"""
-        SELECT 'main' AS repo, {project('s_suppkey')} AS name, CASE s_suppkey % 4 WHEN 1 THEN 1 WHEN 3 THEN 2 END::BIGINT AS layer FROM supplier""",
+        SELECT {repo('s_suppkey')} AS repo, {project('s_suppkey')} AS name, CASE s_suppkey % 4 WHEN 1 THEN 1 WHEN 3 THEN 2 END::BIGINT AS layer FROM supplier""",
     "layer_violations": f"""
-        WITH e AS (SELECT {project('k')} AS src, {project('t')} AS dst, [0, 1, 2, 3][k % 4 + 1]::BIGINT AS src_level, [0, 1, 2, 3][t % 4 + 1]::BIGINT AS dst_level
+        WITH e AS (SELECT {repo('k')} AS repo, {project('k')} AS src, {project('t')} AS dst, [0, 1, 2, 3][k % 4 + 1]::BIGINT AS src_level, [0, 1, 2, 3][t % 4 + 1]::BIGINT AS dst_level
                    FROM ({KNOWN_EDGES}))
-        SELECT 'main' AS repo, src, src_level, dst, dst_level FROM e WHERE dst_level > src_level""",
-    "unassigned_projects": f"SELECT 'main' AS repo, {project('s_suppkey')} AS name FROM supplier WHERE s_suppkey % 4 = 2",
+        SELECT repo, src, src_level, dst, dst_level FROM e WHERE dst_level > src_level""",
+    "unassigned_projects": f"SELECT {repo('s_suppkey')} AS repo, {project('s_suppkey')} AS name FROM supplier WHERE s_suppkey % 4 = 2",
     "sarif_diagnostics": f"SELECT path, line_no, project || substr(project, 2) AS project, tfm FROM ({DIAGNOSTICS})",
     "sarif_contexts": CONTEXTS,
     "select_removable": f"SELECT path, line_no, status FROM ({REMOVABLE})",

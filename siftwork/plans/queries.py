@@ -36,17 +36,17 @@ def log_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doc_line_dedupe(spark: SparkSession, folder: str) -> DataFrame:
-    split = lines.to_lines(v.table(spark, folder, "documents"), ["lang", "doc_id"], "text", "newline")
+    split = lines.to_lines(v.texts(spark, folder, "documents"), ["lang", "doc_id"], "text", "newline")
     placed = split.withColumn("line_no", F.col("doc_id") * (1 << 24) + F.col("line_no"))
     return lines.dedupe_lines(placed.filter(~tx.is_blank(F.col("line"))), ["lang"])
 
 
 def cap_text(spark: SparkSession, folder: str) -> DataFrame:
-    return v.table(spark, folder, "documents").select("doc_id", tx.cap_text(F.col("text"), 2000).alias("capped"))
+    return v.texts(spark, folder, "documents").select("doc_id", tx.cap_text(F.col("text"), 2000).alias("capped"))
 
 
 def html_to_text(spark: SparkSession, folder: str) -> DataFrame:
-    return v.table(spark, folder, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
+    return v.texts(spark, folder, "pages").select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
 
 # --- runs -----------------------------------------------------------------------------------
@@ -117,7 +117,7 @@ def todo_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scan_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    return repo.scan_secrets(v.table(spark, folder, "documents"), ["doc_id"], "text")
+    return repo.scan_secrets(v.texts(spark, folder, "documents"), ["doc_id"], "text")
 
 
 def deps_package_json(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,6 +17,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows mean work on text: a scan of fewer pieces than cores is spread out.
+
+    A table of many splits, the normal case on a cluster, is left as scanned.
+    """
+    df = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _t(*parts: Column | str) -> Column:
     """Text of literals (str) and columns, numbers in plain form."""
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -32,7 +42,7 @@ def _pick(index: Column, *options: str) -> Column:
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     line = _t(stamp, " ", F.upper("event_type"), " user=", F.col("user_id"), " props=", F.col("props"))
-    return table(spark, folder, "events").select(
+    return texts(spark, folder, "events").select(
         F.lit("app").alias("source"), F.col("event_id").alias("line_no"), line.alias("line")
     )
 
@@ -51,7 +61,7 @@ def build_lines(spark: SparkSession, folder: str, run: str) -> DataFrame:
         .otherwise(_t("compiled f", part))
     )
     place = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * (1 << 28) + part
-    return table(spark, folder, "lineitem").select(F.col(run).alias("run_id"), place.alias("line_no"), line.alias("line"))
+    return texts(spark, folder, "lineitem").select(F.col(run).alias("run_id"), place.alias("line_no"), line.alias("line"))
 
 
 def build_runs(spark: SparkSession, folder: str, run: str) -> DataFrame:
@@ -95,7 +105,7 @@ def test_runs(spark: SparkSession, folder: str) -> DataFrame:
 def test_lines(spark: SparkSession, folder: str) -> DataFrame:
     """A line per open order (a failing test) and per shipped one, then the run's own output."""
     word = F.when(F.col("o_orderstatus") == "O", "FAILED").otherwise("PASSED")
-    cases = table(spark, folder, "orders").select(
+    cases = texts(spark, folder, "orders").select(
         F.col("o_custkey").alias("run_id"),
         F.col("o_orderkey").alias("line_no"),
         _t("  t", F.col("o_orderkey"), ".py::", F.col("o_orderpriority"), " ", word).alias("line"),
@@ -114,7 +124,7 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
     )
     script = _t("export async function run", k, "() {}\n  class W", k, " {}\nconst f = () => 1;\nexport default function\n  last", k, "() {}\n")
     kind = k % 3
-    return table(spark, folder, "part").select(
+    return texts(spark, folder, "part").select(
         F.col("p_brand").alias("repo"),
         _t(_pick(k % 10, "src", "lib", "src", "node_modules", "src", "lib", "src", "lib", "src", ".cache"), "/m", k, _pick(kind, ".py", ".ts", ".md")).alias("path"),
         F.when(kind == 0, python).when(kind == 1, script).otherwise(_t("# ", F.col("p_name"), "\n")).alias("content"),
@@ -126,7 +136,7 @@ def marker_files(spark: SparkSession, folder: str) -> DataFrame:
     def marked(line: Column, i: Column) -> Column:
         return F.concat(_pick((F.col("doc_id") + i + 1) % 7, "TODO: ", "FIXME: ", "HACK ", "XXX: ", "", "", ""), line)
 
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder, "documents").select(
         F.col("source").alias("repo"),
         _t("docs/", F.col("doc_id"), ".txt").alias("path"),
         F.array_join(F.transform(F.split("text", "\n"), marked), "\n").alias("content"),
@@ -148,7 +158,7 @@ def manifests(spark: SparkSession, folder: str) -> DataFrame:
         entry(F.lit("nested/package.json"), package),
         entry(F.lit("readme.md"), F.lit("text")),
     )
-    return table(spark, folder, "part").select(_t("repo-", k).alias("repo"), F.explode(rows).alias("_f")).select("repo", "_f.*")
+    return texts(spark, folder, "part").select(_t("repo-", k).alias("repo"), F.explode(rows).alias("_f")).select("repo", "_f.*")
 
 
 def diffs(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,7 +170,7 @@ def diffs(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(_t(F.col("l_quantity").cast("bigint"), "\t", F.col("l_linenumber"), "\t", path, "\n"))
     )
     patch = _t("--- a\n+++ b\n@@ -1,3 +1,4 @@ def f", F.col("l_suppkey"), "():\n keep\n-old\n+new\n@@ -10 +11 @@\n tail\n")
-    return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("repo"), numstat.alias("numstat"), patch.alias("patch"))
+    return texts(spark, folder, "lineitem").select(F.col("l_orderkey").alias("repo"), numstat.alias("numstat"), patch.alias("patch"))
 
 
 def commits(spark: SparkSession, folder: str) -> DataFrame:
@@ -190,8 +200,8 @@ def _project(k: Column) -> Column:
 
 
 def graph_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One project per supplier k: k to k+1 within blocks of five, k to k-4 at each second block's
-    end, k to k+7 for every third k. Targets past the last supplier are dangling."""
+    """One project per supplier k, fifty to a repository: k to k+1 within blocks of five, k to k-4 at each second block's
+    end, k to k+7 for every third k. Targets outside the repository are dangling."""
     k = F.col("s_suppkey")
 
     def reference(condition: Column, target: Column, style: str) -> Column:
@@ -208,7 +218,7 @@ def graph_files(spark: SparkSession, folder: str) -> DataFrame:
     )
     name = _project(k)
     return table(spark, folder, "supplier").select(
-        F.lit("main").alias("repo"), _t("src/", name, "/", name, ".csproj").alias("path"), body.alias("content")
+        _t("repo-", F.floor(k / 50)).alias("repo"), _t("src/", name, "/", name, ".csproj").alias("path"), body.alias("content")
     )
 
 
@@ -230,7 +240,7 @@ def sarif_files(spark: SparkSession, folder: str) -> DataFrame:
         ', "locations": [{"physicalLocation": {"artifactLocation": {"uri": "', where, k,
         '.cs"}, "region": {"startLine": ', first, ', "endLine": ', first + k % 3, "}}}]}]}]}",
     )
-    return table(spark, folder, "lineitem").select(_t("P_", project, "_", tfm, "_", project, ".sarif").alias("file_name"), body.alias("body"))
+    return texts(spark, folder, "lineitem").select(_t("P_", project, "_", tfm, "_", project, ".sarif").alias("file_name"), body.alias("body"))
 
 
 def csharp_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -239,7 +249,7 @@ def csharp_files(spark: SparkSession, folder: str) -> DataFrame:
     line = lambda i: F.when((k + i) % 3 != 0, _t("using N", i, ".P", k, ";\r\n")).otherwise(_t("// note ", i, "\r\n"))
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), line), "")
     content = F.concat(F.when(k % 2 == 1, "\ufeff").otherwise(""), body)
-    return table(spark, folder, "part").select(
+    return texts(spark, folder, "part").select(
         F.lit("main").alias("repo"), _t("src/f", k, ".cs").alias("path"), F.encode(content, "UTF-8").alias("content")
     )
 
@@ -260,7 +270,7 @@ def rename_files(spark: SparkSession, folder: str) -> DataFrame:
     )
     wide = k % 25 == 3
     content = F.when(wide, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-8"))).otherwise(F.encode(text, "UTF-8"))
-    return table(spark, folder, "part").select(
+    return texts(spark, folder, "part").select(
         F.lit("main").alias("repo"), _t("src/Old/f", k, _pick(k % 5, ".cs", ".cs", ".csproj", ".json", ".cs")).alias("path"), content.alias("content")
     )
 
@@ -386,14 +396,14 @@ def env_texts(spark: SparkSession, folder: str) -> DataFrame:
     real = _t("REGION=n", F.col("c_nationkey"), "\n", F.when(k % 6 == 0, "MODE=real\n").otherwise(""))
     entry = lambda layer, text: F.struct(F.lit(layer).alias("layer"), text.alias("text"))
     layers = F.when(k % 2 == 0, F.array(entry("file", file_text), entry("real", real))).otherwise(F.array(entry("file", file_text)))
-    return table(spark, folder, "customer").select(k.alias("repo"), F.explode(layers).alias("_l")).select("repo", "_l.*")
+    return texts(spark, folder, "customer").select(k.alias("repo"), F.explode(layers).alias("_l")).select("repo", "_l.*")
 
 
 def templates(spark: SparkSession, folder: str) -> DataFrame:
     text = F.when(F.col("c_custkey") % 2 == 0, F.lit("mode: ${MODE}\nregion: ${REGION:none}\nwallet: ${EMPTY:}\n")).otherwise(
         F.lit("mode: ${MODE:x}\nregion: ${REGION}\nkind: ${MODE}\n")
     )
-    return table(spark, folder, "customer").select(F.col("c_custkey").alias("repo"), F.lit("t").alias("template"), text.alias("text"))
+    return texts(spark, folder, "customer").select(F.col("c_custkey").alias("repo"), F.lit("t").alias("template"), text.alias("text"))
 
 
 def secrets(spark: SparkSession, folder: str) -> DataFrame:
@@ -414,7 +424,7 @@ def connection_strings(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(_t(" plain", k, ":1/s "))
     )
     user = F.when(k % 5 == 0, "").otherwise(_t("user   ID=u", k, ";"))
-    return table(spark, folder, "customer").select(k.alias("repo"), _t("Data Source=", source, ";", user, "PASSWORD= p ;junk").alias("connection_string"))
+    return texts(spark, folder, "customer").select(k.alias("repo"), _t("Data Source=", source, ";", user, "PASSWORD= p ;junk").alias("connection_string"))
 
 
 def config_versions(orders: DataFrame) -> DataFrame:
@@ -429,7 +439,7 @@ def config_versions(orders: DataFrame) -> DataFrame:
 
 
 def user_texts(spark: SparkSession, folder: str) -> DataFrame:
-    turns = table(spark, folder, "conversations").filter(F.col("role") == "user")
+    turns = texts(spark, folder, "conversations").filter(F.col("role") == "user")
     return turns.select(_t(F.col("conv_id"), "-", F.col("turn")).alias("id"), "text")
 
 
@@ -441,5 +451,5 @@ def chat_replies(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind == 3, 401).when(kind == 4, 403).when(kind == 5, 500).when(kind == 6, F.lit(None)).otherwise(200).cast("int")
     )
     body = F.when(kind < 2, answer).when(kind == 2, F.concat(F.lit("no json: "), F.col("text"))).when(kind == 7, F.lit('{"choices": []}')).otherwise("")
-    turns = table(spark, folder, "conversations").filter(F.col("role") == "assistant")
+    turns = texts(spark, folder, "conversations").filter(F.col("role") == "assistant")
     return turns.select(_t(F.col("conv_id"), "-", F.col("turn")).alias("id"), status.alias("http_status"), body.alias("body"))

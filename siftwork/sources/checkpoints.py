@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 DIR_KEY = "spark.checkpoint.dir"
 _FALLBACK_KEY = "spark.siftwork.checkpoint.fallback"
@@ -41,3 +42,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     location = new_location(df.sparkSession, name)
     df.write.parquet(location)
     return df.sparkSession.read.schema(df.schema).parquet(location)
+
+
+def materialize_counting(df: DataFrame, name: str, condition: str = "true") -> tuple[DataFrame, int]:
+    """`materialize`, and the number of rows that meet `condition`, counted while writing."""
+    watch = Observation()
+    table = materialize(df.observe(watch, F.count_if(F.expr(condition)).alias("n")), name)
+    return table, watch.get["n"]
