@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import os
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions import paths
 from siftwork.functions import text as tx
+from siftwork.sources.checkpoints import materialize_counting
 
 _ROWS_PER_PARTITION_BITS = 33
 
@@ -25,6 +29,8 @@ def read_files(
 
     The first `repo_depth` folders below the root name the repository, the rest is the path.
     Extensions and folders are tested on the file listing, so bytes of other files are not read.
+    Spark's scans pass over names that begin with `_` or `.`; where those count, as `__init__.py`
+    does in a source tree, use `walk_files`.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     extensions = [e.lstrip(".") for e in exts]
@@ -39,12 +45,69 @@ def read_files(
         files = files.filter(~paths.in_any_folder(relative, excluded))
     if skip_hidden:
         files = files.filter(~paths.in_hidden_folder(relative))
+    return files.select(*_repo_and_path(root, repo_depth), "content")
+
+
+def _repo_and_path(root: str, repo_depth: int) -> tuple[Column, Column]:
     parts = F.split(_relative_to(F.col("path"), root), "/")
-    return files.select(
-        F.array_join(F.slice(parts, 1, repo_depth), "/").alias("repo") if repo_depth else F.lit("").alias("repo"),
-        F.array_join(F.slice(parts, F.lit(repo_depth + 1), F.size(parts)), "/").alias("path"),
-        "content",
-    )
+    repo = F.array_join(F.slice(parts, 1, repo_depth), "/") if repo_depth else F.lit("")
+    return repo.alias("repo"), F.array_join(F.slice(parts, F.lit(repo_depth + 1), F.size(parts)), "/").alias("path")
+
+
+def walk_files(
+    spark: SparkSession,
+    root: str,
+    exclude_dirs: Iterable[str] = (),
+    exts: Iterable[str] = (),
+    skip_hidden: bool = False,
+    repo_depth: int = 0,
+) -> DataFrame:
+    """The same table as `read_files`, with every file name included.
+
+    Folders are listed level by level, spread over the cluster, and excluded ones are not
+    entered; the contents are then read where their paths were sent. `root` is an absolute path
+    or a URI the workers can open.
+    """
+    excluded, wanted = set(exclude_dirs), tuple(e.lower() for e in exts)
+
+    def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as arrow_fs
+
+        store = arrow_fs.FileSystem.from_uri(root)[0]
+        for folder in (f for batch in batches for f in batch["folder"]):
+            rows = []
+            for info in store.get_file_info(arrow_fs.FileSelector(folder)):
+                is_folder = info.type == arrow_fs.FileType.Directory
+                linked = store.type_name == "local" and os.path.islink(info.path)
+                hidden = skip_hidden and info.base_name.startswith(".")
+                if is_folder and not (info.base_name in excluded or hidden or linked):
+                    rows.append((info.path, True))
+                elif info.type == arrow_fs.FileType.File and (not wanted or info.base_name.lower().endswith(wanted)):
+                    rows.append((info.path, False))
+            yield pd.DataFrame(rows, columns=["path", "is_folder"])
+
+    def read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as arrow_fs
+
+        store = arrow_fs.FileSystem.from_uri(root)[0]
+        for path in (p for batch in batches for p in batch["path"]):
+            with store.open_input_stream(path) as stream:
+                yield pd.DataFrame({"path": [path], "content": [stream.read()]})
+
+    from pyarrow import fs as arrow_fs
+
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level = spark.createDataFrame([(arrow_fs.FileSystem.from_uri(root)[1],)], "folder string")
+    listings, deeper = [], True
+    while deeper:
+        listing, deeper = materialize_counting(
+            level.mapInPandas(list_folders, "path string, is_folder boolean"), "listing", "is_folder"
+        )
+        listings.append(listing.filter("NOT is_folder").select("path"))
+        level = listing.filter("is_folder").select(F.col("path").alias("folder")).repartition(pieces)
+    files = reduce(DataFrame.unionByName, listings).repartition(pieces)
+    contents = files.mapInPandas(read_contents, "path string, content binary")
+    return contents.select(*_repo_and_path(root, repo_depth), "content")
 
 
 def _quoted_tail(root: str) -> str:
