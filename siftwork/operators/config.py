@@ -214,12 +214,14 @@ def resolve_connection(config: DataFrame, secrets: DataFrame) -> DataFrame:
     no connection have NULLs throughout.
     """
     known = [F.max(F.when(F.col("key") == key, F.col("value"))).alias(key) for key in CONNECTION_KEYS]
-    wide = config.groupBy("repo").agg(*known)
+    # Most repositories name no store; a key of their own keeps them from meeting in one task.
+    spread = F.coalesce(F.col(STORE_ID), F.concat(F.lit("\x00"), F.col("repo").cast("string")))
+    wide = config.groupBy("repo").agg(*known).withColumn("_store", spread)
     entries = secrets.select(
-        F.col("store_id").alias(STORE_ID), F.col("name").alias(SECRET_NAME), F.col("value").alias("_secret")
+        F.col("store_id").alias("_store"), F.col("name").alias(SECRET_NAME), F.col("value").alias("_secret")
     )
-    stores = secrets.select(F.col("store_id").alias(STORE_ID)).distinct().withColumn("_known", F.lit(True))
-    joined = wide.join(entries, [STORE_ID, SECRET_NAME], "left").join(stores, STORE_ID, "left")
+    stores = secrets.select(F.col("store_id").alias("_store")).distinct().withColumn("_known", F.lit(True))
+    joined = wide.join(entries, ["_store", SECRET_NAME], "left").join(stores, "_store", "left")
     choice = connection_choice({key: F.col(key) for key in CONNECTION_KEYS}, F.col("_secret"), F.col("_known"))
     return joined.select("repo", choice.alias("_c")).select("repo", "_c.*")
 

@@ -63,8 +63,7 @@ def sarif_diagnostics(sarif: DataFrame, rule: str = RULE) -> DataFrame:
     spans = placed.filter(own_code & (F.col("end") >= F.col("start"))).select(
         paths.normalize(F.col("path")).alias("path"), "start", "end", "project", "tfm"
     )
-    # Equal spans merge before they unfold into lines.
-    lines = spans.distinct().select("path", F.explode(F.sequence("start", "end")).alias("line_no"), "project", "tfm")
+    lines = spans.select("path", F.explode(F.sequence("start", "end")).alias("line_no"), "project", "tfm")
     return lines.distinct()
 
 
@@ -133,9 +132,8 @@ def prune_report(
     Nothing is reported when the build failed, since its diagnostics would be incomplete.
     Without any compilation there are no diagnostics, hence no rows either.
     """
-    failures = build_failed(build_lines, build_runs, rule).filter("failed").select("run_id")
+    failures = build_failed(build_lines, build_runs, rule).filter("failed")
     status = select_removable(sarif_diagnostics(sarif, rule), sarif_contexts(sarif))
     kept = keep_directive_lines(status, byte_lines(sources))
     report = kept.groupBy("path", "status").agg(F.count("*").alias("lines"))
-    gate = failures.agg((F.count("*") == 0).alias("_ok")).filter("_ok").select(F.lit(1).alias("_one"))
-    return report.withColumn("_one", F.lit(1)).join(gate, "_one", "left_semi").drop("_one")
+    return report.where(~failures.exists())

@@ -209,14 +209,11 @@ def find_cycles(edges: DataFrame) -> DataFrame:
         done = step.filter("node = component")
         closed.append(done)
         frontier = step.join(done.select("repo", "component"), ["repo", "component"], "left_anti")
-        for earlier in visited:
-            frontier = frontier.join(earlier, ["repo", "component", "node"], "left_anti")
+        seen = reduce(DataFrame.unionByName, visited)
+        frontier = frontier.join(seen, ["repo", "component", "node"], "left_anti")
         frontier, left = materialize_counting(frontier, "frontier")
         visited.append(frontier.select("repo", "component", "node"))
-    cycles = closed[0] if closed else frontier
-    for more in closed[1:]:
-        cycles = cycles.unionByName(more)
-    return cycles.select(
+    return reduce(DataFrame.unionByName, closed).select(
         "repo", "component", (F.size("path") - 1).cast("bigint").alias("length"), F.col("path").alias("cycle")
     )
 

@@ -168,7 +168,9 @@ PLACEHOLDER_VALUE = (
 
 
 def _needs(text: Column, needles: tuple[str, ...]) -> Column:
-    return reduce(or_, [F.contains(text, F.lit(n)) for n in needles])
+    """Whether the text holds a needle in any case; lowered once, not once per needle."""
+    holds = lambda lowered: reduce(or_, [F.contains(lowered, F.lit(n)) for n in needles])
+    return F.exists(F.array(F.lower(text)), holds)
 
 
 def _masked(value: Column) -> Column:
@@ -182,18 +184,17 @@ def scan_secrets(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
     dropped by plain substring search before a regex runs.
     """
     every_needle = tuple(sorted({n for needles, _ in SECRET_RULES.values() for n in needles}))
-    lines = to_lines(texts.filter(_needs(F.lower(F.col(text)), every_needle)), keep, text)
-    lowered = F.lower(F.col("line"))
+    lines = to_lines(texts.filter(_needs(F.col(text), every_needle)), keep, text)
     findings = [
         F.when(
-            _needs(lowered, needles),
+            _needs(F.col("line"), needles),
             F.struct(F.lit(rule).alias("rule"), F.regexp_extract("line", pattern, 1).alias("value")),
         )
         for rule, (needles, pattern) in SECRET_RULES.items()
     ]
     hit = F.col("_hit")
     return (
-        lines.filter(_needs(lowered, every_needle))
+        lines.filter(_needs(F.col("line"), every_needle))
         .select(*keep, "line_no", F.explode(F.array(*findings)).alias("_hit"))
         .filter(hit.isNotNull() & (hit["value"] != "") & ~hit["value"].rlike(PLACEHOLDER_VALUE))
         .select(*keep, "line_no", hit["rule"].alias("rule"), _masked(hit["value"]).alias("masked"))
@@ -299,24 +300,30 @@ def diff_files(diffs: DataFrame) -> DataFrame:
     """Changed files from numstat text: (repo, path, added, deleted); binary files count 0."""
     lines = diffs.select("repo", F.explode(tx.text_lines(F.col("numstat"), "captured")).alias("_line"))
     fields = lines.select("repo", F.split("_line", "\t").alias("_f")).filter(F.size("_f") == 3)
-    count = lambda i: F.coalesce(F.when(F.col("_f")[i].rlike("^[0-9]+$"), F.col("_f")[i].try_cast("bigint")), F.lit(0))
-    return fields.select("repo", F.col("_f")[2].alias("path"), count(0).alias("added"), count(1).alias("deleted"))
+    return fields.select(
+        "repo", F.col("_f")[2].alias("path"), _numstat_count(0).alias("added"), _numstat_count(1).alias("deleted")
+    )
+
+
+def _numstat_count(field: int) -> Column:
+    text = F.col("_f")[field]
+    return F.coalesce(F.when(text.rlike("^[0-9]+$"), text.try_cast("bigint")), F.lit(0))
 
 
 def diff_totals(diffs: DataFrame) -> DataFrame:
     """(repo, files, added, deleted, status) for every repository that has a diff row."""
-    changes = diff_files(diffs).groupBy("repo").agg(
-        F.count("*").alias("files"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted")
-    )
-    has_lines = F.max(~tx.is_blank(F.coalesce(F.col("numstat"), F.lit(""))))
-    repos = diffs.groupBy("repo").agg(has_lines.alias("_any"))
-    return (
-        repos.join(changes, "repo", "left")
-        .fillna(0, ["files", "added", "deleted"])
-        .select(
-            "repo", "files", "added", "deleted", F.when(F.col("_any"), "changed").otherwise("no changes").alias("status")
-        )
+    lines = diffs.select("repo", F.explode_outer(tx.text_lines(F.col("numstat"), "captured")).alias("_line"))
+    fields = lines.select("repo", "_line", F.split("_line", "\t").alias("_f"))
+    changed = F.size("_f") == 3
+    some = F.max(F.coalesce(~tx.is_blank(F.col("_line")), F.lit(False)))
+    totals = fields.groupBy("repo").agg(
+        F.count(F.when(changed, 1)).alias("files"),
+        F.coalesce(F.sum(F.when(changed, _numstat_count(0))), F.lit(0)).alias("added"),
+        F.coalesce(F.sum(F.when(changed, _numstat_count(1))), F.lit(0)).alias("deleted"),
+        some.alias("_any"),
     )
+    status = F.when(F.col("_any"), "changed").otherwise("no changes")
+    return totals.select("repo", "files", "added", "deleted", status.alias("status"))
 
 
 def diff_symbols(diffs: DataFrame) -> DataFrame:

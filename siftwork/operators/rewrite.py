@@ -42,17 +42,20 @@ def validate_moves(moves: DataFrame, files: DataFrame, namespaces: Mapping[str,
     def errors(rows: DataFrame, text: str, subject: str, n: Column = one) -> DataFrame:
         return rows.select("repo", F.lit(text).alias("error"), F.col(subject).alias("subject"), n.alias("n"))
 
-    missing = moves.join(present, (moves["src"] == present["path"]) & (moves["repo"] == present["repo"]), "left_anti")
+    # Files meet the (usually few) moves first, so that what is left of them is no larger.
+    sources = moves.select("repo", F.col("src").alias("path")).distinct()
+    there = present.join(sources, ["repo", "path"]).select("repo", F.col("path").alias("src")).distinct()
+    missing = moves.join(there, ["repo", "src"], "left_anti")
     folders = paths.segments(F.col("path"))
     ancestors = F.transform(
         F.sequence(F.lit(1), F.size(folders)), lambda depth: F.array_join(F.slice(folders, F.lit(1), depth), "/")
     )
     # A target may clash with a file or with a folder that files lie in.
-    taken = present.select("repo", F.explode(ancestors).alias("dst"))
+    targets = moves.select("repo", "dst").distinct()
+    taken = present.select("repo", F.explode(ancestors).alias("dst")).join(targets, ["repo", "dst"]).distinct()
     existing = moves.join(taken, ["repo", "dst"], "left_semi")
     shared = moves.groupBy("repo", "dst").agg((F.count("*") - 1).alias("n")).filter("n > 0")
-    sources = moves.select("repo", F.col("src").alias("dst")).distinct()
-    chained = moves.join(sources, ["repo", "dst"], "left_semi")
+    chained = moves.join(sources.withColumnRenamed("path", "dst"), ["repo", "dst"], "left_semi")
     found = (
         errors(missing, "source missing", "src")
         .unionByName(errors(existing, "target already exists", "dst"))

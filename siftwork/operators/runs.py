@@ -65,15 +65,27 @@ def build_top_patterns(lines: DataFrame) -> DataFrame:
     return ranked.filter(F.col("rank") <= allowed).select("run_id", "class", "rank", "n", "line")
 
 
-def last_lines(lines: DataFrame, runs: DataFrame, n: int) -> DataFrame:
-    """The last `n` lines of the given runs as one ordered array per run."""
-    wanted = lines.join(runs.select("run_id"), "run_id", "left_semi")
+def last_lines(lines: DataFrame, n: int) -> DataFrame:
+    """The last `n` lines of each run as one ordered array: (run_id, last_lines).
+
+    Every partition is cut to `n` lines per run before the shuffle; joining the lines with the
+    runs of interest instead would send all of them through it.
+    """
     newest = Window.partitionBy("run_id").orderBy(F.desc("line_no"))
-    tail = wanted.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= n)
+    tail = lines.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= n)
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     return tail.groupBy("run_id").agg(F.transform(ordered, lambda x: x["line"]).alias("last_lines"))
 
 
+def _with_last_lines(digest: DataFrame, unnamed: DataFrame) -> DataFrame:
+    """Adds `last_lines` where the status is a failure without a cause.
+
+    Such a run has none but `unnamed` lines, so the others need not be ranked.
+    """
+    joined = digest.join(last_lines(unnamed, LAST_OUTPUT_LINES), "run_id", "left")
+    return joined.withColumn("last_lines", F.when(F.col("status").startswith("non-zero"), F.col("last_lines")))
+
+
 def build_digest(lines: DataFrame, runs: DataFrame) -> DataFrame:
     """One row per run: exit code, line and pattern counts per class, status, last lines.
 
@@ -95,9 +107,7 @@ def build_digest(lines: DataFrame, runs: DataFrame) -> DataFrame:
         .when(F.col("exit_code") == 0, "build clean")
         .otherwise("non-zero exit, no recognizable error lines")
     )
-    digest = joined.withColumn("status", status)
-    unexplained = digest.filter(F.col("status").startswith("non-zero"))
-    return digest.join(last_lines(lines, unexplained, LAST_OUTPUT_LINES), "run_id", "left")
+    return _with_last_lines(joined.withColumn("status", status), lines.filter(line_class(F.col("line")) == "other"))
 
 
 def build_error_line(line: Column, rule: str) -> Column:
@@ -307,6 +317,4 @@ def test_digest(runs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
         .when(F.col("exit_code") == 0, "no failures detected")
         .otherwise("non-zero exit, no recognizable failure lines")
     )
-    digest = joined.withColumn("status", status)
-    unexplained = digest.filter(F.col("status").startswith("non-zero"))
-    return digest.join(last_lines(lines, unexplained, LAST_OUTPUT_LINES), "run_id", "left")
+    return _with_last_lines(joined.withColumn("status", status), lines.filter(~is_failure_line(F.col("line"))))

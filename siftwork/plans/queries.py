@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftwork.functions import text as tx
 from siftwork.operators import catalog, chat, config, diagnostics, graph, lines, repo, rewrite, runs
 from siftwork.plans import views as v
-from siftwork.sources.checkpoints import new_location
+from siftwork.sources.checkpoints import materialize, new_location
 from siftwork.sources.files import register_tables, run_sql
 from siftwork.streaming.config_stream import last_good_config
 
@@ -113,7 +113,9 @@ def todo_markers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def todo_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return _joined(repo.todo_summary(repo.todo_markers(v.marker_files(spark, folder))), "\n", "items")
+    # Written once, since the summary counts the markers and lists them: the texts are scanned once.
+    markers = materialize(repo.todo_markers(v.marker_files(spark, folder)), "markers")
+    return _joined(repo.todo_summary(markers), "\n", "items")
 
 
 def scan_secrets(spark: SparkSession, folder: str) -> DataFrame:
