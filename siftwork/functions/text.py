@@ -92,7 +92,10 @@ def html_to_text(html: Column, content_type: Column | None = None) -> Column:
 
     Entities stay as they are. Text of another content type passes through.
     """
-    bare = F.regexp_replace(html, r"(?isu)<script.*?</script>|<style.*?</style>|<[^>]+>", " ")
+    # What follows the last ">" holds no markup; left in, every "<" there would scan to the end.
+    tail = F.substring_index(html, ">", -1)
+    head = F.left(html, F.length(html) - F.length(tail))
+    bare = F.concat(F.regexp_replace(head, r"(?isu)<script.*?</script>|<style.*?</style>|<[^>]+>", " "), tail)
     stripped = F.transform(F.split(bare, LINE_BREAKS["captured"]), strip)
     text = F.array_join(F.filter(stripped, lambda line: line != ""), "\n")
     if content_type is None:

@@ -88,6 +88,12 @@ def test_html_to_text(column):
     assert column("<b>x</b>", tx.html_to_text(F.col("x"), F.lit("text/html; charset=utf-8"))) == "x"
 
 
+def test_html_with_loose_angle_brackets(column):
+    assert column("a < b <i>c</i> d < e", tx.html_to_text(F.col("x"))) == "a  c  d < e"
+    assert column("no markup", tx.html_to_text(F.col("x"))) == "no markup"
+    assert len(column("<" * 200000, tx.html_to_text(F.col("x")))) == 200000
+
+
 def test_bytes_as_text(column):
     assert column(b"a\xffb", tx.utf8_text(F.col("x")), "binary") == "a�b"
     assert column(b"a\xffb", tx.utf8_text_lenient(F.col("x")), "binary") == "ab"
