@@ -28,9 +28,11 @@ DIRECTIVE = f"^(?:{BYTES_BOM})?[ \\t]*(?:global[ \\t]+)?using[ \\t]+[^;{{}}()\\r
 
 def _context(file_name: Column) -> tuple[Column, Column]:
     """Project (with its hash) and target framework from `Name_framework_hash.sarif`."""
-    pattern = r"(?s)^(.*)_([^_]*)_([^_]*)\.sarif\z"
-    project = F.concat_ws("_", F.regexp_extract(file_name, pattern, 1), F.regexp_extract(file_name, pattern, 3))
-    return project.alias("project"), F.regexp_extract(file_name, pattern, 2).alias("tfm")
+    name = F.left(file_name, F.length(file_name) - len(".sarif"))
+    ending = F.substring_index(name, "_", -2)
+    project = F.left(name, F.length(name) - F.length(ending) - 1)
+    with_hash = F.concat_ws("_", project, F.substring_index(ending, "_", -1))
+    return with_hash.alias("project"), F.substring_index(ending, "_", 1).alias("tfm")
 
 
 def sarif_contexts(sarif: DataFrame) -> DataFrame:
@@ -50,15 +52,19 @@ def sarif_diagnostics(sarif: DataFrame, rule: str = RULE) -> DataFrame:
     live = results.filter(
         (F.col("result.ruleId") == rule) & (F.coalesce(F.size("result.suppressions"), F.lit(0)) <= 0)
     )
-    spots = live.select("project", "tfm", F.explode("result.locations.physicalLocation").alias("at"))
-    start = F.col("at.region.startLine")
-    placed = spots.select(
-        "project",
-        "tfm",
-        paths.uri_to_path(F.coalesce("at.artifactLocation.uri", F.lit(""))).alias("path"),
-        start.alias("start"),
-        F.coalesce("at.region.endLine", start).alias("end"),
-    )
+
+    def place(location: Column) -> Column:
+        at = location["physicalLocation"]
+        start = at["region"]["startLine"]
+        return F.struct(
+            paths.uri_to_path(F.coalesce(at["artifactLocation"]["uri"], F.lit(""))).alias("path"),
+            start.alias("start"),
+            F.coalesce(at["region"]["endLine"], start).alias("end"),
+        )
+
+    # Decoded before the explode, since a filter moved below a projection would decode again.
+    spots = live.select("project", "tfm", F.explode(F.transform("result.locations", place)).alias("_at"))
+    placed = spots.select("project", "tfm", "_at.*")
     own_code = F.lower("path").endswith(".cs") & ~F.col("path").rlike(r"(?i)[\\/](?:obj|bin)[\\/]")
     spans = placed.filter(own_code & (F.col("end") >= F.col("start"))).select(
         paths.normalize(F.col("path")).alias("path"), "start", "end", "project", "tfm"
