@@ -44,6 +44,11 @@ def file_inventory(files: DataFrame) -> DataFrame:
     return files.groupBy("repo").agg(F.count("*").alias("file_count"))
 
 
+def file_paths(files: DataFrame) -> DataFrame:
+    """(repo, path) in order."""
+    return files.select("repo", "path").orderBy("repo", "path")
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _python_definitions(content: pd.Series) -> pd.Series:
     def names(source: str | None) -> list[str]:

@@ -1,8 +1,8 @@
 """Bulk moves and namespace renames as a plan: validation, new contents, totals.
 
 Contents are BINARY and are read one character per byte, so bytes that are no text survive.
-The move table and the namespace mapping are the caller's instructions; the mapping is a dict
-(it becomes one pattern), the moves are a table of any size.
+The moves are a table of any size. The namespace mapping is a dict for all files, or a table
+(repo, namespaces MAP) with one mapping per repository; both come from map files.
 """
 
 from __future__ import annotations
@@ -24,14 +24,44 @@ NAMESPACE_EXTENSIONS = (
 FILE_ENDINGS = "csproj|sln|slnx|dll|exe|pdb|props|targets|json|xml|config|nupkg"
 NAMESPACE_KEY = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*"
 
+BAD_NAME = "not an ASCII dotted identifier"
+
 # Not bytes, so they cannot occur in text read one character per byte.
 _OPEN, _CLOSE = "\ue000", "\ue001"
 
 
+# --- map files ------------------------------------------------------------------------------
+
+_MAP_SCHEMA = "moves array<struct<`from`: string, `to`: string>>, namespaces map<string, string>, _bad string"
+
+
+def read_move_maps(maps: DataFrame) -> DataFrame:
+    """(repo, moves, namespaces, status) from (repo, body JSON); a broken map is a row, not a failure."""
+    parsed = F.from_json(tx.without_bom(F.col("body")), _MAP_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
+    read = maps.select("repo", parsed.alias("_m"))
+    whole = F.col("_m").isNotNull() & F.col("_m._bad").isNull()
+    incomplete = F.exists("_m.moves", lambda m: m["from"].isNull() | m["to"].isNull())
+    usable = whole & ~F.coalesce(incomplete, F.lit(False))
+    return read.select(
+        "repo",
+        F.when(usable, F.coalesce("_m.moves", F.array())).alias("moves"),
+        F.when(usable, F.coalesce("_m.namespaces", F.create_map().cast("map<string,string>"))).alias("namespaces"),
+        F.when(usable, "ok").otherwise("cannot read map").alias("status"),
+    )
+
+
+def map_moves(maps: DataFrame) -> DataFrame:
+    """(repo, src, dst) of the moves in read maps, paths folded."""
+    rows = maps.select("repo", F.explode("moves").alias("_m"))
+    return rows.select("repo", paths.normalize(F.col("_m.from")).alias("src"), paths.normalize(F.col("_m.to")).alias("dst"))
+
+
 # --- validation -----------------------------------------------------------------------------
 
 
-def validate_moves(moves: DataFrame, files: DataFrame, namespaces: Mapping[str, str] | None = None) -> DataFrame:
+def validate_moves(
+    moves: DataFrame, files: DataFrame, namespaces: Mapping[str, str] | DataFrame | None = None
+) -> DataFrame:
     """Everything wrong with the instructions: (repo, error, subject, n). Apply only if empty.
 
     moves are (repo, src, dst), files (repo, path).
@@ -62,9 +92,14 @@ def validate_moves(moves: DataFrame, files: DataFrame, namespaces: Mapping[str,
         .unionByName(errors(shared, "two moves share the target", "dst", F.col("n")))
         .unionByName(errors(chained, "target is also a source (chained move)", "dst"))
     )
+    if isinstance(namespaces, DataFrame):
+        entries = namespaces.select("repo", F.explode("namespaces").alias("old", "new"))
+        names = entries.select("repo", F.explode(F.array("old", "new")).alias("name"))
+        wrong = names.filter(~F.col("name").rlike(f"^(?:{NAMESPACE_KEY})\\z"))
+        return found.unionByName(errors(wrong, BAD_NAME, "name"))
     bad = [v for pair in (namespaces or {}).items() for v in pair if not re.fullmatch(NAMESPACE_KEY, v)]
     if bad:
-        rows = [(None, "not an ASCII dotted identifier", v, 1) for v in bad]
+        rows = [(None, BAD_NAME, v, 1) for v in bad]
         spark = moves.sparkSession
         found = found.unionByName(spark.createDataFrame(rows, "repo string, error string, subject string, n bigint"))
     return found
@@ -73,22 +108,29 @@ def validate_moves(moves: DataFrame, files: DataFrame, namespaces: Mapping[str,
 # --- namespaces -----------------------------------------------------------------------------
 
 
-def rename_namespaces(text: Column, namespaces: Mapping[str, str]) -> Column:
+def rename_namespaces(text: Column, namespaces: Mapping[str, str] | Column) -> Column:
     """STRUCT(text, replacements): all keys replaced at once, longest first, whole prefixes only.
 
+    `namespaces` is one mapping for all rows or a MAP column.
+
     `A.B` fits `A.B` and `A.B.C`, but not `A.BC`, `X.A.B`, a path segment, a file name or
     anything in an AssemblyName element. One pass marks the hits, the marks are then looked up,
     so a replacement is never replaced again.
     """
-    if not namespaces:
+    lead = r"((?i:<AssemblyName>[^<]*</AssemblyName>))|(?<![A-Za-z0-9_./\\])("
+    end = rf")(?![A-Za-z0-9_/\\])(?!\.(?:{FILE_ENDINGS})(?![A-Za-z0-9_]))"
+    if isinstance(namespaces, Column):
+        table = namespaces
+        longest_first = F.array_sort(F.map_keys(table), lambda a, b: F.length(b) - F.length(a))
+        keys = F.array_join(F.transform(longest_first, lambda k: F.concat(F.lit(r"\Q"), k, F.lit(r"\E"))), "|")
+        pattern, any_key = F.concat(F.lit(lead), keys, F.lit(end)), F.size(table) > 0
+    elif namespaces:
+        table = F.create_map(*[F.lit(x) for pair in namespaces.items() for x in pair])
+        keys = "|".join(re.escape(k) for k in sorted(namespaces, key=len, reverse=True))
+        pattern, any_key = F.lit(lead + keys + end), F.lit(True)
+    else:
         return F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("replacements"))
-    keys = "|".join(re.escape(k) for k in sorted(namespaces, key=len, reverse=True))
-    pattern = (
-        r"((?i:<AssemblyName>[^<]*</AssemblyName>))"
-        rf"|(?<![A-Za-z0-9_./\\])({keys})(?![A-Za-z0-9_/\\])(?!\.(?:{FILE_ENDINGS})(?![A-Za-z0-9_]))"
-    )
-    table = F.create_map(*[F.lit(x) for pair in namespaces.items() for x in pair])
-    marked = F.regexp_replace(text, pattern, f"$1{_OPEN}$2{_CLOSE}")
+    marked = F.when(any_key, F.regexp_replace(text, pattern, F.lit(f"$1{_OPEN}$2{_CLOSE}"))).otherwise(text)
 
     def resolved(piece: Column) -> Column:
         # "key CLOSE rest"; an empty key follows an untouched element.
@@ -165,7 +207,11 @@ def update_header(text: Column, old_path: Column, new_path: Column, root: str =
 
 
 def rewrite_plan(
-    files: DataFrame, moves: DataFrame, namespaces: Mapping[str, str], map_path: str | None = None, root: str = ""
+    files: DataFrame,
+    moves: DataFrame,
+    namespaces: Mapping[str, str] | DataFrame,
+    map_path: str | None = None,
+    root: str = "",
 ) -> DataFrame:
     """What a move-and-rename would do, per changed or unreadable file:
     (repo, src, dst, content BINARY, replacements, header_updated, unreadable).
@@ -181,9 +227,13 @@ def rewrite_plan(
         candidate = candidate & (path != map_path)
     moved = F.col("_to").isNotNull() & (F.col("_to") != path)
     named = files.join(targets, ["repo", "path"], "left").filter(candidate | F.col("_to").isNotNull())
+    mapping = namespaces
+    if isinstance(namespaces, DataFrame):
+        named = named.join(namespaces.select("repo", "namespaces"), "repo", "left")
+        mapping = F.col("namespaces")
     texts = named.select(
-        "repo", "path", "content", F.coalesce("_to", path).alias("dst"), moved.alias("moved"),
-        F.decode("content", "ISO-8859-1").alias("text"),
+        "repo", "path", F.coalesce("_to", path).alias("dst"), moved.alias("moved"),
+        F.decode("content", "ISO-8859-1").alias("text"), *(["namespaces"] if isinstance(namespaces, DataFrame) else []),
     )
     text = F.col("text")
     unreadable = text.rlike("^(?:\xff\xfe|\xfe\xff)") | F.contains(text, F.lit("\x00"))
@@ -196,7 +246,7 @@ def rewrite_plan(
     )
     renamed = headed.withColumn(
         "_r",
-        F.when(~F.col("unreadable"), rename_namespaces(F.col("_h.text"), namespaces)).otherwise(
+        F.when(~F.col("unreadable"), rename_namespaces(F.col("_h.text"), mapping)).otherwise(
             F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("replacements"))
         ),
     )

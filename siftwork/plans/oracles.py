@@ -140,12 +140,13 @@ MOVED_PATH = "'src/New/Sub/f' || p_partkey || ['.cs','.cs','.csproj','.json','.c
 
 def rename_text(old: str, deep: str, new: str, header_folder: str) -> str:
     """The rendered contents as bytes (hex), with the given names in the places that change."""
-    code = f"'using {old}.P' || p_partkey || E';\\r\\nnamespace {deep}.X;\\r\\n// caf' || chr(233) || E'\\r\\n'"
-    header = f"'// ' || {header_folder} || '/f' || p_partkey || E'.cs\\r\\n'"
+    crlf = "chr(13) || chr(10)"
+    code = f"'using {old}.P' || p_partkey || ';' || {crlf} || 'namespace {deep}.X;' || {crlf} || '// caf' || chr(233) || {crlf}"
+    header = f"'// ' || {header_folder} || '/f' || p_partkey || '.cs' || {crlf}"
     text = f"""CASE p_partkey % 5
         WHEN 0 THEN {header} || {code}
         WHEN 1 THEN chr(65279) || {header} || {code}
-        WHEN 2 THEN E'<RootNamespace>{old}</RootNamespace>\\n<AssemblyName>Company.Old</AssemblyName>\\n' || p_partkey
+        WHEN 2 THEN '<RootNamespace>{old}</RootNamespace>' || chr(10) || '<AssemblyName>Company.Old</AssemblyName>' || chr(10) || p_partkey
         WHEN 3 THEN 'Include="..\\Company.Old\\Company.Old.csproj" Company.OldStuff Other.Company.Old.X ' || p_partkey
         ELSE 'using {new}; using {old}; using {deep};' || p_partkey END"""
     return f"CASE WHEN p_partkey % 25 = 3 THEN 'FFFE' ELSE '' END || hex(encode({text}))"
@@ -161,7 +162,31 @@ PLAN = f"""
            {MOVED} AND p_partkey % 5 < 2 AS header_updated, p_partkey % 25 = 3 AS unreadable
     FROM part WHERE {MOVED} OR p_partkey % 25 = 3 OR {HITS} > 0"""
 
-FILE_PATH = "'src/f' || {} || '.cs'"
+# Per region: whether the part's repository renames, whether this very file is moved.
+REGION = "(p_partkey % 6)"
+RENAMES = f"{REGION} IN (0, 1, 4)"
+REGION_MOVED = f"(p_partkey = {REGION} AND {REGION} IN (0, 1, 2, 4) AND p_partkey % 5 IN (0, 1, 4))"
+REGION_HITS = f"CASE WHEN {RENAMES} THEN {HITS} ELSE 0 END"
+REGION_HEADER = f"CASE WHEN {REGION_MOVED} THEN 'src/New' ELSE 'src/Old' END"
+
+
+def region_name(new: str, old: str) -> str:
+    """A name inside a text literal: the region's new one, or the old one where nothing is renamed."""
+    return f"' || CASE WHEN {RENAMES} THEN {new} ELSE '{old}' END || '"
+
+
+REGION_TEXT = rename_text(
+    region_name(f"'Region' || {REGION} || '.Old'", "Company.Old"),
+    region_name(f"'Deep' || {REGION}", "Company.Old.Deep"),
+    region_name("'Company.Old'", "Company.New"),
+    REGION_HEADER,
+)
+REGION_PLAN = f"""
+    SELECT 'region-' || {REGION} AS repo, {RENAME_PATH} AS src,
+           CASE WHEN {REGION_MOVED} THEN 'src/New/f' || p_partkey || '.cs' ELSE {RENAME_PATH} END AS dst,
+           {REGION_TEXT} AS content, {REGION_HITS} AS replacements, {REGION_MOVED} AND p_partkey % 5 < 2 AS header_updated,
+           p_partkey % 25 = 3 AS unreadable
+    FROM part WHERE {REGION_MOVED} OR p_partkey % 25 = 3 OR {REGION_HITS} > 0"""
 FAULTY = """
     SELECT p_partkey, CASE WHEN p_partkey % 7 = 1 THEN 'src/gone' || p_partkey || '.cs' ELSE 'src/f' || p_partkey || '.cs' END AS src,
            CASE p_partkey % 7 WHEN 2 THEN 'src/f' || (p_partkey - p_partkey % 14) || '.cs' WHEN 3 THEN 'new/shared' || (p_partkey // 14) || '.cs'
@@ -333,6 +358,7 @@ ORACLES: dict[str, str] = {
         FROM ({TEST_TOTALS}) LEFT JOIN (
             SELECT run_id, count(*) AS failure_lines, count(DISTINCT pattern) AS failure_patterns FROM ({TEST_FAILURES}) GROUP BY run_id) USING (run_id)""",
     "file_inventory": f"SELECT p_brand AS repo, count(*) AS file_count FROM part WHERE {TRACKED} GROUP BY p_brand",
+    "file_paths": f"SELECT p_brand AS repo, {SOURCE_PATH} AS path FROM part WHERE {TRACKED}",
     "python_symbols": f"""
         SELECT p_brand AS repo, {SOURCE_PATH} AS path, unnest([1, 2])::BIGINT AS pos, unnest(['load_' || p_partkey, 'C' || p_partkey]) AS symbol
         FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 9 <> 0""",
@@ -444,6 +470,15 @@ ORACLES: dict[str, str] = {
                count(*) FILTER (src <> dst) AS moves, count(*) FILTER (header_updated) AS headers, count(*) FILTER (unreadable) AS unreadable
         FROM ({PLAN}) GROUP BY repo""",
     "replaced_files": f"SELECT repo, dst AS path, replacements FROM ({PLAN}) WHERE replacements > 0",
+    "read_move_maps": """
+        SELECT 'region-' || r_regionkey AS repo, CASE WHEN r_regionkey % 4 < 3 THEN 1::BIGINT END AS moves,
+               CASE WHEN r_regionkey % 4 < 2 THEN 3::BIGINT WHEN r_regionkey % 4 = 2 THEN 0::BIGINT END AS namespaces,
+               CASE WHEN r_regionkey % 4 < 3 THEN 'ok' ELSE 'cannot read map' END AS status
+        FROM region""",
+    "map_moves": """
+        SELECT 'region-' || r_regionkey AS repo, 'src/Old/f' || r_regionkey || '.cs' AS src, 'src/New/f' || r_regionkey || '.cs' AS dst
+        FROM region WHERE r_regionkey % 4 < 3""",
+    "rewrite_plan_by_map": REGION_PLAN,
     "ddl_tables": """
         SELECT 's' || s_suppkey || '.sql' AS script, 1::BIGINT AS pos, 't_' || s_suppkey AS "table", 'id, name, n_' || s_nationkey || ', PRIMARY' AS columns FROM supplier
         UNION ALL SELECT 's' || s_suppkey || '.sql', 2, 'u_' || s_suppkey, 'id' FROM supplier""",

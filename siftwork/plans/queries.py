@@ -96,6 +96,10 @@ def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
     return repo.file_inventory(repo.tracked_files(v.source_files(spark, folder)))
 
 
+def file_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return repo.file_paths(repo.tracked_files(v.source_files(spark, folder)))
+
+
 def python_symbols(spark: SparkSession, folder: str) -> DataFrame:
     return repo.python_symbols(v.source_files(spark, folder))
 
@@ -288,6 +292,23 @@ def replaced_files(spark: SparkSession, folder: str) -> DataFrame:
     return rewrite.replaced_files(_plan(spark, folder))
 
 
+def read_move_maps(spark: SparkSession, folder: str) -> DataFrame:
+    read = rewrite.read_move_maps(v.move_map_texts(spark, folder))
+    return read.select(
+        "repo", F.size("moves").cast("bigint").alias("moves"), F.size("namespaces").cast("bigint").alias("namespaces"), "status"
+    )
+
+
+def map_moves(spark: SparkSession, folder: str) -> DataFrame:
+    return rewrite.map_moves(rewrite.read_move_maps(v.move_map_texts(spark, folder)))
+
+
+def rewrite_plan_by_map(spark: SparkSession, folder: str) -> DataFrame:
+    maps = rewrite.read_move_maps(v.move_map_texts(spark, folder))
+    plan = rewrite.rewrite_plan(v.regional_rename_files(spark, folder), rewrite.map_moves(maps), maps)
+    return plan.withColumn("content", F.hex("content"))
+
+
 # --- catalogs -------------------------------------------------------------------------------
 
 
@@ -417,13 +438,14 @@ QUERIES: dict[str, Query] = {
         log_top_patterns, log_summary, doc_line_dedupe, cap_text, html_to_text,
         classify_build_lines, build_top_patterns, build_digest, build_failed,
         test_totals, test_failure_lines, test_summary_lines, test_digest,
-        file_inventory, python_symbols, js_symbols, repo_map, todo_markers, todo_summary, scan_secrets,
+        file_inventory, file_paths, python_symbols, js_symbols, repo_map, todo_markers, todo_summary, scan_secrets,
         deps_package_json, deps_requirements, deps_csproj, list_dependencies, dependency_counts,
         diff_files, diff_totals, diff_symbols, recent_commits, status_report,
         project_names, project_edges, dangling_references, adjacency, strong_components, find_cycles,
         layer_of, layer_violations, unassigned_projects,
         sarif_diagnostics, sarif_contexts, select_removable, keep_directive_lines, remove_lines, prune_report,
         validate_moves, rename_namespaces, update_header, rewrite_plan, rewrite_summary, replaced_files,
+        read_move_maps, map_moves, rewrite_plan_by_map,
         ddl_tables, list_tables, list_named_tables, table_names, describe_table, describe_tables,
         active_sessions, top_sql_by_cpu, top_sql_by_default, tablespace_usage, invalid_objects, snapshot_sql,
         env_entries, effective_config, resolve_placeholders, fill_templates, connection_inventory,

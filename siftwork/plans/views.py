@@ -282,6 +282,25 @@ def rename_moves(spark: SparkSession, folder: str) -> DataFrame:
     return moved.select(F.lit("main").alias("repo"), _t("src/Old/", name).alias("src"), _t("src/New/Sub/", name).alias("dst"))
 
 
+def move_map_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """A map file per region: renames and a move, only moves, or a broken one."""
+    k = F.col("r_regionkey")
+    move = _t('{"from": "src/./Old/f', k, '.cs", "to": "src\\\\New\\\\f', k, '.cs"}')
+    names = _t('{"Company.Old": "Region', k, '.Old", "Company.Old.Deep": "Deep', k, '", "Company.New": "Company.Old"}')
+    body = (
+        F.when(k % 4 < 2, _t('{"moves": [', move, '], "namespaces": ', names, "}"))
+        .when(k % 4 == 2, _t('{"moves": [', move, "]}"))
+        .otherwise(_t('{"moves": [{"from": "only"}]}'))
+    )
+    return table(spark, folder, "region").select(_t("region-", k).alias("repo"), body.alias("body"))
+
+
+def regional_rename_files(spark: SparkSession, folder: str) -> DataFrame:
+    """`rename_files` dealt out to the regions' repositories, and to one without a map."""
+    number = F.regexp_extract("path", "f([0-9]+)", 1).cast("bigint")
+    return rename_files(spark, folder).withColumn("repo", _t("region-", number % 6))
+
+
 def faulty_moves(spark: SparkSession, folder: str) -> DataFrame:
     """Moves by part: missing sources, taken targets, shared targets, chains."""
     k = F.col("p_partkey")
