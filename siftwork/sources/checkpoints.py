@@ -2,32 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 DIR_KEY = "spark.checkpoint.dir"
-_FALLBACK_KEY = "spark.siftwork.checkpoint.fallback"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in `spark.checkpoint.dir`.
 
-    Only a local master may run without that setting; it then gets a folder of its own. On a
-    cluster a machine-local folder would lose its tables with the machine, so that is an error.
+    A single-machine master without that setting uses a subfolder of its warehouse. On a cluster
+    the setting is required: a machine's own folder would lose its tables with the machine.
     """
     configured = spark.conf.get(DIR_KEY, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{DIR_KEY} must name a folder that every executor can reach")
-    fallback = spark.conf.get(_FALLBACK_KEY, None)
-    if not fallback:
-        fallback = tempfile.mkdtemp(prefix="siftwork-")
-        spark.conf.set(_FALLBACK_KEY, fallback)
-    return fallback
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    raise ValueError(f"{DIR_KEY} must name a folder that every executor can reach")
 
 
 def new_location(spark: SparkSession, name: str) -> str:
@@ -49,3 +44,14 @@ def materialize_counting(df: DataFrame, name: str, condition: str = "true") -> t
     watch = Observation()
     table = materialize(df.observe(watch, F.count_if(F.expr(condition)).alias("n")), name)
     return table, watch.get["n"]
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by `materialize` that no later plan reads."""
+    for table in tables:
+        spark = table.sparkSession
+        home = f"{shared_dir(spark)}/siftwork/{spark.sparkContext.applicationId}/"
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            if home.split(":", 1)[-1].lstrip("/") in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
