@@ -170,11 +170,13 @@ def _similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 def _groups(docs: DataFrame, lists: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) over the documents of `lists(token, doc, n, pos)`."""
     turn = F.pmod(F.xxhash64("doc"), F.lit(_TURN))
-    fits = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-    hub_of = lists.groupBy("token").agg(F.min(F.struct(turn.alias("t"), "doc", "n")).alias("hub"))
-    met = lists.join(hub_of, "token").withColumns({"b": F.col("hub.doc"), "hub_n": F.col("hub.n")}).filter((F.col("doc") != F.col("b")) & fits)
+    # what the pair must share; a shingle behind the first n - needed places of either is a long list for it
+    needed = F.ceil(percent * (F.col("n") + F.col("hub_n")) / (100 + percent))
+    fits = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("pos") + needed <= F.col("n")) & (F.col("hub_pos") + needed <= F.col("hub_n"))
+    hub_of = lists.groupBy("token").agg(F.min(F.struct(turn.alias("t"), "doc", "n", "pos")).alias("hub"))
+    met = lists.join(hub_of, "token").withColumns({"b": F.col("hub.doc"), "hub_n": F.col("hub.n"), "hub_pos": F.col("hub.pos")}).filter((F.col("doc") != F.col("b")) & fits)
     often = met.groupBy(F.col("doc").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    start = materialize(often.filter(400 * F.col("c") >= (100 - percent) * F.col("n")).select("a", "b"), "pairs")
+    start = materialize(often.filter(700 * F.col("c") >= (100 - percent) * F.col("n")).select("a", "b"), "pairs")
     links = _similar(start, docs, width, percent)
     discard(start)
     done = 0
