@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 
+from siftwork.llm.words import powers
+
 _BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _BUCKETS = 1024  # a string of names with more symbols is sorted by doubling ranks
 
 
@@ -85,13 +88,9 @@ def _by_doubling(t: np.ndarray) -> np.ndarray:
 
 def prefix_sums(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums from which `span` reads the hash of any stretch of `t`."""
-    n = len(t)
-    up = np.full(n, _BASE, np.uint64)
-    down = np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[:1] = down[:1] = 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((t.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(up), out=sums[1:])
-    return sums, np.multiply.accumulate(down)
+    sums = np.zeros(len(t) + 1, np.uint64)
+    np.cumsum((t.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(t)), out=sums[1:])
+    return sums, powers(_INVERSE, len(t) + 1)
 
 
 def span(sums: np.ndarray, down: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:

@@ -1,14 +1,16 @@
 """Suffix-array dedup: bytes covered by a string of `width` bytes that also starts elsewhere.
 
-Equal strings must meet in one shard before suffixes are sorted. Content decides where: every
-window of `width` bytes has an anchor, the gram of least hash in it, so equal strings share an
-anchor at the same place. Around an anchor, the bytes that its windows can reach are its context.
-
-1. Counts of (anchor, context) over all documents. Anchors seen once are done: nothing repeats there.
-2. Equal contexts repeat as a whole. Where an anchor has several contexts, one of each goes to the
-   anchor's shard; there a suffix array by induced sorting and permuted common prefixes find the
-   windows that repeat. Anchors of more contexts than a shard should hold are settled by counting
-   their windows, with partial sums, so no group has to fit into a task.
+Equal strings must meet in one shard before suffixes are sorted. Content decides where: the least
+hash of the grams in a window of `width` bytes is the same in equal windows. Consecutive windows
+with the same least gram form a run, and the bytes they cover are its context; every window is in one.
+
+1. Counts of (gram, context) over all documents. Grams seen once are done: nothing repeats there.
+2. Equal contexts repeat as a whole. Where a gram has several contexts, one of each is cut by the
+   distance of windows to their gram, so that stretches share all but a few bytes of a window or
+   are told apart. Stretches that still differ meet in a shard by their common core, where a
+   suffix array by induced sorting and permuted common prefixes find the windows that repeat.
+   Cores of more stretches than a shard should hold are settled by counting their windows, with
+   partial sums, so no group has to fit into a task.
 3. Covered stretches go back to their documents, which are cut once.
 """
 
@@ -30,13 +32,13 @@ from siftwork.sources.checkpoints import discard, materialize
 
 WIDTH = 200
 GRAM = 32
-SHARD_BYTES = 1 << 21
+STEP = 16  # windows of a context that share a core
+SHARD_BYTES = 1 << 18
 SHARD_CONTEXTS = 1 << 14
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
-    """The best of each run of `width` values, by its first place."""
+def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """The best of each run of `width` values."""
     have, out = 1, values
     while have < width:
         step = min(have, width - have)
@@ -45,77 +47,149 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return out
 
 
+def _gram_hashes(data: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sums, down = prefix_sums(data)
+    return w.mix((sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1]), sums, down
+
+
 @dataclass
-class _Anchors:
+class _Runs:
     owner: np.ndarray  # text number
     low: np.ndarray  # the context, as places in the texts' bytes
     high: np.ndarray
     gram: np.ndarray
     context: np.ndarray
-
-
-def _anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> _Anchors:
-    """The anchors of all windows that lie within one text."""
-    gram, reach = min(GRAM, width), width - min(GRAM, width)
+    again: np.ndarray  # 1 if the context holds its gram more than once, so windows may repeat inside
+
+
+def _again(hashes: np.ndarray, least: np.ndarray, inside: np.ndarray, start: np.ndarray, stop: np.ndarray, reach: int) -> np.ndarray:
+    edge = np.zeros(reach, np.uint64)
+    most = _sliding(np.concatenate((edge, np.where(inside, least, np.uint64(0)), edge)), reach + 1, np.maximum)
+    places = np.flatnonzero(most == hashes)
+    value, wanted = hashes[places], least[start]
+    at, end = np.searchsorted(places, start), np.searchsorted(places, stop + reach)
+    seen, k = np.zeros(len(start), np.int64), np.arange(len(start))
+    while len(k):
+        seen[k] += value[at[k]] == wanted[k]
+        at[k] += 1
+        k = k[(at[k] < end[k]) & (seen[k] < 2)]
+    return seen // 2
+
+
+def _runs(data: np.ndarray, offsets: np.ndarray, width: int) -> _Runs:
+    """The runs of windows that lie within one text; at most `width` windows to a run."""
+    gram = min(GRAM, width)
     if len(data) < width:
         none = np.zeros(0, np.int64)
-        return _Anchors(none, none, none, none.view(np.uint64), none.view(np.uint64))
-    sums, down = prefix_sums(data)
-    at = np.arange(len(data) - gram + 1)
-    hashes = w.mix(span(sums, down, at, at + gram))
-    least = _sliding(hashes, reach + 1, np.minimum)  # by window start
-    ends = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
-    least = np.where(np.arange(len(least)) + width <= ends, least, np.uint64(0))
-    padded = np.concatenate((np.zeros(reach, np.uint64), least, np.zeros(reach, np.uint64)))
-    place = np.flatnonzero(_sliding(padded, reach + 1, np.maximum) == hashes)
-    owner = np.searchsorted(offsets, place, "right") - 1
-    low, high = np.maximum(place - reach, offsets[owner]), np.minimum(place + width, offsets[owner + 1])
-    shape = ((high - low).astype(np.uint64) << np.uint64(32)) + (place - low).astype(np.uint64)
-    return _Anchors(owner, low, high, hashes[place], w.mix(span(sums, down, low, high) ^ w.mix(shape)))
+        return _Runs(none, none, none, none.view(np.uint64), none.view(np.uint64), none)
+    hashes, sums, down = _gram_hashes(data, gram)
+    least = _sliding(hashes, width - gram + 1, np.minimum)
+    n = len(least)
+    inside = np.zeros(n + 1, np.int32)
+    size = np.diff(offsets)
+    some = size >= width
+    np.add.at(inside, offsets[:-1][some], 1)
+    np.add.at(inside, np.minimum(offsets[1:][some] - width + 1, n), -1)
+    inside = np.cumsum(inside[:n]) > 0
+    fresh = inside.copy()
+    fresh[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
+    fresh[offsets[:-1][some]] = True
+    start = np.flatnonzero(fresh)
+    stop = np.flatnonzero(inside & ~np.concatenate((inside[1:] & ~fresh[1:], [False]))) + 1
+    pieces = -(-(stop - start) // width)
+    if len(start) and pieces.max() > 1:
+        which = np.repeat(np.arange(len(start)), pieces)
+        start = start[which] + width * (np.arange(len(which)) - (np.cumsum(pieces) - pieces)[which])
+        stop = np.minimum(stop[which], start + width)
+    high = stop + width - 1
+    content = w.mix(span(sums, down, start, high) ^ w.mix((high - start).astype(np.uint64)))
+    return _Runs(np.searchsorted(offsets, start, "right") - 1, start, high, least[start], content, _again(hashes, least, inside, start, stop, width - gram))
 
 
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
 
 
-def _repeated(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(gram, contexts) of anchors that occur more than once, and (gram, context) that occur more than once."""
+def _physical(row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number for a place of a row, other for other places."""
+    return w.mix(row.view(np.uint64)) + place.astype(np.uint64)
+
+
+def _repeated(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Grams that occur more than once; (gram, context) that do; one place of each context of a gram with several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in w.chunks(batches, "text"):
-            found = _anchors(*w.utf8(rows.column(0)), width)
-            yield pa.RecordBatch.from_arrays([_long(found.gram), _long(found.context)], ["gram", "context"])
-
-    seen = docs.select("text").mapInArrow(run, "gram long, context long")
-    each = materialize(seen.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n")), "contexts")
-    grams = each.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts")).filter("n > 1")
-    grams = materialize(grams.select("gram", "contexts"), "grams")
+            data, offsets = w.utf8(rows.column(1))
+            found = _runs(data, offsets, width)
+            row = rows.column(0).to_numpy()[found.owner]
+            yield pa.RecordBatch.from_arrays([_long(found.gram), _long(found.context), _long(_physical(row, found.low - offsets[found.owner])), pa.array(found.again, pa.int64())], ["gram", "context", "place", "again"])
+
+    seen = docs.select("row", "text").mapInArrow(run, "gram long, context long, place long, again long")
+    each = seen.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"), F.max("again").alias("again"))
+    each = materialize(each, "contexts")
+    grams = each.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts"), F.max("again").alias("again")).filter("n > 1 or again > 0")
+    grams = materialize(grams.select("gram", (F.expr("contexts > 1 or again > 0")).alias("open")), "grams")
     twins = materialize(each.filter("n > 1").select("gram", "context"), "twins")
+    heads = materialize(each.join(grams.filter("open"), "gram", "left_semi").select("gram", "context", "place"), "heads")
     discard(each)
-    return grams, twins
+    return grams.select("gram"), twins, heads
 
 
-def _places(docs: DataFrame, grams: DataFrame, width: int) -> DataFrame:
-    """Every occurrence of the anchors in `grams` (and a few others): its row, context, and the bytes if contexts differ."""
-    known = Bitmap(grams, "gram", grams.count())
-    split = grams.filter("contexts > 1")
-    unsettled = Bitmap(split, "gram", split.count())
+def _places(docs: DataFrame, grams: DataFrame, heads: DataFrame, width: int) -> DataFrame:
+    """Every run of the `grams` (and a few others): its row and context, and the bytes of the `heads`."""
+    known, open_places = Bitmap(grams, "gram", grams.count()), Bitmap(heads, "place", heads.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in w.chunks(batches, "text"):
             data, offsets = w.utf8(rows.column(2))
-            found = _anchors(data, offsets, width)
+            found = _runs(data, offsets, width)
             k = np.flatnonzero(known.holds(found.gram.view(np.int64)))
-            owner, low, high, gram = (x[k] for x in (found.owner, found.low, found.high, found.gram))
-            ship = unsettled.holds(gram.view(np.int64))
+            owner, low, high = found.owner[k], found.low[k], found.high[k]
+            place = _physical(rows.column(1).to_numpy()[owner], low - offsets[owner])
+            ship = open_places.holds(place.view(np.int64))
             whole = data.tobytes()
             bodies = [whole[a:b] if s else None for a, b, s in zip(low.tolist(), high.tolist(), ship.tolist())]
             row = pa.array(owner)
-            places = [pa.array(low - offsets[owner], pa.int64()), pa.array(high - offsets[owner], pa.int64()), pa.array(bodies, pa.binary())]
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(row), rows.column(1).take(row), _long(gram), _long(found.context[k]), *places], names)
+            spans = [pa.array(low - offsets[owner], pa.int64()), pa.array(high - offsets[owner], pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0).take(row), rows.column(1).take(row), _long(found.gram[k]), _long(found.context[k]), _long(place), *spans, pa.array(bodies, pa.binary())], names
+            )
+
+    names = ["id", "row", "gram", "context", "place", "low", "high", "body"]
+    return docs.mapInArrow(run, "id long, row long, gram long, context long, place long, low long, high long, body binary")
+
+
+def _stretches(heads: DataFrame, width: int) -> DataFrame:
+    """(gram, context, core, first, last, content): the windows of a context by their distance to its gram, STEP to a stretch."""
+    gram_size, step = min(GRAM, width), min(STEP, width)
 
-    names = ["id", "row", "gram", "context", "low", "high", "body"]
-    return docs.mapInArrow(run, "id long, row long, gram long, context long, low long, high long, body binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in w.chunks(batches, "body"):
+            data, offsets = w.utf8(rows.column(2))
+            if not len(data):
+                continue
+            hashes, sums, down = _gram_hashes(data, gram_size)
+            holder = np.repeat(np.arange(len(rows)), np.diff(offsets))[: len(hashes)]
+            hits = np.flatnonzero(hashes == rows.column(0).to_numpy().view(np.uint64)[holder])
+            n = np.diff(offsets) - width + 1
+            owner = np.repeat(np.arange(len(rows)), n)
+            window = offsets[owner] + np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+            at = hits[np.searchsorted(hits, window)]
+            part = (at - window) // step
+            head = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (at[1:] != at[:-1]) | (part[1:] != part[:-1]))))
+            tail = np.concatenate((head[1:], [len(owner)])) - 1
+            low, high = window[head], window[tail] + width
+            begin = at[head] - part[head] * step
+            core = w.mix(span(sums, down, begin, begin - step + 1 + width) ^ w.mix(part[head].astype(np.uint64)))
+            content = w.mix(span(sums, down, low, high) ^ w.mix(((high - low) * 4096 + at[head] - low).astype(np.uint64)))
+            k, base = pa.array(owner[head]), offsets[owner[head]]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0).take(k), rows.column(1).take(k), _long(core), pa.array(window[head] - base), pa.array(window[tail] - base), _long(content)],
+                ["gram", "context", "core", "first", "last", "content"],
+            )
+
+    return heads.select("gram", "context", "body").mapInArrow(run, "gram long, context long, core long, first long, last long, content long")
 
 
 def _shard_windows(bodies: list[bytes], rows: np.ndarray, lows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +212,7 @@ def _shard_windows(bodies: list[bytes], rows: np.ndarray, lows: np.ndarray, widt
     run, there = run[there >= 0], there[there >= 0]
     first, last = np.full(len(bodies), -1, np.int64), np.full(len(bodies), -1, np.int64)
     if len(there):
-        # one physical place may be in several contexts: only different places repeat each other
-        physical = w.mix(rows.view(np.uint64))[context[there]] + (lows[context[there]] + inner[there]).astype(np.uint64)
+        physical = _physical(rows[context[there]], lows[context[there]] + inner[there])
         heads = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
         differs = np.minimum.reduceat(physical, heads) != np.maximum.reduceat(physical, heads)
         hit = there[np.repeat(differs, np.diff(np.concatenate((heads, [len(run)]))))]
@@ -150,75 +223,91 @@ def _shard_windows(bodies: list[bytes], rows: np.ndarray, lows: np.ndarray, widt
     return first, last
 
 
-def _by_suffixes(contexts: DataFrame, width: int) -> DataFrame:
-    """(gram, context, first, last) of contexts with repeated windows; contexts of a gram share a suffix array."""
+def _by_suffixes(stretches: DataFrame, width: int) -> DataFrame:
+    """(gram, context, first, last) of contexts with repeated windows; stretches of a core share a suffix array."""
+
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        first, last = _shard_windows(rows.column("body").to_pylist(), rows.column("row").to_numpy(), rows.column("low").to_numpy(), width)
+        k = pa.array(last >= 0)
+        out = [rows.column(c).combine_chunks().filter(k) for c in ("gram", "context")]
+        base = rows.column("first").to_numpy()[last >= 0]
+        return pa.RecordBatch.from_arrays([*out, pa.array(first[last >= 0] + base), pa.array(last[last >= 0] + base)], ["gram", "context", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def settle(rows: pa.Table) -> pa.RecordBatch:
-            first, last = _shard_windows(rows.column("body").to_pylist(), rows.column("row").to_numpy(), rows.column("low").to_numpy(), width)
-            k = pa.array(last >= 0)
-            out = [rows.column("gram").combine_chunks().filter(k), rows.column("context").combine_chunks().filter(k)]
-            return pa.RecordBatch.from_arrays([*out, pa.array(first[last >= 0]), pa.array(last[last >= 0])], ["gram", "context", "first", "last"])
-
         for rows in w.chunks(batches, "body", SHARD_BYTES):
             held.append(rows)
             table = pa.Table.from_batches(held)
-            gram = table.column("gram").to_numpy()
-            cut = int(np.searchsorted(gram, gram[-1])) if table.nbytes > SHARD_BYTES else 0
-            if cut:  # all but the last gram, whose contexts may go on
+            core = table.column("core").to_numpy()
+            cut = int(np.flatnonzero(core == core[-1])[0]) if table.nbytes > SHARD_BYTES else 0
+            if cut:  # all but the last core, whose stretches may go on
                 yield settle(table.slice(0, cut))
                 held = table.slice(cut).combine_chunks().to_batches()
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, context long, first long, last long")
+    n = int(stretches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stretches.repartition(n, "core").sortWithinPartitions("core").mapInArrow(run, "gram long, context long, first long, last long")
 
 
-def _by_counts(contexts: DataFrame, width: int) -> DataFrame:
-    """The same for grams of any number of contexts: windows are counted by gram and hash."""
+def _by_counts(stretches: DataFrame, width: int) -> DataFrame:
+    """The same for cores of any number of stretches: windows are counted by core and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in w.chunks(batches, "body", SHARD_BYTES // 64):
-            data, offsets = w.utf8(rows.column(4))
+        for rows in w.chunks(batches, "body"):
+            data, offsets = w.utf8(rows.column(6))
             sums, down = prefix_sums(data)
             n = np.maximum(np.diff(offsets) - width + 1, 0)
             owner = np.repeat(np.arange(len(rows)), n)
             inner = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
             at = offsets[owner] + inner
-            physical = w.mix(rows.column(2).to_numpy().view(np.uint64))[owner] + (rows.column(3).to_numpy()[owner] + inner).astype(np.uint64)
+            place = _physical(rows.column(4).to_numpy()[owner], rows.column(5).to_numpy()[owner] + inner)
             take = pa.array(owner)
-            out = [rows.column(0).take(take), rows.column(1).take(take), pa.array(inner), _long(w.mix(span(sums, down, at, at + width))), _long(physical)]
-            yield pa.RecordBatch.from_arrays(out, ["gram", "context", "start", "window", "physical"])
-
-    windows = contexts.select("gram", "context", "row", "low", "body").mapInArrow(run, "gram long, context long, start long, window long, physical long")
-    twice = windows.groupBy("gram", "window").agg(F.min("physical").alias("a"), F.max("physical").alias("b")).filter("a <> b")
-    hit = windows.join(twice.select("gram", "window"), ["gram", "window"])
+            start = pa.array(rows.column(3).to_numpy()[owner] + inner)
+            out = [*[rows.column(k).take(take) for k in range(3)], start, _long(w.mix(span(sums, down, at, at + width))), _long(place)]
+            yield pa.RecordBatch.from_arrays(out, ["core", "gram", "context", "start", "window", "place"])
+
+    columns = ["core", "gram", "context", "first", "row", "low", "body"]
+    windows = stretches.select(columns).mapInArrow(run, "core long, gram long, context long, start long, window long, place long")
+    twice = windows.groupBy("core", "window").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a <> b")
+    hit = windows.join(twice.select("core", "window"), ["core", "window"])
     return hit.groupBy("gram", "context").agg(F.min("start").alias("first"), F.max("start").alias("last"))
 
 
-def _covered(docs: DataFrame, width: int, shard_contexts: int) -> DataFrame:
-    """(id, row, spans): the covered stretches of every row that has some, one for each of its repeated anchors."""
-    grams, twins = _repeated(docs, width)
-    places = materialize(_places(docs, grams, width), "places")
-    open_grams = grams.filter("contexts > 1")
-    # of each context one occurrence, with the bytes
-    one = places.filter("body is not null").groupBy("gram", "context").agg(F.min(F.struct("row", "low", "body")).alias("x"))
-    one = one.join(open_grams, "gram").select("gram", "context", "contexts", "x.row", "x.low", "x.body")
-    one = materialize(one, "heads")
-    columns = ["gram", "context", "row", "low", "body"]
-    found = _by_suffixes(one.filter(F.col("contexts") <= shard_contexts).select(columns), width)
-    large = one.filter(F.col("contexts") > shard_contexts).select(columns)
+def _settled(heads: DataFrame, width: int, shard_contexts: int) -> DataFrame:
+    """(gram, context, first, last): the first and last repeated window of each context of `heads` that has one."""
+    stretches = materialize(_stretches(heads, width), "stretches")
+    cores = stretches.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("a"), F.max("content").alias("b")).filter("n > 1")
+    cores = materialize(cores.select("core", "n", (F.col("a") == F.col("b")).alias("equal")), "cores")
+    found = stretches.join(cores.filter("equal"), "core").select("gram", "context", "first", "last")
+    open_ones = stretches.join(cores.filter("not equal"), "core").join(heads, ["gram", "context"])
+    body = F.expr(f"substring(body, int(first + 1), int(last - first + {width}))")
+    open_ones = open_ones.select("core", "n", "gram", "context", "first", "row", (F.col("low") + F.col("first")).alias("low"), body.alias("body"))
+    open_ones = materialize(open_ones, "open")
+    found = found.union(_by_suffixes(open_ones.filter(F.col("n") <= shard_contexts), width))
+    large = open_ones.filter(F.col("n") > shard_contexts)
     if not large.isEmpty():
         found = found.union(_by_counts(large, width))
-    found = materialize(found, "windows")
-    discard(one)
+    # windows of a run lie closer than their width, so what they cover is one stretch
+    out = materialize(found.groupBy("gram", "context").agg(F.min("first").alias("first"), F.max("last").alias("last")), "windows")
+    discard(stretches, open_ones)
+    return out
+
+
+def _covered(docs: DataFrame, width: int, shard_contexts: int) -> DataFrame:
+    """(id, row, spans): the covered stretches of every row of `docs(id, row, text)` that has some, at most one for each run."""
+    grams, twins, heads = _repeated(docs, width)
+    places = materialize(_places(docs, grams, heads, width), "places")
+    bodies = places.filter("body is not null").join(heads, ["gram", "context", "place"], "left_semi")
+    bodies = bodies.groupBy("gram", "context").agg(F.min(F.struct("row", "low", "body")).alias("x")).select("gram", "context", "x.row", "x.low", "x.body")
+    bodies = materialize(bodies, "bodies")
+    found = _settled(bodies, width, shard_contexts)
     part = places.join(found, ["gram", "context"]).select("id", "row", (F.col("low") + F.col("first")).alias("low"), (F.col("low") + F.col("last") + width).alias("high"))
     whole = places.join(twins, ["gram", "context"], "left_semi").select("id", "row", "low", "high")
-    # as many stretches as anchors in the text, of which the union is taken where the text is
-    return materialize(part.union(whole).groupBy("id", "row").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
+    # no more stretches than runs in the text; their union is taken where the text is
+    spans = materialize(part.union(whole).groupBy("id", "row").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
+    discard(places, bodies, found, heads)
+    return spans
 
 
 def _merged(spans: pa.ListScalar) -> np.ndarray:

@@ -27,14 +27,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_TABLES: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """base^0 .. base^(n-1); the longest table so far is kept."""
+    table = _TABLES.get(base)
+    if table is None or len(table) < n:
+        table = np.full(max(1 << 16, 1 << (max(n, 1) - 1).bit_length()), base, np.uint64)
+        table[0] = 1
+        _TABLES[base] = np.multiply.accumulate(table)
+        table = _TABLES[base]
+    return table[:n]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The rows again, in slices of about `limit` text bytes; a longer text comes alone."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
