@@ -76,12 +76,13 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) ->
 def _by_doubling(t: np.ndarray) -> np.ndarray:
     rank, h, n = np.unique(t, return_inverse=True)[1].astype(np.int64), 1, len(t)
     while True:
-        following = np.full(n, -1, np.int64)
-        following[: n - h] = rank[h:]
-        order = np.lexsort((following, rank))
-        new = np.zeros(n, np.int64)
-        new[order[1:]] = np.cumsum((rank[order[1:]] != rank[order[:-1]]) | (following[order[1:]] != following[order[:-1]]))
-        if n == 0 or new[order[-1]] == n - 1:
+        pair = rank * (n + 1)
+        pair[: n - h] += rank[h:] + 1
+        order = np.argsort(pair)
+        pair = pair[order]
+        new = np.empty(n, np.int64)
+        new[order] = np.concatenate(([0], np.cumsum(pair[1:] != pair[:-1])))
+        if new[order[-1]] == n - 1:
             return order
         rank, h = new, 2 * h
 
@@ -125,18 +126,24 @@ def suffix_array(t: np.ndarray, sigma: int | None = None) -> np.ndarray:
 
 
 def permuted_prefixes(t: np.ndarray, order: np.ndarray, most: int = 255) -> np.ndarray:
-    """For every place of `t`, how many symbols (at most `most`) its suffix shares with the one before it in `order`."""
+    """For every place of `t`, how many symbols (at most `most`) its suffix shares with the one before it in `order`.
+
+    `order` may leave out suffixes; places that it leaves out, and its first, share none.
+    """
     n = len(t)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    here = np.flatnonzero(before >= 0)
+    there, shared = before[here], np.zeros(len(here), np.int64)
     sums, down = prefix_sums(t)
-    here, there, shared = np.arange(n), np.maximum(before, 0), np.zeros(n, np.int64)
     step = 1 << (most.bit_length() - 1)
     while step:
-        a, b = here + shared, there + shared
-        room = (a + step <= n) & (b + step <= n) & (before >= 0)
-        a, b = np.minimum(a, n - step), np.minimum(b, n - step)
         if n >= step:
+            a, b = here + shared, there + shared
+            room = (a + step <= n) & (b + step <= n) & (shared + step <= most)
+            a, b = np.minimum(a, n - step), np.minimum(b, n - step)
             shared += step * (room & (span(sums, down, a, a + step) == span(sums, down, b, b + step)))
         step >>= 1
-    return shared
+    out = np.zeros(n, np.int64)
+    out[here] = shared
+    return out

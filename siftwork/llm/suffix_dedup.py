@@ -203,13 +203,12 @@ def _shard_windows(bodies: list[bytes], rows: np.ndarray, lows: np.ndarray, widt
     place = np.arange(len(text)) + context
     t[place] = text.astype(np.int64) + 2
     t[-1] = 0
-    order = suffix_array(t, 258)
-    shared = permuted_prefixes(t, order, width)
     source = np.full(len(t), -1, np.int64)
     source[place] = np.where(inner + width <= sizes[context], np.arange(len(text)), -1)
-    run = np.cumsum(shared[order] < width)
+    order = suffix_array(t, 258)
+    order = order[source[order] >= 0]  # windows; equal ones have only equal ones between them
+    run = np.cumsum(permuted_prefixes(t, order, width)[order] < width)
     there = source[order]
-    run, there = run[there >= 0], there[there >= 0]
     first, last = np.full(len(bodies), -1, np.int64), np.full(len(bodies), -1, np.int64)
     if len(there):
         physical = _physical(rows[context[there]], lows[context[there]] + inner[there])
