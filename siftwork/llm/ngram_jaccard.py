@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm import words as w
+from siftwork.llm.batches import batches_of
 from siftwork.llm.bitmap import Bitmap
 from siftwork.llm.components import connected_components
 from siftwork.sources.checkpoints import discard, materialize
@@ -55,7 +56,7 @@ def _counts(docs: DataFrame, width: int) -> DataFrame:
         for rows in w.chunks(batches, "text"):
             held.append((w.shingles(*w.utf8(rows.column(0)), width)[1] >> np.uint64(32)).astype(np.uint32))
             size += len(held[-1])
-            if size > 1 << 22:
+            if size > 1 << 21:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -143,7 +144,8 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 def _similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The rows of `pairs(a, b)` that reach the required overlap, found by binary probes."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = materialize(_sets(docs, ids, width), "sets")
+    with batches_of(docs.sparkSession, 2048):
+        sets = materialize(_sets(docs, ids, width), "sets")
     discard(ids)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +164,8 @@ def _similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
     both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    found = materialize(both.mapInArrow(probe, "a long, b long").distinct(), "links")
+    with batches_of(pairs.sparkSession, 256):
+        found = materialize(both.mapInArrow(probe, "a long, b long").distinct(), "links")
     discard(sets)
     return found
 
@@ -216,7 +219,8 @@ def jaccard_groups(docs: DataFrame, width: int = w.SHINGLE, percent: int = 75, f
     judged each by its own text. Other columns of `docs` are not read; an empty table gives none.
     """
     docs = docs.select("doc_id", "text")
-    rows = materialize(_prefixes(docs, width, percent, frequent), "prefixes")
+    with batches_of(docs.sparkSession, 2048):
+        rows = materialize(_prefixes(docs, width, percent, frequent), "prefixes")
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
     heads = rows.join(classes.select(F.col("rep").alias("doc_id"), "n", "h1", "h2"), ["doc_id", "n", "h1", "h2"], "left_semi")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm import words as w
+from siftwork.llm.batches import batches_of
 from siftwork.llm.order import with_place
 from siftwork.sources.checkpoints import materialize
 
@@ -200,4 +201,6 @@ def pack(pieces: DataFrame, most: int = 2048) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, most: int = 2048, with_ids: bool = False) -> DataFrame:
     """Every piece of `docs(doc_id, text)` with its place in a sequence; no other column is read."""
-    return pack(materialize(token_pieces(docs, tokenizer, most, with_ids=with_ids), "pieces"), most)
+    with batches_of(docs.sparkSession, 2048):
+        pieces = materialize(token_pieces(docs, tokenizer, most, with_ids=with_ids), "pieces")
+    return pack(pieces, most)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm import words as w
+from siftwork.llm.batches import batches_of
 from siftwork.llm.bitmap import Bitmap
 from siftwork.llm.induced_sort import permuted_prefixes, prefix_sums, span, suffix_array
 from siftwork.sources.checkpoints import discard, materialize
@@ -330,7 +331,8 @@ def _kept(text: bytes, spans: np.ndarray) -> bytes:
 def _with_spans(docs: DataFrame, width: int, shard_contexts: int) -> DataFrame:
     """`docs` and a column `_spans` of covered stretches (null: none)."""
     row = F.xxhash64(F.col("doc_id").cast("long"), "text")
-    covered = _covered(docs.select(F.col("doc_id").cast("long").alias("id"), row.alias("row"), "text"), width, shard_contexts)
+    with batches_of(docs.sparkSession, 2048):
+        covered = _covered(docs.select(F.col("doc_id").cast("long").alias("id"), row.alias("row"), "text"), width, shard_contexts)
     found = covered.select(F.col("id").alias("_id"), F.col("row").alias("_key"), F.col("spans").alias("_spans"))
     keyed = docs.withColumn("_row", row)
     same = (F.col("_row") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
