@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import text as tx
 
-# List lengths, segment types, system owners, metrics, megabyte.
-MAX_COLUMNS, MAX_SESSIONS, MAX_SQL = 20, 50, 5
+# Segment types, system owners, metrics, megabyte.
 TABLE_SEGMENTS = ("TABLE", "TABLE PARTITION", "TABLE SUBPARTITION")
 SYSTEM_OWNERS = ("SYS", "SYSTEM")
 SQL_METRICS = ("cpu_time", "disk_reads", "buffer_gets", "elapsed_time")
@@ -19,10 +18,11 @@ MEGABYTE = 1024 * 1024
 MICROSECONDS = 1000000
 
 
-def ddl_tables(scripts: DataFrame) -> DataFrame:
+def ddl_tables(scripts: DataFrame, limit: int | None = None) -> DataFrame:
     """CREATE TABLE statements of (script, text): (script, pos, table, columns ARRAY<STRING>).
 
-    A column is a name and a type at the start of a line, so a constraint line counts as one.
+    A column is a name and a type at the start of a line, so a constraint line counts as one; with
+    `limit` only the first columns of a table are listed.
     """
     s, w = tx.SPACE, tx.WORD
     create = (
@@ -33,11 +33,12 @@ def ddl_tables(scripts: DataFrame) -> DataFrame:
         "script", F.posexplode(F.regexp_extract_all("text", F.lit(create), F.lit(0))).alias("_pos", "_statement")
     )
     body = F.regexp_extract("_statement", create, 2)
+    columns = F.regexp_extract_all(body, F.lit(column), F.lit(1))
     return statements.select(
         "script",
         (F.col("_pos") + 1).cast("bigint").alias("pos"),
         F.regexp_extract("_statement", create, 1).alias("table"),
-        F.slice(F.regexp_extract_all(body, F.lit(column), F.lit(1)), 1, MAX_COLUMNS).alias("columns"),
+        (columns if limit is None else F.slice(columns, 1, limit)).alias("columns"),
     )
 
 
@@ -62,7 +63,7 @@ def list_tables(tables: DataFrame, segments: DataFrame, names_csv: str = "") ->
 
 
 def table_names(tables: DataFrame) -> DataFrame:
-    return tables.select("table_name").orderBy("table_name")
+    return tables.select("table_name")
 
 
 def describe_table(columns: DataFrame, table: str) -> DataFrame:
@@ -75,25 +76,27 @@ def describe_table(columns: DataFrame, table: str) -> DataFrame:
 def describe_tables(columns: DataFrame) -> DataFrame:
     """Every column of every table: (table_name, column_id, column_desc), desc as `name TYPE`."""
     desc = F.concat_ws(" ", "column_name", "data_type")
-    return columns.select("table_name", "column_id", desc.alias("column_desc")).orderBy("table_name", "column_id")
+    return columns.select("table_name", "column_id", desc.alias("column_desc"))
 
 
-def active_sessions(sessions: DataFrame, sql: DataFrame, own_audsid: int) -> DataFrame:
-    """The longest-running active sessions with their statement text.
+def active_sessions(sessions: DataFrame, sql: DataFrame, own_audsid: int, limit: int | None = None) -> DataFrame:
+    """Active sessions with their statement text, the `limit` longest-running ones if given.
 
-    A session keeps its place whatever it joins to, so the cut comes first and the join meets
-    at most fifty sessions. Statements may repeat per sql_id, hence the second cut.
+    With a limit, sessions are cut first and only their statements are read for the join. Statements
+    may repeat per sql_id, hence the second cut.
     """
     shown = ["sid", "serial", "username", "osuser", "program", "status", "wait_class", "event"]
     order = [F.desc("last_call_et"), F.col("sid"), F.col("serial")]
-    longest = (
-        sessions.filter((F.col("status") == "ACTIVE") & (F.col("audsid") != own_audsid)).orderBy(*order).limit(MAX_SESSIONS)
-    )
+    active = sessions.filter((F.col("status") == "ACTIVE") & (F.col("audsid") != own_audsid))
     texts = sql.select("sql_id", "sql_text")
-    return longest.join(texts, "sql_id", "left").orderBy(*order).limit(MAX_SESSIONS).select(*shown, "sql_text")
+    if limit is None:
+        return active.join(texts, "sql_id", "left").select(*shown, "sql_text")
+    longest = active.orderBy(*order).limit(limit)
+    texts = texts.join(longest.select("sql_id"), "sql_id", "left_semi")
+    return longest.join(texts, "sql_id", "left").orderBy(*order).limit(limit).select(*shown, "sql_text")
 
 
-def top_sql_by(sql: DataFrame, metric: str = "elapsed_time", n: int = MAX_SQL) -> DataFrame:
+def top_sql_by(sql: DataFrame, metric: str = "elapsed_time", n: int = 5) -> DataFrame:
     """The `n` most expensive statements by a metric; an unknown metric means elapsed time."""
     by = metric.lower() if metric.lower() in SQL_METRICS else "elapsed_time"
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import text as tx
 
-# The instructions of each task, the label of a draft, lengths.
+# The instructions of each task, the label of a draft.
 INSTRUCTIONS = {
     "summarize": "Summarize the following text concisely, in the same language it is written in.",
     "translate": "Translate the following text to {target}. Output only the translation.",
@@ -21,7 +21,6 @@ INSTRUCTIONS = {
     "draft": "",
 }
 DRAFT_LABEL = "[local-model draft, verify before use]\n"
-MAX_REPLY, MAX_UNEXPECTED = 3000, 500
 
 _REPLY = "struct<choices: array<struct<message: struct<content: string>>>>"
 
@@ -37,11 +36,15 @@ def chat_requests(texts: DataFrame, task: str, model: str, **details: str) -> Da
     return texts.select("id", F.to_json(body).alias("body"))
 
 
-def chat_results(responses: DataFrame, configured: Column | None = None) -> DataFrame:
+def chat_results(
+    responses: DataFrame, configured: Column | None = None, reply_limit: int | None = None, unexpected_limit: int | None = None
+) -> DataFrame:
     """(id, status, text) from (id, http_status, body).
 
-    No HTTP status means no answer came. An answer of another shape is shown cut short.
+    No HTTP status means no answer came. An answer of another shape is shown as it came. The limits,
+    if given, cut texts of either kind.
     """
+    cut = lambda text, limit: text if limit is None else tx.cap_text(text, limit)
     http = F.col("http_status")
     content = F.from_json("body", _REPLY)["choices"]
     first = F.try_element_at(content, F.lit(1))["message"]["content"]
@@ -55,8 +58,8 @@ def chat_results(responses: DataFrame, configured: Column | None = None) -> Data
         .otherwise("draft")
     )
     text = (
-        F.when(F.col("status") == "draft", tx.cap_text(F.concat(F.lit(DRAFT_LABEL), "_content"), MAX_REPLY))
-        .when(F.col("status") == "unexpected", tx.cap_text(F.col("body"), MAX_UNEXPECTED))
+        F.when(F.col("status") == "draft", cut(F.concat(F.lit(DRAFT_LABEL), "_content"), reply_limit))
+        .when(F.col("status") == "unexpected", cut(F.col("body"), unexpected_limit))
     )
     return responses.withColumn("_content", first).withColumn("status", status).select("id", "status", text.alias("text"))
 

@@ -32,17 +32,15 @@ def dedupe_lines(
     )
 
 
-def top_patterns(patterns: DataFrame, by: Sequence[str], n: int) -> DataFrame:
-    """The `n` most frequent patterns per key, ties in order of first appearance, with `rank`.
+def top_patterns(patterns: DataFrame, by: Sequence[str], n: int | None = None) -> DataFrame:
+    """The patterns per key by frequency (the top `n` if given), ties in order of first appearance, with `rank`.
 
     A rank filter lets Spark cut every partition to `n` rows per key before the shuffle.
     """
     order = Window.partitionBy(*by).orderBy(F.desc("n"), "first_no")
-    return (
-        patterns.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= n)
-        .withColumn("rank", F.col("rank").cast("bigint"))
-    )
+    ranked = patterns.withColumn("rank", F.row_number().over(order))
+    ranked = ranked if n is None else ranked.filter(F.col("rank") <= n)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def _log_patterns(lines: DataFrame) -> DataFrame:
@@ -51,8 +49,13 @@ def _log_patterns(lines: DataFrame) -> DataFrame:
 
 def log_top_patterns(lines: DataFrame, top_n: int = 25) -> DataFrame:
     """Per source the most frequent line patterns: (source, rank, n, line, pattern, first_no)."""
-    counted = dedupe_lines(_log_patterns(lines), ["source"], tx.mask_line)
-    return top_patterns(counted, ["source"], top_n).select("source", "rank", "n", "line", "pattern", "first_no")
+    # Counts and places alone stay in the hash aggregate; the lines of the few kept patterns are fetched by place.
+    counted = _log_patterns(lines).groupBy("source", tx.mask_line(F.col("line")).alias("pattern")).agg(
+        F.count("*").alias("n"), F.min("line_no").alias("first_no")
+    )
+    top = top_patterns(counted, ["source"], top_n)
+    first = lines.select("source", F.col("line_no").alias("first_no"), "line")
+    return first.join(top, ["source", "first_no"]).select("source", "rank", "n", "line", "pattern", "first_no")
 
 
 def log_summary(lines: DataFrame) -> DataFrame:

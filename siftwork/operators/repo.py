@@ -22,9 +22,8 @@ from siftwork.operators.runs import build_digest, test_digest
 
 S, W = tx.SPACE, tx.WORD
 
-# List lengths in a digest, marker words in report order, skipped file types.
-MAX_SYMBOLS, MAX_MARKERS, MAX_TOUCHED, MAX_COMMITS = 20, 20, 40, 5
-MARKER_TEXT_LENGTH = 80
+# Marker words in report order, skipped file types.
+MAX_COMMITS = 5
 MARKERS = ("FIXME", "HACK", "XXX", "TODO")
 BINARY_EXTENSIONS = (".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".zip", ".exe", ".dll", ".pyc")
 JS_EXTENSIONS = (".js", ".ts", ".jsx", ".tsx")
@@ -45,8 +44,8 @@ def file_inventory(files: DataFrame) -> DataFrame:
 
 
 def file_paths(files: DataFrame) -> DataFrame:
-    """(repo, path) in order."""
-    return files.select("repo", "path").orderBy("repo", "path")
+    """(repo, path) of every file; the caller orders them."""
+    return files.select("repo", "path")
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -85,20 +84,20 @@ def _symbol_rows(df: DataFrame) -> DataFrame:
     return rows.select("repo", "path", (F.col("_pos") + 1).cast("bigint").alias("pos"), "symbol")
 
 
-def repo_map(files: DataFrame) -> DataFrame:
-    """Every file with its first symbols: (repo, path, symbols ARRAY<STRING>)."""
+def repo_map(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Every file with its symbols, the first `limit` if given: (repo, path, symbols ARRAY<STRING>)."""
     ext = paths.extension(F.col("path"))
     # A NULL goes to the Python workers for files that are no Python, never their content.
     python = _python_definitions(F.when(ext == ".py", F.col("content")))
     symbols = F.when(ext.isin(*JS_EXTENSIONS), _js_definitions(F.col("content"))).otherwise(python)
-    return files.select("repo", "path", F.slice(symbols, 1, MAX_SYMBOLS).alias("symbols"))
+    return files.select("repo", "path", (symbols if limit is None else F.slice(symbols, 1, limit)).alias("symbols"))
 
 
 # --- markers --------------------------------------------------------------------------------
 
 
-def markers_in_lines(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """The first marker of each line: (keep..., line_no, marker, text)."""
+def markers_in_lines(lines: DataFrame, keep: list[str], length: int | None = None) -> DataFrame:
+    """The first marker of each line: (keep..., line_no, marker, text), text cut to `length` if given."""
     word = f"{tx.WORD_START}(TODO|FIXME|HACK|XXX){tx.WORD_END}[:{tx.SPACE_SET}]?([^\\n]*)"
     hit = F.regexp_extract("line", word, 0)
     text = tx.strip(F.regexp_extract("_hit", word, 2))
@@ -110,41 +109,34 @@ def markers_in_lines(lines: DataFrame, keep: list[str]) -> DataFrame:
             *keep,
             "line_no",
             F.regexp_extract("_hit", word, 1).alias("marker"),
-            F.substring(text, 1, MARKER_TEXT_LENGTH).alias("text"),
+            (text if length is None else F.substring(text, 1, length)).alias("text"),
         )
     )
 
 
-def todo_markers(files: DataFrame) -> DataFrame:
+def todo_markers(files: DataFrame, length: int | None = None) -> DataFrame:
     """TODO, FIXME, HACK and XXX notes of text files: (repo, path, line_no, marker, text)."""
     is_text = ~F.lower(paths.extension(F.col("path"))).isin(*BINARY_EXTENSIONS)
     inside = ~paths.in_any_folder(F.col("path"), paths.SOURCE_TREE_EXCLUDES)
     marked = reduce(or_, [F.contains("content", F.lit(m)) for m in MARKERS])
     lines = to_lines(files.filter(is_text & inside & marked), ["repo", "path"], "content")
-    return markers_in_lines(lines, ["repo", "path"])
+    return markers_in_lines(lines, ["repo", "path"], length)
 
 
-def todo_summary(markers: DataFrame) -> DataFrame:
-    """Per repository and marker: count, share of the total, and the first items in file order.
+def todo_summary(markers: DataFrame, limit: int | None = None) -> DataFrame:
+    """Items with the counts of their repository and marker, one row each.
 
-    (repo, rank, marker, marker_count, repo_count, items ARRAY<STRING>)
+    (repo, rank, marker, marker_count, repo_count, path, line_no, text); with `limit` only the first
+    items of each marker in file order.
     """
     counts = markers.groupBy("repo", "marker").agg(F.count("*").alias("marker_count"))
     totals = counts.groupBy("repo").agg(F.sum("marker_count").alias("repo_count"))
-    order = Window.partitionBy("repo", "marker").orderBy("path", "line_no")
-    first = markers.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= MAX_MARKERS)
-    item = F.concat(F.col("path"), F.lit(":"), F.col("line_no"), F.lit(" "), F.col("text"))
-    items = first.groupBy("repo", "marker").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rank", item.alias("item")))), lambda x: x["item"]).alias(
-            "items"
-        )
-    )
     rank = F.array_position(F.array(*[F.lit(m) for m in MARKERS]), F.col("marker"))
-    return (
-        counts.join(items, ["repo", "marker"])
-        .join(totals, "repo")
-        .select("repo", rank.alias("rank"), "marker", "marker_count", "repo_count", "items")
-    )
+    if limit is not None:
+        order = Window.partitionBy("repo", "marker").orderBy("path", "line_no")
+        markers = markers.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= limit)
+    joined = markers.join(counts, ["repo", "marker"]).join(totals, "repo")
+    return joined.select("repo", rank.alias("rank"), "marker", "marker_count", "repo_count", "path", "line_no", "text")
 
 
 # --- likely secrets -------------------------------------------------------------------------
@@ -179,31 +171,43 @@ def _needs(text: Column, needles: tuple[str, ...]) -> Column:
     return F.exists(F.array(F.lower(text)), holds)
 
 
-def _masked(value: Column) -> Column:
-    return F.concat(F.substring(value, 1, 4), F.lit("***"), F.length(value).cast("string"))
+# How much of a value is the public mark of its kind; passwords have none.
+PUBLIC_PREFIX = {"aws_access_key": 4, "github_token": 4, "google_api_key": 4, "slack_token": 4, "stripe_key": 8, "private_key": 10, "jwt": 3}
+SHORTEST_SHOWN = 12
+
+
+def _masked(value: Column, shown: int) -> Column:
+    lead = F.when(F.length(value) >= SHORTEST_SHOWN, F.substring(value, 1, shown)).otherwise("")
+    return F.concat(lead, F.lit("***"), F.length(value).cast("string"))
 
 
 def scan_secrets(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """Likely secrets, value masked: (keep..., line_no, rule, masked).
+    """Likely secrets, value masked: (keep..., line_no, rule, nth, masked).
 
-    At most one finding per rule and line. Texts and lines without any rule's needle are
-    dropped by plain substring search before a regex runs.
+    `nth` is the match's place among the rule's matches in the line, from 1. Placeholders count as
+    matches but are no findings. Texts and lines without any rule's needle are dropped by plain
+    substring search before a regex runs.
     """
     every_needle = tuple(sorted({n for needles, _ in SECRET_RULES.values() for n in needles}))
     lines = to_lines(texts.filter(_needs(F.col(text), every_needle)), keep, text)
-    findings = [
-        F.when(
-            _needs(F.col("line"), needles),
-            F.struct(F.lit(rule).alias("rule"), F.regexp_extract("line", pattern, 1).alias("value")),
+
+    def found(rule: str, needles: tuple[str, ...], pattern: str) -> Column:
+        matches = F.regexp_extract_all("line", F.lit(pattern), F.lit(1))
+        rows = F.transform(
+            matches,
+            lambda v, k: F.struct(
+                F.lit(rule).alias("rule"), (k + 1).cast("bigint").alias("nth"), v.alias("value"), _masked(v, PUBLIC_PREFIX.get(rule, 0)).alias("masked")
+            ),
         )
-        for rule, (needles, pattern) in SECRET_RULES.items()
-    ]
+        return F.when(_needs(F.col("line"), needles), rows)
+
+    findings = F.array_compact(F.array(*[found(rule, *spec) for rule, spec in SECRET_RULES.items()]))
     hit = F.col("_hit")
     return (
         lines.filter(_needs(F.col("line"), every_needle))
-        .select(*keep, "line_no", F.explode(F.array(*findings)).alias("_hit"))
-        .filter(hit.isNotNull() & (hit["value"] != "") & ~hit["value"].rlike(PLACEHOLDER_VALUE))
-        .select(*keep, "line_no", hit["rule"].alias("rule"), _masked(hit["value"]).alias("masked"))
+        .select(*keep, "line_no", F.explode(F.flatten(findings)).alias("_hit"))
+        .filter((hit["value"] != "") & ~hit["value"].rlike(PLACEHOLDER_VALUE))
+        .select(*keep, "line_no", hit["rule"].alias("rule"), hit["nth"].alias("nth"), hit["masked"].alias("masked"))
     )
 
 
@@ -218,17 +222,24 @@ def _dependency(section: Column, name: Column, version: Column) -> Column:
 
 def package_json_dependencies(content: Column) -> Column:
     """Array of (section, name, version); NULL when the text is no usable JSON object."""
-    schema = "dependencies map<string,string>, devDependencies map<string,string>, _bad string"
-    parsed = F.from_json(content, schema, {"columnNameOfCorruptRecord": "_bad"})
+    # As the only element of an array, so that text behind the object is noticed.
+    schema = "array<struct<dependencies: map<string,string>, devDependencies: map<string,string>>>"
+    parsed = F.from_json(F.concat(F.lit("["), content, F.lit("]")), schema)
+    keys = F.try_element_at(F.from_json(F.concat(F.lit("["), content, F.lit("]")), "array<map<string,string>>"), F.lit(1))
+    first = F.try_element_at(parsed, F.lit(1))
+    # a section that is there must be a map of texts
+    unread = [F.coalesce(F.array_contains(F.map_keys(keys), n), F.lit(False)) & first[n].isNull() for n in ("dependencies", "devDependencies")]
 
     def section(root: Column, name: str) -> Column:
         entries = F.coalesce(F.map_entries(root[name]), F.array().cast("array<struct<key string, value string>>"))
-        return F.transform(entries, lambda e: _dependency(F.lit(name), e["key"], e["value"]))
+        # a repeated key holds its last value
+        last = F.filter(entries, lambda e, k: ~F.exists(F.slice(entries, k + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+        return F.transform(last, lambda e: _dependency(F.lit(name), e["key"], e["value"]))
 
     return tx.bind(
-        parsed,
+        F.when((F.size(parsed) == 1) & keys.isNotNull() & ~reduce(or_, unread), first),
         lambda root: F.when(
-            root.isNotNull() & root["_bad"].isNull(),
+            root.isNotNull(),
             F.concat(section(root, "dependencies"), section(root, "devDependencies")),
         ),
     ).cast(_DEPENDENCIES)
@@ -332,14 +343,15 @@ def diff_totals(diffs: DataFrame) -> DataFrame:
     return totals.select("repo", "files", "added", "deleted", status.alias("status"))
 
 
-def diff_symbols(diffs: DataFrame) -> DataFrame:
-    """The first distinct hunk contexts of each repository, sorted: (repo, rank, symbol)."""
+def diff_symbols(diffs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct hunk contexts of each repository, sorted, the first `limit` if given: (repo, rank, symbol)."""
     d = tx.DIGIT
     hunk = f"(?md)^@@ -{d}+(?:,{d}+)? \\+{d}+(?:,{d}+)? @@{S}*(.*)$"
     found = diffs.select("repo", F.explode(F.regexp_extract_all("patch", F.lit(hunk), F.lit(1))).alias("_s"))
     symbols = found.select("repo", tx.strip(F.col("_s")).alias("symbol")).filter(F.col("symbol") != "").distinct()
     order = Window.partitionBy("repo").orderBy("symbol")
-    ranked = symbols.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MAX_TOUCHED)
+    ranked = symbols.withColumn("rank", F.row_number().over(order))
+    ranked = ranked if limit is None else ranked.filter(F.col("rank") <= limit)
     return ranked.select("repo", F.col("rank").cast("bigint").alias("rank"), "symbol")
 
 
@@ -373,7 +385,8 @@ def status_report(
     totals = diff_totals(diffs).withColumnsRenamed(
         {"files": "changed_files", "added": "lines_added", "deleted": "lines_deleted", "status": "diff_status"}
     )
-    report = file_inventory(files).join(newest, "repo", "left").join(totals, "repo", "left")
+    known = files.select("repo").union(commits.select("repo")).union(diffs.select("repo")).distinct()
+    report = known.join(file_inventory(files), "repo", "left").fillna(0, ["file_count"]).join(newest, "repo", "left").join(totals, "repo", "left")
     if test_runs is not None:
         tests = test_digest(test_runs).select(
             F.col("run_id").alias("repo"), "passed", "failed", "skipped", F.col("status").alias("test_status")

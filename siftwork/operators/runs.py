@@ -6,6 +6,7 @@ spread over many partitions; nothing here gathers a whole run in one task.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 from operator import or_
 
@@ -17,10 +18,6 @@ from siftwork.operators.lines import dedupe_lines, to_lines, top_patterns
 
 D, W, S = tx.DIGIT, tx.WORD, tx.SPACE
 
-# Lists and their lengths in a digest.
-TOP_ERRORS, TOP_WARNINGS, TOP_FAILURES = 30, 15, 30
-LAST_SUMMARY_LINES, LAST_OUTPUT_LINES = 5, 20
-
 # The words and phrases test runners use.
 FAILURE_WORDS = ("failed", "fail:", "error", "traceback", "\u2717", "\u2718")
 SUMMARY_LINE = (
@@ -58,11 +55,10 @@ def build_patterns(lines: DataFrame) -> DataFrame:
     return dedupe_lines(marked.withColumn("line", tx.strip(F.col("line"))), ["run_id", "class"])
 
 
-def build_top_patterns(lines: DataFrame) -> DataFrame:
-    """The top errors and warnings of each run: (run_id, class, rank, n, line)."""
-    ranked = top_patterns(build_patterns(lines), ["run_id", "class"], max(TOP_ERRORS, TOP_WARNINGS))
-    allowed = F.when(F.col("class") == "error", TOP_ERRORS).otherwise(TOP_WARNINGS)
-    return ranked.filter(F.col("rank") <= allowed).select("run_id", "class", "rank", "n", "line")
+def build_top_patterns(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """Errors and warnings of each run by frequency, the top `limit` of each if given: (run_id, class, rank, n, line)."""
+    ranked = top_patterns(build_patterns(lines), ["run_id", "class"], limit)
+    return ranked.select("run_id", "class", "rank", "n", "line")
 
 
 def last_lines(lines: DataFrame, n: int) -> DataFrame:
@@ -77,16 +73,17 @@ def last_lines(lines: DataFrame, n: int) -> DataFrame:
     return tail.groupBy("run_id").agg(F.transform(ordered, lambda x: x["line"]).alias("last_lines"))
 
 
-def _with_last_lines(digest: DataFrame, unnamed: DataFrame) -> DataFrame:
-    """Adds `last_lines` where the status is a failure without a cause.
+def _with_last_lines(digest: DataFrame, unnamed: DataFrame, last: int) -> DataFrame:
+    """Adds the `last` last lines where the status is a failure without a cause.
 
-    Such a run has none but `unnamed` lines, so the others need not be ranked.
+    Such a run has none but `unnamed` lines of failed runs, so the others are not ranked.
     """
-    joined = digest.join(last_lines(unnamed, LAST_OUTPUT_LINES), "run_id", "left")
+    failed = digest.filter(F.col("exit_code") != 0).select("run_id")
+    joined = digest.join(last_lines(unnamed.join(failed, "run_id", "left_semi"), last), "run_id", "left")
     return joined.withColumn("last_lines", F.when(F.col("status").startswith("non-zero"), F.col("last_lines")))
 
 
-def build_digest(lines: DataFrame, runs: DataFrame) -> DataFrame:
+def build_digest(lines: DataFrame, runs: DataFrame, last: int = 20) -> DataFrame:
     """One row per run: exit code, line and pattern counts per class, status, last lines.
 
     `last_lines` is filled only where a failed run shows no error or warning line.
@@ -107,7 +104,7 @@ def build_digest(lines: DataFrame, runs: DataFrame) -> DataFrame:
         .when(F.col("exit_code") == 0, "build clean")
         .otherwise("non-zero exit, no recognizable error lines")
     )
-    return _with_last_lines(joined.withColumn("status", status), lines.filter(line_class(F.col("line")) == "other"))
+    return _with_last_lines(joined.withColumn("status", status), lines.filter(line_class(F.col("line")) == "other"), last)
 
 
 def build_error_line(line: Column, rule: str) -> Column:
@@ -140,25 +137,36 @@ def failure_patterns(lines: DataFrame) -> DataFrame:
     return dedupe_lines(failing.withColumn("line", tx.strip(F.col("line"))), ["run_id"])
 
 
-def test_failure_lines(lines: DataFrame) -> DataFrame:
-    """The top failure patterns of each run: (run_id, rank, n, line)."""
-    return top_patterns(failure_patterns(lines), ["run_id"], TOP_FAILURES).select("run_id", "rank", "n", "line")
+def test_failure_lines(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """Failure patterns of each run by frequency, the top `limit` if given: (run_id, rank, n, line)."""
+    return top_patterns(failure_patterns(lines), ["run_id"], limit).select("run_id", "rank", "n", "line")
 
 
-def test_summary_lines(lines: DataFrame) -> DataFrame:
-    """The last summary lines of each run, in output order: (run_id, line_no, line)."""
+def test_summary_lines(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """The summary lines of each run, the last `limit` if given: (run_id, line_no, line)."""
+    if limit is None:
+        return lines.filter(is_summary_line(F.col("line"))).select("run_id", "line_no", "line")
     newest = Window.partitionBy("run_id").orderBy(F.desc("line_no"))
     found = lines.filter(is_summary_line(F.col("line")))
     ranked = found.withColumn("_rank", F.row_number().over(newest))
-    return ranked.filter(F.col("_rank") <= LAST_SUMMARY_LINES).select("run_id", "line_no", "line")
+    return ranked.filter(F.col("_rank") <= limit).select("run_id", "line_no", "line")
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+_DIGITS = "".join(chr(c) for c in range(128, 0x20000) if unicodedata.category(chr(c)) == "Nd")
+_VALUES = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
+
+
+def _whole(digits: Column) -> Column:
+    """Digits of any script as a number; NULL where it does not fit."""
+    return F.translate(digits, _DIGITS, _VALUES).try_cast("bigint")
+
+
 def _numbers(hit: Column, pattern: str, names: list[str]) -> dict[str, Column]:
-    return {n: F.regexp_extract(hit, pattern, i + 1).cast("bigint") for i, n in enumerate(names)}
+    return {n: _whole(F.regexp_extract(hit, pattern, i + 1)) for i, n in enumerate(names)}
 
 
 def _totals(passed: Column, failed: Column, skipped: Column, total: Column | None, source: Column) -> Column:
@@ -175,7 +183,7 @@ def _from_words(words: Column, source: str) -> Column:
 
     def of(*names: str) -> Column:
         hits = F.filter(pairs, lambda p: F.lower(p["word"]).isin(*names))
-        return F.aggregate(hits, F.lit(0).cast("bigint"), lambda acc, p: acc + p["count"].cast("bigint"))
+        return F.aggregate(hits, F.lit(0).cast("bigint"), lambda acc, p: acc + _whole(p["count"]))
 
     passed, failed = of("passed", "xpassed"), of("failed", "error", "errors")
     skipped = of("skipped", "xfailed", "todo")
@@ -219,7 +227,7 @@ def _vstest_assemblies(output: Column) -> Column:
 
     def sums(hits: Column) -> Column:
         def total_of(group: int) -> Column:
-            add = lambda acc, h: acc + F.regexp_extract(h, pattern, group).cast("bigint")
+            add = lambda acc, h: acc + _whole(F.regexp_extract(h, pattern, group))
             return F.aggregate(hits, F.lit(0).cast("bigint"), add)
 
         source = F.concat(F.lit("vstest x"), F.size(hits).cast("string"), F.lit(" assemblies"))
@@ -243,7 +251,7 @@ def _unittest(output: Column) -> Column:
 
         def of(name: str) -> Column:
             found = F.filter(pairs, lambda p: p["key"] == name)
-            return F.when(F.size(found) > 0, F.element_at(found, -1)["count"].cast("bigint")).otherwise(F.lit(0))
+            return F.when(F.size(found) > 0, _whole(F.element_at(found, -1)["count"])).otherwise(F.lit(0))
 
         failed = of("failures") + of("errors") + of("unexpected_successes")
         skipped = of("skipped") + of("expected_failures")
@@ -254,7 +262,7 @@ def _unittest(output: Column) -> Column:
         both,
         lambda b: F.when(
             (F.size(b["ran"]) > 0) & (F.size(b["results"]) > 0),
-            totals(F.element_at(b["results"], -1), F.element_at(b["ran"], -1).cast("bigint")),
+            totals(F.element_at(b["results"], -1), _whole(F.element_at(b["ran"], -1))),
         ),
     )
 
@@ -297,8 +305,8 @@ def test_totals(runs: DataFrame) -> DataFrame:
     )
 
 
-def test_digest(runs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """Totals, failure counts, last summary lines and status, one row per run.
+def test_digest(runs: DataFrame, lines: DataFrame | None = None, summaries: int = 5, last: int = 20) -> DataFrame:
+    """Totals, failure counts, the last `summaries` summary lines and status, one row per run.
 
     Status is `no failures detected` only without failure lines and with exit code 0.
     """
@@ -307,7 +315,7 @@ def test_digest(runs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
         F.sum("n").alias("failure_lines"), F.count("*").alias("failure_patterns")
     )
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    summary = test_summary_lines(lines).groupBy("run_id").agg(
+    summary = test_summary_lines(lines, summaries).groupBy("run_id").agg(
         F.transform(ordered, lambda x: x["line"]).alias("summary_lines")
     )
     counted = ["failure_lines", "failure_patterns"]
@@ -317,4 +325,4 @@ def test_digest(runs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
         .when(F.col("exit_code") == 0, "no failures detected")
         .otherwise("non-zero exit, no recognizable failure lines")
     )
-    return _with_last_lines(joined.withColumn("status", status), lines.filter(~is_failure_line(F.col("line"))))
+    return _with_last_lines(joined.withColumn("status", status), lines.filter(~is_failure_line(F.col("line"))), last)

@@ -7,7 +7,6 @@ parses the rendered text. Queries over real text repeat the pattern.
 from __future__ import annotations
 
 from siftwork.functions.text import SPACE_CHARS
-from siftwork.operators.repo import SECRET_RULES
 from siftwork.plans.views import NAMESPACES
 
 # --- shared pieces --------------------------------------------------------------------------
@@ -71,7 +70,7 @@ MARKER = "['TODO','FIXME','HACK','XXX'][(doc_id + line_no) % 7 + 1]"
 BLANKS = "(" + " || ".join(f"chr({ord(c)})" for c in SPACE_CHARS) + ")"
 DOC_LINES = "SELECT *, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents"
 MARKERS = f"""
-    SELECT source AS repo, 'docs/' || doc_id || '.txt' AS path, line_no, {MARKER} AS marker, left(trim(line, {BLANKS}), 80) AS text
+    SELECT source AS repo, 'docs/' || doc_id || '.txt' AS path, line_no, {MARKER} AS marker, trim(line, {BLANKS}) AS text
     FROM ({DOC_LINES}) WHERE (doc_id + line_no) % 7 < 4"""
 
 PART_NAME = "replace(p_name, ' ', '-')"
@@ -277,14 +276,27 @@ def request_body(system: str) -> str:
 
 
 def secret_scan() -> str:
-    """Each rule's pattern over every line of every text."""
+    """Each kind's shape over every line of every text, written anew from the planted kinds and the public formats."""
+    kinds = {
+        "aws_access_key": (4, r"\b(A[KS]IA[A-Z0-9]{16})\b"),
+        "github_token": (4, r"\b(gh[opsu]_[0-9a-zA-Z]{36}|github_pat_\w{40,})\b"),
+        "google_api_key": (4, r"\b(AIza[\w-]{35})"),
+        "slack_token": (4, r"\b(xox[a-bprs]-[\w-]{10,})"),
+        "stripe_key": (8, r"\b([rs]k_live_[0-9a-zA-Z]{16,})"),
+        "private_key": (10, r"(-----BEGIN (?:[0-9A-Z]+ )*PRIVATE KEY-----)"),
+        "jwt": (3, r"\b(eyJ[\w-]{8,}[.]eyJ[\w-]{8,}[.][\w-]{8,})"),
+        "url_password": (0, r"://[^\s:/@]+:([^\s@/]{3,})@"),
+        "connection_password": (0, r"(?i);\s*(?:pwd|password)\s*=\s*([^\s;()'\"]{3,})(?:$|[\"';])"),
+        "assigned_secret": (0, r"(?i)(?:(?:access|api)[-_]?key|auth[-_]?token|secret|token|pwd|passw(?:or)?d)['\"]?\s*[=:]\s*['\"]([^'\"\s]{8,})['\"]"),
+    }
     parts = []
-    for rule, (_, pattern) in SECRET_RULES.items():
+    for kind, (shown, pattern) in kinds.items():
         literal = pattern.replace("'", "''")
-        parts.append(f"SELECT doc_id, line_no, '{rule}' AS rule, regexp_extract(line, '{literal}', 1) AS value FROM ({DOC_LINES})")
+        found = f"regexp_extract_all(line, '{literal}', 1)"
+        parts.append(f"SELECT doc_id, line_no, '{kind}' AS rule, {shown} AS shown, unnest({found}) AS value, generate_subscripts({found}, 1) AS nth FROM ({DOC_LINES})")
     union = " UNION ALL ".join(parts)
     return f"""
-        SELECT doc_id, line_no, rule, left(value, 4) || '***' || length(value) AS masked FROM ({union})
+        SELECT doc_id, line_no, rule, nth, CASE WHEN length(value) >= 12 THEN left(value, shown) ELSE '' END || '***' || length(value) AS masked FROM ({union})
         WHERE value <> '' AND NOT regexp_matches(lower(value), '^(<.*>|[$][{{].*|xxx*|change.?me.*|example.*|dummy.*|password)$')"""
 
 
@@ -317,8 +329,7 @@ ORACLES: dict[str, str] = {
         SELECT run_id, class, row_number() OVER (PARTITION BY run_id, class ORDER BY n DESC, first_no) AS rank, n, line FROM (
             SELECT l_suppkey AS run_id, {BUILD_CLASS} AS class, {BUILD_PATTERN} AS pattern, count(*) AS n,
                    min({LINE_NO}) AS first_no, arg_min({BUILD_LINE}, {LINE_NO}) AS line
-            FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)
-        QUALIFY rank <= CASE class WHEN 'error' THEN 30 ELSE 15 END""",
+            FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)""",
     "build_digest": f"""
         SELECT run_id, exit_code, error_lines, error_patterns, warning_lines, warning_patterns, {BUILD_STATUS} AS status,
                CASE WHEN error_lines + warning_lines = 0 AND exit_code <> 0 THEN last_lines END AS last_lines
@@ -334,8 +345,7 @@ ORACLES: dict[str, str] = {
     "test_totals": TEST_TOTALS,
     "test_failure_lines": f"""
         SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY n DESC, first_no) AS rank, n, line FROM (
-            SELECT run_id, pattern, count(*) AS n, min(line_no) AS first_no, arg_min(line, line_no) AS line FROM ({TEST_FAILURES}) GROUP BY run_id, pattern)
-        QUALIFY rank <= 30""",
+            SELECT run_id, pattern, count(*) AS n, min(line_no) AS first_no, arg_min(line, line_no) AS line FROM ({TEST_FAILURES}) GROUP BY run_id, pattern)""",
     "test_summary_lines": f"""
         WITH c AS ({TEST_COUNTS}), h AS (SELECT *, ok // 2 AS o2, bad // 2 AS b2, skip // 2 AS s2, ok + bad + skip AS total FROM c)
         SELECT run_id, unnest(CASE run_id % 7
@@ -375,12 +385,9 @@ ORACLES: dict[str, str] = {
     "todo_summary": f"""
         WITH m AS ({MARKERS})
         SELECT repo, CASE marker WHEN 'FIXME' THEN 1 WHEN 'HACK' THEN 2 WHEN 'XXX' THEN 3 ELSE 4 END::BIGINT AS rank, marker,
-               marker_count, repo_count, items
-        FROM (SELECT repo, marker, count(*) AS marker_count FROM m GROUP BY ALL)
-        JOIN (SELECT repo, count(*) AS repo_count FROM m GROUP BY repo) USING (repo)
-        JOIN (SELECT repo, marker, string_agg(path || ':' || line_no || ' ' || text, chr(10) ORDER BY path, line_no) AS items
-              FROM (SELECT *, row_number() OVER (PARTITION BY repo, marker ORDER BY path, line_no) AS place FROM m QUALIFY place <= 20)
-              GROUP BY ALL) USING (repo, marker)""",
+               marker_count, repo_count, path, line_no, text
+        FROM m JOIN (SELECT repo, marker, count(*) AS marker_count FROM m GROUP BY ALL) USING (repo, marker)
+        JOIN (SELECT repo, count(*) AS repo_count FROM m GROUP BY repo) USING (repo)""",
     "scan_secrets": secret_scan(),
     "deps_package_json": DEPENDENCIES["package.json"],
     "deps_requirements": DEPENDENCIES["requirements.txt"],
@@ -400,8 +407,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT DISTINCT l_orderkey AS repo FROM lineitem) LEFT JOIN ({DIFF_LINES}) USING (repo) GROUP BY repo""",
     "diff_symbols": """
         SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY symbol) AS rank, symbol FROM (
-            SELECT DISTINCT l_orderkey AS repo, unnest(['def f' || l_suppkey || '():', 'tail']) AS symbol FROM lineitem)
-        QUALIFY rank <= 40""",
+            SELECT DISTINCT l_orderkey AS repo, unnest(['def f' || l_suppkey || '():', 'tail']) AS symbol FROM lineitem)""",
     "recent_commits": NEWEST,
     "status_report": f"""
         WITH d AS (SELECT o_custkey AS repo, count(*) AS file_count, count(*) FILTER (o_orderstatus <> 'P') AS changed_files,
@@ -491,7 +497,7 @@ ORACLES: dict[str, str] = {
         SELECT o_orderkey AS sid, o_orderkey % 97 AS serial, 'U' || o_custkey AS username, 'os' || (o_orderkey % 11) AS osuser, o_orderpriority AS program,
                'ACTIVE' AS status, 'User I/O' AS wait_class, 'e' || (o_orderkey % 5) AS event, 'select ' || c_name AS sql_text
         FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND o_orderkey % 3 <> 0
-        WHERE o_orderstatus = 'O' AND o_orderkey <> 7 ORDER BY floor(o_totalprice) DESC, o_orderkey LIMIT 50""",
+        WHERE o_orderstatus = 'O' AND o_orderkey <> 7""",
     "top_sql_by_cpu": f"SELECT * FROM ({SQL_AREA}) ORDER BY cpu_seconds DESC, sql_id LIMIT 10",
     "top_sql_by_default": f"SELECT * FROM ({SQL_AREA}) ORDER BY elapsed_seconds DESC, sql_id LIMIT 5",
     "tablespace_usage": """
@@ -535,8 +541,8 @@ ORACLES: dict[str, str] = {
     "last_good_config_stream": GOOD_VERSIONS,
     "last_good_config_table": GOOD_VERSIONS,
     "chat_results": f"""
-        SELECT id, status, CASE WHEN kind < 2 THEN {capped("E'[local-model draft, verify before use]\\n' || text", 3000)}
-                                WHEN kind = 2 THEN {capped("'no json: ' || text", 500)} WHEN kind = 7 THEN '{{"choices": []}}' END AS text
+        SELECT id, status, CASE WHEN kind < 2 THEN E'[local-model draft, verify before use]\\n' || text
+                                WHEN kind = 2 THEN 'no json: ' || text WHEN kind = 7 THEN '{{"choices": []}}' END AS text
         FROM ({REPLY_STATUS})""",
     "chat_status_counts": f"SELECT status, count(*) AS n FROM ({REPLY_STATUS}) GROUP BY status",
     "chat_summarize": request_body("Summarize the following text concisely, in the same language it is written in."),

@@ -119,7 +119,7 @@ def todo_markers(spark: SparkSession, folder: str) -> DataFrame:
 def todo_summary(spark: SparkSession, folder: str) -> DataFrame:
     # Written once, since the summary counts the markers and lists them: the texts are scanned once.
     markers = materialize(repo.todo_markers(v.marker_files(spark, folder)), "markers")
-    return _joined(repo.todo_summary(markers), "\n", "items")
+    return repo.todo_summary(markers)
 
 
 def scan_secrets(spark: SparkSession, folder: str) -> DataFrame:

@@ -38,7 +38,9 @@ def read_files(
         # Hadoop globs are case-sensitive; a character class per letter is not.
         either_case = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
         reader = reader.option("pathGlobFilter", f"*.{{{either_case}}}")
-    relative = F.regexp_replace("_metadata.file_path", f"^.*?{_quoted_tail(root)}/+", "")
+    # The metadata path is URI-encoded; `+` stands for itself in it.
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    relative = F.regexp_replace(decoded, f"^.*?{_quoted_tail(root)}/+", "")
     files = reader.load(root)
     excluded = list(exclude_dirs)
     if excluded:

@@ -12,7 +12,8 @@ def test_ddl(spark):
     assert [(r["script"], r["pos"], r["table"], r["columns"]) for r in rows[:2]] == [
         ("a.sql", 1, "users", ["id", "name"]), ("a.sql", 2, "orders", ["id", "user_id", "FOREIGN"])
     ]
-    assert len(rows) == 3 and rows[2]["columns"] == [f"c{i}" for i in range(20)]
+    assert len(rows) == 3 and rows[2]["columns"] == [f"c{i}" for i in range(25)]
+    assert catalog.ddl_tables(df, limit=20).filter("table = 'w'").collect()[0]["columns"] == [f"c{i}" for i in range(20)]
 
 
 def test_tables_and_sizes(spark):
@@ -32,14 +33,16 @@ def test_describe(spark):
         "table_name string, column_id bigint, column_name string, data_type string, nullable string",
     )
     assert [tuple(r) for r in catalog.describe_table(df, "U").collect()] == [("id", "INT", "N"), ("name", "TEXT", "Y")]
-    assert [r["column_desc"] for r in catalog.describe_tables(df).collect()] == ["x INT", "id INT", "name TEXT"]
+    assert [r["column_desc"] for r in catalog.describe_tables(df).orderBy("table_name", "column_id").collect()] == ["x INT", "id INT", "name TEXT"]
 
 
 def test_sessions_fan_out_and_cut(spark):
     rows = [(i, 1, "u", "o", "p", "ACTIVE" if i % 2 else "INACTIVE", "w", "e", i, "q" if i < 100 else None, i) for i in range(140)]
     cols = "sid int, serial int, username string, osuser string, program string, status string, wait_class string, event string, audsid int, sql_id string, last_call_et int"
     sql = spark.createDataFrame([("q", "select 1"), ("q", "select 2"), ("z", "no")], "sql_id string, sql_text string")
-    found = catalog.active_sessions(spark.createDataFrame(rows, cols), sql, own_audsid=139).collect()
+    everyone = catalog.active_sessions(spark.createDataFrame(rows, cols), sql, own_audsid=139)
+    assert everyone.count() == 119
+    found = catalog.active_sessions(spark.createDataFrame(rows, cols), sql, own_audsid=139, limit=50).collect()
     assert len(found) == 50
     assert [r["sid"] for r in found[:20]] == list(range(137, 98, -2)) and found[0]["sql_text"] is None
     assert [r["sid"] for r in found[20:22]] == [97, 95] or [r["sid"] for r in found[19:21]] == [99, 99]

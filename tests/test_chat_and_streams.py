@@ -30,7 +30,8 @@ def test_results(spark):
         (7, 200, '{"choices": []}'), (8, 201, good),
     ]
     df = spark.createDataFrame(rows, "id int, http_status int, body string")
-    found = chat.chat_results(df).orderBy("id").collect()
+    assert chat.chat_results(df).filter("id = 2").collect()[0]["text"] == "x" * 600
+    found = chat.chat_results(df, reply_limit=3000, unexpected_limit=500).orderBy("id").collect()
     assert [r["status"] for r in found] == [
         "draft", "unexpected", "unexpected", "unauthorized", "unauthorized", "error", "unavailable", "unexpected", "draft"
     ]

@@ -77,10 +77,16 @@ def test_unexplained_failure_shows_last_lines(spark):
     assert row["total"] is None
 
 
-def test_failure_patterns_are_cut_at_thirty(spark):
+def test_counts_of_other_scripts_and_sizes(spark):
+    outputs = ["\u0663 passed in 1s\n", "99999999999999999999 passed in 1s\n"]
+    rows = runs.test_totals(make_runs(spark, outputs)).orderBy("run_id").collect()
+    assert [r["passed"] for r in rows] == [3, None]
+
+
+def test_failure_patterns_are_cut_on_request(spark):
     output = "\n".join("FAILED " + "x" * i for i in range(1, 41))
-    top = runs.test_failure_lines(runs.run_lines(make_runs(spark, [output]))).collect()
-    assert len(top) == 30
+    lines = runs.run_lines(make_runs(spark, [output]))
+    assert runs.test_failure_lines(lines, limit=30).count() == 30 and runs.test_failure_lines(lines).count() == 40
 
 
 def test_build_digest(spark):
