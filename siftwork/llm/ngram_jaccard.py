@@ -143,7 +143,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 def _similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The rows of `pairs(a, b)` that reach the required overlap, found by binary probes."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct(), "ids")
     with batches_of(docs.sparkSession, 2048):
         sets = materialize(_sets(docs, ids, width), "sets")
     discard(ids)
@@ -195,7 +195,7 @@ def _groups(docs: DataFrame, lists: DataFrame, width: int, percent: int) -> Data
         longest = lists_left.agg(F.max("m")).first()[0]
         if longest is None:
             return groups
-        until = _TURN if longest <= 64 else min(_TURN, max(done * 32, _TURN * 16 // longest))
+        until = _TURN if longest <= 64 else min(_TURN, max(done * 8, _TURN * 16 // longest))
         hubs = lists_left.filter(F.col("turn") < until).select("token", *[F.col(c).alias(f"hub_{c}") for c in ("doc", "n", "pos", "group", "turn")])
         met = lists_left.join(hubs, "token").filter(
             (F.struct("turn", "doc") > F.struct("hub_turn", "hub_doc")) & (F.col("group") != F.col("hub_group")) & fits
