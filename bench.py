@@ -36,6 +36,7 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "16g"),
         spark__ui__enabled="false",
+        spark__checkpoint__dir=os.environ.get("BENCH_SHARED_DIR", os.path.join(os.getcwd(), "spark-warehouse", "_bench")),
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()  # the first job of a session also starts it
