@@ -130,3 +130,9 @@ def extract_pairs(text: Column, pattern: str, first: str, second: str) -> Column
             F.regexp_extract(hit, pattern, 1).alias(first), F.regexp_extract(hit, pattern, 2).alias(second)
         ),
     )
+
+
+def is_json_object(text: Column) -> Column:
+    """Whether the whole text is one JSON object, with nothing behind it."""
+    wrapped = F.from_json(F.concat(F.lit("["), without_bom(text), F.lit("]")), "array<map<string,string>>")
+    return F.coalesce((F.size(wrapped) == 1) & F.get(wrapped, F.lit(0)).isNotNull(), F.lit(False))

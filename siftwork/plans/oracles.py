@@ -117,20 +117,26 @@ NUMBERED_LINKS = f"SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY place
 KNOWN_EDGES = f"SELECT k, t, min(pos) AS pos FROM ({NUMBERED_LINKS}) SEMI JOIN supplier ON t = s_suppkey AND t // 50 = k // 50 GROUP BY k, t"
 BLOCKS = "SELECT s_suppkey AS k, s_suppkey // 10 * 10 AS first FROM supplier WHERE s_suppkey % 10 < 5"
 
+BROKEN_LOGS = "SELECT l_orderkey % 6 AS run_id, 'P_' || l_suppkey || CASE l_linestatus WHEN 'F' THEN '_net8.0_' ELSE '_net9.0_' END || l_suppkey || '.sarif' AS file_name FROM lineitem WHERE l_orderkey % 6 = 3 AND l_quantity = 50"
 DIAGNOSTICS = """
-    SELECT DISTINCT 'src/f' || l_partkey || '.cs' AS path, unnest(generate_series(l_linenumber::BIGINT, l_linenumber + l_partkey % 3)) AS line_no,
+    SELECT DISTINCT l_orderkey % 6 AS run_id, 'src/f' || l_partkey || '.cs' AS path,
+           unnest(generate_series(l_linenumber::BIGINT, l_linenumber + l_partkey % 3)) AS line_no,
            'P_' || l_suppkey AS project, CASE l_linestatus WHEN 'F' THEN 'net8.0' ELSE 'net9.0' END AS tfm, l_partkey AS part
     FROM lineitem
-    WHERE l_partkey % 13 <> 0 AND l_quantity <> 1 AND NOT (l_returnflag = 'A' AND l_linenumber = 1)"""
-CONTEXTS = "SELECT DISTINCT 'P_' || l_suppkey || '_' || l_suppkey AS project, CASE l_linestatus WHEN 'F' THEN 'net8.0' ELSE 'net9.0' END AS tfm FROM lineitem"
+    WHERE l_partkey % 13 <> 0 AND l_quantity <> 1 AND NOT (l_returnflag = 'A' AND l_linenumber = 1)
+      AND l_orderkey % 6 < 4 AND NOT (l_orderkey % 6 = 3 AND l_quantity = 50)"""
+CONTEXTS = "SELECT DISTINCT l_orderkey % 6 AS run_id, 'P_' || l_suppkey || '_' || l_suppkey AS project, CASE l_linestatus WHEN 'F' THEN 'net8.0' ELSE 'net9.0' END AS tfm FROM lineitem WHERE l_orderkey % 6 <> 4"
 REMOVABLE = f"""
-    SELECT path, line_no, part, CASE WHEN bool_and(flagged = compiled) THEN 'removable' ELSE 'partial' END AS status
-    FROM (SELECT path, line_no, part, project || substr(project, 2) AS project, count(*) AS flagged FROM ({DIAGNOSTICS}) GROUP BY ALL)
-    JOIN (SELECT project, count(*) AS compiled FROM ({CONTEXTS}) GROUP BY project) USING (project)
-    GROUP BY path, line_no, part"""
+    SELECT run_id, path, line_no, part, CASE WHEN bool_and(flagged = compiled) THEN 'removable' ELSE 'partial' END AS status
+    FROM (SELECT run_id, path, line_no, part, project || substr(project, 2) AS project, count(*) AS flagged FROM ({DIAGNOSTICS}) GROUP BY ALL)
+    JOIN (SELECT run_id, project, count(*) AS compiled FROM ({CONTEXTS}) GROUP BY run_id, project) USING (run_id, project)
+    GROUP BY run_id, path, line_no, part"""
 DIRECTIVES = f"""
-    SELECT path, line_no, status, part, 'using N' || line_no || '.P' || part || ';' AS line
-    FROM ({REMOVABLE}) WHERE line_no <= 12 AND (part + line_no) % 3 <> 0"""
+    SELECT run_id, path, line_no, status, part, 'using N' || line_no || '.P' || part || ';' AS line
+    FROM ({REMOVABLE}) WHERE line_no <= 12 AND (part + line_no + run_id) % 3 <> 0"""
+PRUNED = f"""
+    SELECT run_id, path, status, count(*) AS lines FROM ({DIRECTIVES}) JOIN part ON p_partkey = part
+    WHERE run_id <> 2 AND run_id NOT IN (SELECT run_id FROM ({BROKEN_LOGS})) GROUP BY run_id, path, status"""
 
 RENAME_PATH = "'src/Old/f' || p_partkey || ['.cs','.cs','.csproj','.json','.cs'][p_partkey % 5 + 1]"
 MOVED = "(p_partkey % 10 < 2 OR p_partkey % 50 = 3)"
@@ -445,20 +451,30 @@ ORACLES: dict[str, str] = {
                    FROM ({KNOWN_EDGES}))
         SELECT repo, src, src_level, dst, dst_level FROM e WHERE dst_level > src_level""",
     "unassigned_projects": f"SELECT {repo('s_suppkey')} AS repo, {project('s_suppkey')} AS name FROM supplier WHERE s_suppkey % 4 = 2",
-    "sarif_diagnostics": f"SELECT path, line_no, project || substr(project, 2) AS project, tfm FROM ({DIAGNOSTICS})",
+    "sarif_diagnostics": f"SELECT run_id, path, line_no, project || substr(project, 2) AS project, tfm FROM ({DIAGNOSTICS})",
     "sarif_contexts": CONTEXTS,
-    "select_removable": f"SELECT path, line_no, status FROM ({REMOVABLE})",
-    "keep_directive_lines": f"SELECT path, line_no, status, line FROM ({DIRECTIVES})",
+    "unreadable_logs": BROKEN_LOGS,
+    "select_removable": f"SELECT run_id, path, line_no, status FROM ({REMOVABLE})",
+    "keep_directive_lines": f"SELECT run_id, path, line_no, status, line FROM ({DIRECTIVES}) SEMI JOIN part ON p_partkey = part",
     "remove_lines": f"""
-        WITH f AS (SELECT path, part, line_no, line_no <= 12 AND (part + line_no) % 3 <> 0 AS ok FROM ({REMOVABLE}) WHERE status = 'removable'),
-             g AS (SELECT path, part, coalesce(list(line_no ORDER BY line_no) FILTER (ok), []) AS gone,
-                          coalesce(list(line_no ORDER BY line_no) FILTER (NOT ok), []) AS kept FROM f GROUP BY path, part)
-        SELECT path, CASE WHEN part % 2 = 1 THEN chr(65279) ELSE '' END || array_to_string(list_transform(
+        WITH f AS (SELECT run_id, path, part, line_no, (part + line_no + run_id) % 3 <> 0 AS ok FROM ({REMOVABLE}) WHERE status = 'removable'),
+             g AS (SELECT run_id, path, part, coalesce(list(line_no ORDER BY line_no) FILTER (ok AND line_no <= 12), []) AS gone,
+                          coalesce(list(line_no ORDER BY line_no) FILTER (NOT ok AND line_no <= 12), []) AS kept,
+                          count(*) FILTER (line_no > 12) AS outside FROM f GROUP BY run_id, path, part)
+        SELECT run_id, path, CASE WHEN part % 2 = 1 THEN chr(65279) ELSE '' END || array_to_string(list_transform(
                    list_filter(generate_series(1, 12), lambda i: NOT list_contains(gone, i)),
-                   lambda i: CASE WHEN (part + i) % 3 <> 0 THEN 'using N' || i || '.P' || part || ';' ELSE '// note ' || i END || E'\\r\\n'), '') AS content,
-               array_to_string(gone, ',') AS removed, array_to_string(kept, ',') AS skipped
+                   lambda i: CASE WHEN (part + i + run_id) % 3 <> 0 THEN 'using N' || i || '.P' || part || ';' ELSE '// note ' || i END || E'\\r\\n'), '') AS content,
+               array_to_string(gone, ',') AS removed, array_to_string(kept, ',') AS skipped, outside
         FROM g JOIN part ON p_partkey = part""",
-    "prune_report": f"SELECT path, status, count(*) AS lines FROM ({DIRECTIVES}) JOIN part ON p_partkey = part GROUP BY path, status",
+    "prune_report": PRUNED,
+    "prune_status": f"""
+        WITH r AS (SELECT l_orderkey % 6 AS run_id, count(*) FILTER (l_orderkey % 6 = 2 AND l_returnflag = 'R' AND l_partkey % 4 <> 0) AS error_lines FROM lineitem GROUP BY ALL),
+             p AS (SELECT run_id, sum(lines)::BIGINT AS lines FROM ({PRUNED}) WHERE status = 'removable' GROUP BY run_id)
+        SELECT run_id, CASE WHEN error_lines > 0 THEN 'build failed' WHEN run_id = 4 THEN 'no compilation seen'
+                            WHEN run_id IN (SELECT run_id FROM ({BROKEN_LOGS})) THEN 'unreadable log'
+                            WHEN lines IS NULL THEN 'nothing unnecessary' ELSE 'lines found' END AS status,
+               error_lines, coalesce(lines, 0) AS lines
+        FROM r LEFT JOIN p USING (run_id)""",
     "validate_moves": f"""
         WITH m AS ({FAULTY})
         SELECT 'main' AS repo, 'source missing' AS error, src AS subject, 1::BIGINT AS n FROM m WHERE p_partkey % 7 = 1

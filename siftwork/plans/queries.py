@@ -237,20 +237,28 @@ def select_removable(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keep_directive_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return diagnostics.keep_directive_lines(_removable(spark, folder), diagnostics.byte_lines(v.csharp_files(spark, folder)))
+    return diagnostics.keep_directive_lines(_removable(spark, folder), v.run_sources(spark, folder))
 
 
 def remove_lines(spark: SparkSession, folder: str) -> DataFrame:
     flagged = _removable(spark, folder).filter("status = 'removable'")
-    edited = diagnostics.remove_lines(v.csharp_files(spark, folder), flagged)
+    edited = diagnostics.remove_lines(v.run_sources(spark, folder), flagged)
     return _joined(edited.withColumn("content", F.decode("content", "UTF-8")), ",", "removed", "skipped")
 
 
+def unreadable_logs(spark: SparkSession, folder: str) -> DataFrame:
+    return diagnostics.unreadable_logs(v.sarif_files(spark, folder))
+
+
 def prune_report(spark: SparkSession, folder: str) -> DataFrame:
-    # Other errors become notes: a build that failed for real would (rightly) empty the report.
-    build = v.build_lines(spark, folder, "l_suppkey").withColumn("line", F.regexp_replace("line", "error (?!IDE)", "note "))
     return diagnostics.prune_report(
-        v.sarif_files(spark, folder), v.csharp_files(spark, folder), build, v.build_runs(spark, folder, "l_suppkey")
+        v.sarif_files(spark, folder), v.run_sources(spark, folder), v.prune_build_lines(spark, folder), v.prune_build_runs(spark, folder)
+    )
+
+
+def prune_status(spark: SparkSession, folder: str) -> DataFrame:
+    return diagnostics.prune_status(
+        prune_report(spark, folder), v.sarif_files(spark, folder), v.prune_build_lines(spark, folder), v.prune_build_runs(spark, folder)
     )
 
 
@@ -443,7 +451,7 @@ QUERIES: dict[str, Query] = {
         diff_files, diff_totals, diff_symbols, recent_commits, status_report,
         project_names, project_edges, dangling_references, adjacency, strong_components, find_cycles,
         layer_of, layer_violations, unassigned_projects,
-        sarif_diagnostics, sarif_contexts, select_removable, keep_directive_lines, remove_lines, prune_report,
+        sarif_diagnostics, sarif_contexts, select_removable, keep_directive_lines, remove_lines, unreadable_logs, prune_report, prune_status,
         validate_moves, rename_namespaces, update_header, rewrite_plan, rewrite_summary, replaced_files,
         read_move_maps, map_moves, rewrite_plan_by_map,
         ddl_tables, list_tables, list_named_tables, table_names, describe_table, describe_tables,

@@ -220,12 +220,19 @@ def graph_files(spark: SparkSession, folder: str) -> DataFrame:
 # --- diagnostics and rewrites ---------------------------------------------------------------
 
 
+PRUNE_RUNS = 6
+
+
 def sarif_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One log per line item: project by supplier, framework by line status."""
+    """One log per line item: run by order, project by supplier, framework by line status.
+
+    Run 3 has broken logs, run 4 none by name, run 5 flags nothing.
+    """
+    run = F.col("l_orderkey") % PRUNE_RUNS
     k, project = F.col("l_partkey"), F.col("l_suppkey")
     tfm = F.when(F.col("l_linestatus") == "F", "net8.0").otherwise("net9.0")
     where = F.when(k % 13 == 0, "src/obj/f").otherwise("src/sub/../f")
-    rule = F.when(F.col("l_quantity") == 1, "CS0168").otherwise("IDE0005")
+    rule = F.when((F.col("l_quantity") == 1) | (run == 5), "CS0168").otherwise("IDE0005")
     suppressed = F.when(
         (F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 1), ', "suppressions": [{"kind": "inSource"}]'
     ).otherwise("")
@@ -235,7 +242,34 @@ def sarif_files(spark: SparkSession, folder: str) -> DataFrame:
         ', "locations": [{"physicalLocation": {"artifactLocation": {"uri": "', where, k,
         '.cs"}, "region": {"startLine": ', first, ', "endLine": ', first + k % 3, "}}}]}]}]}",
     )
-    return texts(spark, folder, "lineitem").select(_t("P_", project, "_", tfm, "_", project, ".sarif").alias("file_name"), body.alias("body"))
+    broken = (run == 3) & (F.col("l_quantity") == 50)
+    name = _t("P_", project, "_", tfm, "_", project, F.when(run == 4, ".txt").otherwise(".sarif"))
+    return texts(spark, folder, "lineitem").select(
+        run.alias("run_id"), name.alias("file_name"), F.concat(body, F.when(broken, " oops").otherwise("")).alias("body")
+    )
+
+
+def prune_build_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Build outputs of the same runs; outside run 2 every error but those of the rule is a note."""
+    lines = build_lines(spark, folder, "l_orderkey").withColumn("run_id", F.col("run_id") % PRUNE_RUNS)
+    quiet = F.regexp_replace("line", "error (?!IDE)", "note ")
+    return lines.withColumn("line", F.when(F.col("run_id") == 2, F.col("line")).otherwise(quiet))
+
+
+def prune_build_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs 1 and 2 end with a bad exit code."""
+    runs = table(spark, folder, "lineitem").select((F.col("l_orderkey") % PRUNE_RUNS).alias("run_id")).distinct()
+    return runs.withColumn("exit_code", F.col("run_id").isin(1, 2).cast("int"))
+
+
+def run_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The same paths in every run, with other directives: twelve lines per part; odd parts open with a mark."""
+    k, run = F.col("p_partkey"), F.col("run_id")
+    line = lambda i: F.when((k + i + run) % 3 != 0, _t("using N", i, ".P", k, ";\r\n")).otherwise(_t("// note ", i, "\r\n"))
+    content = F.concat(F.when(k % 2 == 1, "\ufeff").otherwise(""), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), line), ""))
+    runs = F.sequence(F.lit(0).cast("bigint"), F.lit(PRUNE_RUNS - 1).cast("bigint"))
+    copies = texts(spark, folder, "part").select("p_partkey", F.explode(runs).alias("run_id"))
+    return copies.select("run_id", _t("src/f", k, ".cs").alias("path"), F.encode(content, "UTF-8").alias("content"))
 
 
 def csharp_files(spark: SparkSession, folder: str) -> DataFrame:
