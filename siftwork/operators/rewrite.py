@@ -38,10 +38,10 @@ _MAP_SCHEMA = "moves array<struct<`from`: string, `to`: string>>, namespaces map
 def read_move_maps(maps: DataFrame) -> DataFrame:
     """(repo, moves, namespaces, status) from (repo, body JSON); a broken map is a row, not a failure."""
     parsed = F.from_json(tx.without_bom(F.col("body")), _MAP_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
-    read = maps.select("repo", parsed.alias("_m"))
+    read = maps.select("repo", parsed.alias("_m"), tx.is_json_object(F.col("body")).alias("_sound"))
     whole = F.col("_m").isNotNull() & F.col("_m._bad").isNull()
     incomplete = F.exists("_m.moves", lambda m: m["from"].isNull() | m["to"].isNull())
-    usable = whole & ~F.coalesce(incomplete, F.lit(False))
+    usable = whole & F.col("_sound") & ~F.coalesce(incomplete, F.lit(False))
     return read.select(
         "repo",
         F.when(usable, F.coalesce("_m.moves", F.array())).alias("moves"),
@@ -84,11 +84,13 @@ def validate_moves(
     targets = moves.select("repo", "dst").distinct()
     taken = present.select("repo", F.explode(ancestors).alias("dst")).join(targets, ["repo", "dst"]).distinct()
     existing = moves.join(taken, ["repo", "dst"], "left_semi")
+    repeated = moves.groupBy("repo", "src").agg((F.count("*") - 1).alias("n")).filter("n > 0")
     shared = moves.groupBy("repo", "dst").agg((F.count("*") - 1).alias("n")).filter("n > 0")
     chained = moves.join(sources.withColumnRenamed("path", "dst"), ["repo", "dst"], "left_semi")
     found = (
         errors(missing, "source missing", "src")
         .unionByName(errors(existing, "target already exists", "dst"))
+        .unionByName(errors(repeated, "two moves share the source", "src", F.col("n")))
         .unionByName(errors(shared, "two moves share the target", "dst", F.col("n")))
         .unionByName(errors(chained, "target is also a source (chained move)", "dst"))
     )
@@ -105,6 +107,16 @@ def validate_moves(
     return found
 
 
+def applicable(rows: DataFrame, errors: DataFrame) -> DataFrame:
+    """The rows (moves, files, maps) of repositories without any error of `validate_moves`.
+
+    An error without a repository, a bad name in a mapping for all of them, leaves nothing.
+    """
+    faulty = errors.select("repo").distinct()
+    sound = rows.join(faulty.filter("repo is not null"), "repo", "left_anti")
+    return sound.where(~faulty.filter("repo is null").exists())
+
+
 # --- namespaces -----------------------------------------------------------------------------
 
 
@@ -217,9 +229,10 @@ def rewrite_plan(
     (repo, src, dst, content BINARY, replacements, header_updated, unreadable).
 
     UTF-16 and binary files may move but are not rewritten; the map file itself is left alone.
+    Pass what `applicable` leaves; unchecked moves that repeat a source use the least target.
     """
     path = F.col("path")
-    targets = moves.select("repo", F.col("src").alias("path"), F.col("dst").alias("_to"))
+    targets = moves.groupBy("repo", F.col("src").alias("path")).agg(F.min("dst").alias("_to"))
     candidate = F.lower(paths.extension(path)).isin(*NAMESPACE_EXTENSIONS) & ~paths.in_any_folder(
         path, paths.PROJECT_TREE_EXCLUDES
     )
@@ -275,6 +288,5 @@ def rewrite_summary(plan: DataFrame) -> DataFrame:
 
 
 def replaced_files(plan: DataFrame) -> DataFrame:
-    """Files with replacements, most first: (repo, path, replacements)."""
-    hits = plan.filter("replacements > 0").select("repo", F.col("dst").alias("path"), "replacements")
-    return hits.orderBy(F.desc("replacements"), "path")
+    """Files with replacements: (repo, path, replacements)."""
+    return plan.filter("replacements > 0").select("repo", F.col("dst").alias("path"), "replacements")

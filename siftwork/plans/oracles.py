@@ -151,14 +151,14 @@ def rename_text(old: str, deep: str, new: str, header_folder: str) -> str:
     text = f"""CASE p_partkey % 5
         WHEN 0 THEN {header} || {code}
         WHEN 1 THEN chr(65279) || {header} || {code}
-        WHEN 2 THEN '<RootNamespace>{old}</RootNamespace>' || chr(10) || '<AssemblyName>Company.Old</AssemblyName>' || chr(10) || p_partkey
-        WHEN 3 THEN 'Include="..\\Company.Old\\Company.Old.csproj" Company.OldStuff Other.Company.Old.X ' || p_partkey
+        WHEN 2 THEN '<RootNamespace>{old}</RootNamespace>' || chr(10) || '<AssemblyName>Kiln.Clay</AssemblyName>' || chr(10) || p_partkey
+        WHEN 3 THEN 'Include="..\\Kiln.Clay\\Kiln.Clay.csproj" Kiln.Claypit Shop.Kiln.Clay.X ' || p_partkey
         ELSE 'using {new}; using {old}; using {deep};' || p_partkey END"""
     return f"CASE WHEN p_partkey % 25 = 3 THEN 'FFFE' ELSE '' END || hex(encode({text}))"
 
 
-AFTER = ("Company.New", "Company.Deeper", "Company.Newest")
-BEFORE = ("Company.Old", "Company.Old.Deep", "Company.New")
+AFTER = ("Kiln.Glaze", "Kiln.Shards", "Kiln.Enamel")
+BEFORE = ("Kiln.Clay", "Kiln.Clay.Deep", "Kiln.Glaze")
 HEADER_MOVED = f"CASE WHEN {MOVED} THEN 'src/New/Sub' ELSE 'src/Old' END"
 HITS = "CASE WHEN p_partkey % 25 = 3 THEN 0 ELSE [2, 2, 1, 0, 3][p_partkey % 5 + 1] END::BIGINT"
 PLAN = f"""
@@ -181,9 +181,9 @@ def region_name(new: str, old: str) -> str:
 
 
 REGION_TEXT = rename_text(
-    region_name(f"'Region' || {REGION} || '.Old'", "Company.Old"),
-    region_name(f"'Deep' || {REGION}", "Company.Old.Deep"),
-    region_name("'Company.Old'", "Company.New"),
+    region_name(f"'Region' || {REGION} || '.Old'", "Kiln.Clay"),
+    region_name(f"'Deep' || {REGION}", "Kiln.Clay.Deep"),
+    region_name("'Kiln.Clay'", "Kiln.Glaze"),
     REGION_HEADER,
 )
 REGION_PLAN = f"""
@@ -487,6 +487,10 @@ ORACLES: dict[str, str] = {
     "update_header": f"""
         SELECT {RENAME_PATH} AS path, {rename_text(*BEFORE, HEADER_MOVED)} AS content_hex, p_partkey % 5 < 2 AS changed FROM part WHERE {MOVED}""",
     "rewrite_plan": PLAN,
+    "gated_rewrite_plan": f"""
+        WITH p AS (SELECT *, regexp_extract(src, 'f([0-9]+)', 1)::BIGINT % 20 AS n FROM ({PLAN}))
+        SELECT * EXCLUDE (n) REPLACE ('repo-' || n AS repo) FROM p
+        WHERE NOT (n % 4 IN (1, 2) AND n IN (SELECT p_partkey % 20 FROM part WHERE {MOVED}))""",
     "rewrite_summary": f"""
         SELECT repo, count(*) FILTER (replacements > 0) AS files_with_replacements, sum(replacements)::BIGINT AS replacements,
                count(*) FILTER (src <> dst) AS moves, count(*) FILTER (header_updated) AS headers, count(*) FILTER (unreadable) AS unreadable

@@ -266,7 +266,7 @@ def prune_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def validate_moves(spark: SparkSession, folder: str) -> DataFrame:
-    return rewrite.validate_moves(v.faulty_moves(spark, folder), v.csharp_files(spark, folder), {"Company.Old": "Company.New"})
+    return rewrite.validate_moves(v.faulty_moves(spark, folder), v.csharp_files(spark, folder), {"Kiln.Clay": "Kiln.Glaze"})
 
 
 def rename_namespaces(spark: SparkSession, folder: str) -> DataFrame:
@@ -292,6 +292,13 @@ def rewrite_plan(spark: SparkSession, folder: str) -> DataFrame:
     return _plan(spark, folder).withColumn("content", F.hex("content"))
 
 
+def gated_rewrite_plan(spark: SparkSession, folder: str) -> DataFrame:
+    files, moves = v.dealt_files(spark, folder), v.dealt_moves(spark, folder)
+    errors = rewrite.validate_moves(moves, files, v.NAMESPACES)
+    plan = rewrite.rewrite_plan(rewrite.applicable(files, errors), rewrite.applicable(moves, errors), v.NAMESPACES)
+    return plan.withColumn("content", F.hex("content"))
+
+
 def rewrite_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rewrite.rewrite_summary(_plan(spark, folder))
 
@@ -452,7 +459,7 @@ QUERIES: dict[str, Query] = {
         project_names, project_edges, dangling_references, adjacency, strong_components, find_cycles,
         layer_of, layer_violations, unassigned_projects,
         sarif_diagnostics, sarif_contexts, select_removable, keep_directive_lines, remove_lines, unreadable_logs, prune_report, prune_status,
-        validate_moves, rename_namespaces, update_header, rewrite_plan, rewrite_summary, replaced_files,
+        validate_moves, rename_namespaces, update_header, rewrite_plan, gated_rewrite_plan, rewrite_summary, replaced_files,
         read_move_maps, map_moves, rewrite_plan_by_map,
         ddl_tables, list_tables, list_named_tables, table_names, describe_table, describe_tables,
         active_sessions, top_sql_by_cpu, top_sql_by_default, tablespace_usage, invalid_objects, snapshot_sql,

@@ -283,19 +283,19 @@ def csharp_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-NAMESPACES = {"Company.Old": "Company.New", "Company.Old.Deep": "Company.Deeper", "Company.New": "Company.Newest"}
+NAMESPACES = {"Kiln.Clay": "Kiln.Glaze", "Kiln.Clay.Deep": "Kiln.Shards", "Kiln.Glaze": "Kiln.Enamel"}
 
 
 def rename_files(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("p_partkey")
     header = _t("// src/Old/f", k, ".cs\r\n")
-    code = _t("using Company.Old.P", k, ";\r\nnamespace Company.Old.Deep.X;\r\n// café\r\n")
+    code = _t("using Kiln.Clay.P", k, ";\r\nnamespace Kiln.Clay.Deep.X;\r\n// café\r\n")
     text = (
         F.when(k % 5 == 0, F.concat(header, code))
         .when(k % 5 == 1, F.concat(F.lit("\ufeff"), header, code))
-        .when(k % 5 == 2, _t("<RootNamespace>Company.Old</RootNamespace>\n<AssemblyName>Company.Old</AssemblyName>\n", k))
-        .when(k % 5 == 3, _t('Include="..\\Company.Old\\Company.Old.csproj" Company.OldStuff Other.Company.Old.X ', k))
-        .otherwise(_t("using Company.New; using Company.Old; using Company.Old.Deep;", k))
+        .when(k % 5 == 2, _t("<RootNamespace>Kiln.Clay</RootNamespace>\n<AssemblyName>Kiln.Clay</AssemblyName>\n", k))
+        .when(k % 5 == 3, _t('Include="..\\Kiln.Clay\\Kiln.Clay.csproj" Kiln.Claypit Shop.Kiln.Clay.X ', k))
+        .otherwise(_t("using Kiln.Glaze; using Kiln.Clay; using Kiln.Clay.Deep;", k))
     )
     wide = k % 25 == 3
     content = F.when(wide, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-8"))).otherwise(F.encode(text, "UTF-8"))
@@ -311,11 +311,28 @@ def rename_moves(spark: SparkSession, folder: str) -> DataFrame:
     return moved.select(F.lit("main").alias("repo"), _t("src/Old/", name).alias("src"), _t("src/New/Sub/", name).alias("dst"))
 
 
+def _dealt(path: Column) -> Column:
+    """The number of the repository, of twenty, that a renamed file is dealt to."""
+    return F.regexp_extract(path, "f([0-9]+)", 1).cast("bigint") % 20
+
+
+def dealt_files(spark: SparkSession, folder: str) -> DataFrame:
+    return rename_files(spark, folder).withColumn("repo", _t("repo-", _dealt(F.col("path"))))
+
+
+def dealt_moves(spark: SparkSession, folder: str) -> DataFrame:
+    """Moves of the dealt files: of every four repositories one moves missing files, one moves files twice."""
+    number = _dealt(F.col("src"))
+    lost = F.when(number % 4 == 1, _t("gone/", F.col("src"))).otherwise(F.col("src"))
+    targets = F.when(number % 4 == 2, F.array("dst", _t("more/", F.col("dst")))).otherwise(F.array("dst"))
+    return rename_moves(spark, folder).select(_t("repo-", number).alias("repo"), lost.alias("src"), F.explode(targets).alias("dst"))
+
+
 def move_map_texts(spark: SparkSession, folder: str) -> DataFrame:
     """A map file per region: renames and a move, only moves, or a broken one."""
     k = F.col("r_regionkey")
     move = _t('{"from": "src/./Old/f', k, '.cs", "to": "src\\\\New\\\\f', k, '.cs"}')
-    names = _t('{"Company.Old": "Region', k, '.Old", "Company.Old.Deep": "Deep', k, '", "Company.New": "Company.Old"}')
+    names = _t('{"Kiln.Clay": "Region', k, '.Old", "Kiln.Clay.Deep": "Deep', k, '", "Kiln.Glaze": "Kiln.Clay"}')
     body = (
         F.when(k % 4 < 2, _t('{"moves": [', move, '], "namespaces": ', names, "}"))
         .when(k % 4 == 2, _t('{"moves": [', move, "]}"))
