@@ -45,10 +45,16 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mixture takes it (0, 1 or 2); documents without words go."""
-    sized = materialize(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")), "sizes")
-    times = mixing.mix(sized).filter("taken > 0").select("doc_id", F.expr("int(taken div size)").alias("_times")).distinct()
-    return docs.join(times, "doc_id").filter(mixing.n_words(F.col("text")) > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    """Each row as many times as the mixture takes it (0, 1 or 2); rows without words go.
+
+    Rows without doc_id and rows that repeat one are judged each by its own source and text.
+    """
+    size = mixing.n_words(F.col("text")).alias("size")
+    limits = mixing.source_limits(materialize(docs.select("doc_id", "source", size), "sizes"))
+    # The whole row in one column, so that no column of `docs` meets one of the mixture.
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "source", size).filter("size > 0")
+    taken = mixing.take(rows, limits).filter("taken > 0")
+    return taken.select("_row", F.explode(F.expr("sequence(1, int(taken div size))"))).select("_row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

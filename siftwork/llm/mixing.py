@@ -90,13 +90,11 @@ def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return at.select("source", (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("threshold"))
 
 
-def mix(rows: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
-    """The rows of `rows(doc_id, source, size)` with source_size, target and `taken`.
+def source_limits(rows: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
+    """(source, source_size, target, repeats, threshold) for `rows(doc_id, source, size)`, a row per source.
 
-    `taken` is a multiple (0 to `most`) of the document's size. Null sources are one source, after
-    all others. Rows that share a doc_id share their hash and are taken together, so a source's
-    words miss its target by at most half the words of one hash. Extra columns are kept; an empty
-    table gives none. `rows` is read several times: pass a written table.
+    A source takes each document `repeats` times, and once more if its hash lies under `threshold`.
+    `rows` is read several times: pass a written table.
     """
     targets = materialize(source_targets(rows, weights, share, most), "targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -105,7 +103,26 @@ def mix(rows: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, i
     hashed = rows.select("source", "size", draw(F.col("doc_id")).alias("draw")).filter("size > 0")
     limits = materialize(_thresholds(hashed, budgets), "thresholds").select(F.col("source").alias("_t"), "threshold")
     known = targets.join(limits, F.col("source").eqNullSafe(F.col("_t")), "left")
-    known = known.select(F.col("source").alias("_source"), "source_size", "target", repeats.alias("_repeats"), F.coalesce("threshold", F.lit(0)).alias("_threshold"))
+    return known.select("source", "source_size", "target", repeats.alias("repeats"), F.coalesce("threshold", F.lit(0)).alias("threshold"))
+
+
+def take(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """The rows of `rows(doc_id, source, size)` with source_size, target and `taken`, by `source_limits`."""
+    known = limits.select(
+        F.col("source").alias("_source"), "source_size", "target", F.col("repeats").alias("_repeats"), F.col("threshold").alias("_threshold")
+    )
     joined = rows.join(known, F.col("source").eqNullSafe(F.col("_source")))
     times = F.col("_repeats") + F.when(draw(F.col("doc_id")) < F.col("_threshold"), 1).otherwise(0)
     return joined.select(*rows.columns, "source_size", "target", (F.col("size") * times).alias("taken"))
+
+
+def mix(rows: DataFrame, weights: Sequence[int] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
+    """The rows of `rows(doc_id, source, size)` with source_size, target and `taken`.
+
+    `taken` is a multiple (0 to `most`) of the document's size. Null sources are one source, after
+    all others. Rows that share a doc_id share their hash and are taken together, so a source's
+    words miss its target by at most half the words of one hash; rows without doc_id share one hash.
+    Extra columns are kept; an empty table gives none. `rows` is read several times: pass a written
+    table.
+    """
+    return take(rows, source_limits(rows, weights, share, most))

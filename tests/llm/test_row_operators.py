@@ -204,6 +204,19 @@ def test_query_matches_its_sql(spark, db, name, monkeypatch):
     assert oracle_compare.differences(spark, db, FOLDER, name) is None
 
 
+def test_mixture_stage_takes_rows_without_id_and_repeated_ids(spark, documents):
+    rows = [(None, "a b c", "x"), (7, "d e", "x"), (7, "f g h i", "y"), (8, "", "y"), (9, "j", None), (9, "j", None)] + [(100 + k, "k l m n o", "z") for k in range(40)]
+    docs = documents(*rows).withColumn("size", F.lit("own")).withColumn("taken", F.lit("own"))
+    stage = dict(corpus_pipeline.STAGES)["source_mixing"](spark, docs, "")
+    assert stage.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in stage.collect())
+    sized = docs.select("doc_id", "text", "source", mixing.n_words(F.col("text")).alias("size"))
+    expected = Counter()
+    for r in mixing.mix(sized).collect():
+        expected[r["doc_id"], r["text"], r["source"]] += r["taken"] // r["size"] if r["size"] else 0
+    assert got == +expected and {r["size"] for r in stage.collect()} == {"own"}
+
+
 def test_pipeline_stages(spark):
     docs = queries.table(spark, FOLDER, "documents")
     sizes = [docs.count()]
