@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: five stages, each the next one's input.
 
 1. quality classifier: documents that it rejects go.
-2. n-gram Jaccard join: of each group of near-duplicates the document with the smallest doc_id stays.
+2. n-gram Jaccard join: of each group of near-duplicates the row with the smallest doc_id stays, and
+   no second row of the same document.
 3. suffix-array dedup: strings of 200 bytes that start more than once are cut from the texts.
 4. mixing sources to target weights: rows repeat or go as their source's target asks.
 5. best-fit packing: the documents' tokens take places in sequences of 2048.
@@ -32,10 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group. Rows without doc_id or words stay."""
-    groups = ngram_jaccard.jaccard_groups(docs)
-    extra = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group, the one with the smallest doc_id, null ids last. Rows without words stay."""
+    return ngram_jaccard.first_of_groups(docs)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

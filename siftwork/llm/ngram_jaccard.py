@@ -9,7 +9,8 @@ allow is decided by binary probes of the remaining shingles in the partner's sor
 * Shingle counts over all documents put the frequent lists last. Only shingles above a count that
   at most `FREQUENT` shingles reach (a bound for the broadcast) are told apart; the order affects
   speed alone, never the result.
-* Equal sets are one vertex from the start, so copies cost one row each.
+* Equal sets are one vertex from the start, so copies cost one row each. A vertex is named by a row
+  number of this run, never by a doc_id: ids may repeat or be null.
 * Lists are not expanded into all pairs: documents meet a few hubs of their lists first, join
   components, and only documents of different components still meet. The share of hubs grows
   until it covers all documents, so every similar pair is either linked or already connected.
@@ -18,10 +19,11 @@ allow is decided by binary probes of the remaining shingles in the partner's sor
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm import words as w
@@ -35,6 +37,12 @@ LEAST_COUNT = 16
 _TURN = 1 << 30
 
 
+def row_keys() -> list[Column]:
+    """k1 and k2: 128 bits that name a pair of doc_id and text, null ids included."""
+    parts = (F.col("doc_id").cast("long"), F.col("text"))
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2")]
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -98,13 +106,13 @@ def _frequent(docs: DataFrame, width: int, bound: int) -> tuple[np.ndarray, np.n
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, bound: int) -> DataFrame:
-    """(doc_id, n, h1, h2, tokens): size and fingerprint of the set, and its short lists, rarest first."""
+    """(doc_id, k1, k2, n, h1, h2, tokens): size and fingerprint of the set, and its short lists, rarest first."""
     known = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width, bound))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, levels = known.value
         for rows in w.chunks(batches, "text"):
-            owner, hashes = w.shingles(*w.utf8(rows.column(1)), width)
+            owner, hashes = w.shingles(*w.utf8(rows.column(3)), width)
             n = np.bincount(owner, minlength=len(rows))
             first = np.cumsum(n) - n
             fingerprints = []
@@ -121,31 +129,45 @@ def _prefixes(docs: DataFrame, width: int, percent: int, bound: int) -> DataFram
             skipped = (n * percent + 99) // 100 - 1
             short = order[place < (n - skipped)[owner]]
             lists = w.ragged(_signed(hashes[short]), owner[short], len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), *fingerprints, lists], ["doc_id", "n", "h1", "h2", "tokens"])
+            own = [rows.column(k) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), *fingerprints, lists], ["doc_id", "k1", "k2", "n", "h1", "h2", "tokens"])
+
+    read = docs.select(F.col("doc_id").cast("long"), *row_keys(), "text")
+    return read.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, h1 long, h2 long, tokens array<long>")
+
+
+@dataclass(frozen=True)
+class _Texts:
+    """Where the texts of the vertices are: the documents, and `heads(doc, k1, k2)`, a row's key per vertex."""
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, tokens array<long>")
+    docs: DataFrame
+    heads: DataFrame
+    repeat: bool  # whether several rows can have one key
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, tokens): the whole sorted sets of the documents named in `ids(doc_id)`."""
-    marks = Bitmap(ids, "doc_id", ids.count())
+def _sets(texts: _Texts, ids: DataFrame, width: int) -> DataFrame:
+    """(doc, tokens): the whole sorted sets of the vertices named in `ids(doc)`."""
+    wanted = materialize(texts.heads.join(ids, "doc", "left_semi"), "wanted")
+    marks = Bitmap(wanted, "k1", wanted.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             there = marks.holds(batch.column(0).to_numpy())
             for rows in w.chunks(iter([batch.filter(pa.array(there))]), "text"):
-                owner, hashes = w.shingles(*w.utf8(rows.column(1)), width)
-                yield pa.RecordBatch.from_arrays([rows.column(0), w.ragged(_signed(hashes), owner, len(rows), pa.int64())], ["doc_id", "tokens"])
+                owner, hashes = w.shingles(*w.utf8(rows.column(2)), width)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), w.ragged(_signed(hashes), owner, len(rows), pa.int64())], ["k1", "k2", "tokens"])
 
-    read = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
-    return read.mapInArrow(run, "doc_id long, tokens array<long>").join(ids, "doc_id", "left_semi")
+    found = texts.docs.select(*row_keys(), "text").mapInArrow(run, "k1 long, k2 long, tokens array<long>")
+    if texts.repeat:
+        found = found.groupBy("k1", "k2").agg(F.first("tokens").alias("tokens"))
+    return found.join(wanted, ["k1", "k2"]).select("doc", "tokens")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _similar(pairs: DataFrame, texts: _Texts, width: int, percent: int) -> DataFrame:
     """The rows of `pairs(a, b)` that reach the required overlap, found by binary probes."""
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct(), "ids")
-    with batches_of(docs.sparkSession, 2048):
-        sets = materialize(_sets(docs, ids, width), "sets")
+    ids = materialize(pairs.select(F.col("a").alias("doc")).distinct().union(pairs.select("b").distinct()).distinct(), "ids")
+    with batches_of(pairs.sparkSession, 2048):
+        sets = materialize(_sets(texts, ids, width), "sets")
     discard(ids)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,15 +184,15 @@ def _similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             kept = rows.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
 
-    both = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+    both = pairs.select("a", "b").join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a")
+    both = both.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
     with batches_of(pairs.sparkSession, 256):
         found = materialize(both.mapInArrow(probe, "a long, b long").distinct(), "links")
     discard(sets)
     return found
 
 
-def _groups(docs: DataFrame, lists: DataFrame, width: int, percent: int) -> DataFrame:
+def _groups(texts: _Texts, lists: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) over the documents of `lists(token, doc, n, pos)`."""
     turn = F.pmod(F.xxhash64("doc"), F.lit(_TURN))
     # what the pair must share; a shingle behind the first n - needed places of either is a long list for it
@@ -180,7 +202,7 @@ def _groups(docs: DataFrame, lists: DataFrame, width: int, percent: int) -> Data
     met = lists.join(hub_of, "token").withColumns({"b": F.col("hub.doc"), "hub_n": F.col("hub.n"), "hub_pos": F.col("hub.pos")}).filter((F.col("doc") != F.col("b")) & fits)
     often = met.groupBy(F.col("doc").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     start = materialize(often.filter(700 * F.col("c") >= (100 - percent) * F.col("n")).select("a", "b"), "pairs")
-    links = _similar(start, docs, width, percent)
+    links = _similar(start, texts, width, percent)
     discard(start)
     done = 0
     while True:
@@ -203,33 +225,64 @@ def _groups(docs: DataFrame, lists: DataFrame, width: int, percent: int) -> Data
         counted = met.groupBy(F.col("doc").alias("a"), F.col("hub_doc").alias("b"), "n", "hub_n").agg(F.count(F.lit(1)).alias("c"), F.max("pos").alias("i"), F.max("hub_pos").alias("j"))
         most = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("hub_n") - F.col("j")) - 1
         pairs = materialize(counted.filter(most * (100 + percent) >= percent * (F.col("n") + F.col("hub_n"))).select("a", "b"), "pairs")
-        links = links.union(_similar(pairs, docs, width, percent))
+        links = links.union(_similar(pairs, texts, width, percent))
         lists = lists_left.select("token", "doc", "n", "pos")
         discard(pairs)
         done = until
 
 
+def _judged(docs: DataFrame, width: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k1, k2, n, first) of every row, and `repeated(k1, k2)`, the keys of several rows with words.
+
+    `first` is the key of the row that leads the component: the smallest doc_id, null ids last; its
+    fields are no_id, doc_id, k1, k2, doc. It is null where the text has no words.
+    """
+    docs = docs.select("doc_id", "text")
+    with batches_of(docs.sparkSession, 2048):
+        rows = materialize(_prefixes(docs, width, percent, frequent).withColumn("doc", F.monotonically_increasing_id()), "prefixes")
+    worded, key = rows.filter("n > 0"), ["n", "h1", "h2"]
+    repeated = materialize(worded.groupBy("k1", "k2").count().filter("count > 1").select("k1", "k2"), "repeated")
+    leader = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "k1", "k2", "doc")
+    classes = materialize(worded.groupBy(*key).agg(F.min(leader).alias("own")), "classes")
+    heads = classes.select("own.doc", "own.k1", "own.k2")
+    postings = worded.join(heads.select("doc"), "doc", "left_semi").select("doc", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "doc", "n", "pos")
+    known = materialize(_shared(postings), "lists")
+    groups = _groups(_Texts(docs, heads, not repeated.isEmpty()), known, width, percent)
+    linked = materialize(groups.join(classes.select(F.col("own.doc").alias("node"), "own"), "node"), "linked")
+    firsts = linked.groupBy("component").agg(F.min("own").alias("first"))
+    moved = linked.join(firsts, "component").select(F.col("node").alias("doc"), "first")
+    labels = classes.withColumn("doc", F.col("own.doc")).join(moved, "doc", "left").select(*key, F.coalesce("first", "own").alias("first"))
+    return rows.select("doc_id", "k1", "k2", *key).join(labels, key, "left").select("doc_id", "k1", "k2", "n", "first"), repeated
+
+
 def jaccard_groups(docs: DataFrame, width: int = w.SHINGLE, percent: int = 75, frequent: int = FREQUENT) -> DataFrame:
     """One row per row of `docs(doc_id, text)`: doc_id, n_shingles, component_id.
 
     Two documents link when 100 * intersection >= percent * union of their distinct shingles;
     component_id is the smallest doc_id reachable by links, the document itself included. Texts
     that are null, empty or without words have no shingles and link with nothing, not even each
-    other. A null doc_id gets its count and a null component_id. Rows that repeat a doc_id are
-    judged each by its own text. Other columns of `docs` are not read; an empty table gives none.
+    other. A null doc_id links like others, gets its count and a null component_id. Rows that repeat
+    a doc_id are judged each by its own text. Other columns of `docs` are not read; an empty table
+    gives none.
     """
-    docs = docs.select("doc_id", "text")
-    with batches_of(docs.sparkSession, 2048):
-        rows = materialize(_prefixes(docs, width, percent, frequent), "prefixes")
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(classes, "classes")
-    heads = rows.join(classes.select(F.col("rep").alias("doc_id"), "n", "h1", "h2"), ["doc_id", "n", "h1", "h2"], "left_semi")
-    postings = heads.select(F.col("doc_id").alias("doc"), "n", F.posexplode("tokens").alias("pos", "token")).select("token", "doc", "n", "pos")
-    known = materialize(_shared(postings), "lists")
-    groups = _groups(docs, known, width, percent)
-    named = rows.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left")
-    named = named.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    judged, _ = _judged(docs, width, percent, frequent)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
+    return judged.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, width: int = w.SHINGLE, percent: int = 75, frequent: int = FREQUENT) -> DataFrame:
+    """Whole rows of `docs`: exactly one of each component of `jaccard_groups`, and every text without words.
+
+    The row with the smallest doc_id stays, null ids last; of rows with equal doc_id and text the
+    smallest by its columns in order.
+    """
+    judged, repeated = _judged(docs, width, percent, frequent)
+    extra = materialize(judged.filter("n > 0 and not (k1 = first.k1 and k2 = first.k2)").select("k1", "k2").distinct(), "extra")
+    kept = docs.select(F.struct("*").alias("_row"), *row_keys()).join(extra, ["k1", "k2"], "left_anti")
+    if repeated.isEmpty():
+        return kept.select("_row.*")
+    once = kept.join(repeated, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("_row").alias("_row"))
+    return kept.join(repeated, ["k1", "k2"], "left_anti").select("_row").union(once.select("_row")).select("_row.*")
 
 
 def _shared(postings: DataFrame) -> DataFrame:

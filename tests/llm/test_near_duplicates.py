@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from siftwork.llm import embedding_dedup, ngram_jaccard
 from siftwork.llm.components import connected_components
 
@@ -87,6 +88,35 @@ def test_a_long_text_and_repeated_rows(documents):
     assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (2, 1), (2, 1), (3, 3)]
 
 
+def brute_rows(rows):
+    """Per row: count of shingles, the component's smallest id, and whether the row leads its component."""
+    sets = [shingle_set(r[1]) for r in rows]
+    edges = [(a, b) for a in range(len(rows)) for b in range(a) if (both := len(sets[a] & sets[b])) and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)]
+    lead, members = leaders(range(len(rows)), edges), {}
+    for k in range(len(rows)):
+        members.setdefault(lead[k], []).append(k)
+    ids = {c: [rows[k][0] for k in m if rows[k][0] is not None] for c, m in members.items()}
+    return [(r[0], len(sets[k]), None if r[0] is None else min(ids[lead[k]])) for k, r in enumerate(rows)], [(min(ids[c], default=None), [rows[k] for k in m]) for c, m in members.items()]
+
+
+def test_rows_that_share_an_id_or_have_none(spark, documents):
+    base, other, third, lone = (" ".join(f"{p}{k}" for k in range(40)) for p in "abcd")
+    rows = [
+        (3, base), (7, other), (7, base + " tail"), (7, base), (5, third), (5, third), (5, third + " end"), (5, third, "t"), (None, third), (9, None), (9, None), (9, " "),
+        (None, lone), (None, lone), (None, lone + " x"), (None, ""), (8, other + " y"), (11, "p q"), (11, "p q"), (11, "r s"), (12, "r  S"),
+    ]
+    expected, components = brute_rows(rows)
+    found = ngram_jaccard.jaccard_groups(documents(*rows)).collect()
+    show = lambda x: sorted(map(repr, x))
+    assert show((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == show(expected)
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, documents(*rows), "")
+    left = [(r["doc_id"], r["text"]) for r in stage.collect()]
+    for first, members in components:
+        of_group = [r for r in left if r in {m[:2] for m in members}]
+        assert len(of_group) == (left.count(of_group[0]) if not shingle_set(members[0][1]) else 1) and of_group[0][0] == first
+    assert len(left) == len(components) and stage.columns == documents().columns
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_components(spark, seed):
     rng = random.Random(seed)
