@@ -486,6 +486,8 @@ ORACLES: dict[str, str] = {
                [2, 2, 1, 0, 3][p_partkey % 5 + 1]::BIGINT AS replacements FROM part""",
     "update_header": f"""
         SELECT {RENAME_PATH} AS path, {rename_text(*BEFORE, HEADER_MOVED)} AS content_hex, p_partkey % 5 < 2 AS changed FROM part WHERE {MOVED}""",
+    "update_header_all_files": f"""
+        SELECT {RENAME_PATH} AS path, {rename_text(*BEFORE, HEADER_MOVED)} AS content_hex, {MOVED} AND p_partkey % 5 < 2 AS changed FROM part""",
     "rewrite_plan": PLAN,
     "gated_rewrite_plan": f"""
         WITH p AS (SELECT *, regexp_extract(src, 'f([0-9]+)', 1)::BIGINT % 20 AS n FROM ({PLAN}))

@@ -284,6 +284,17 @@ def update_header(spark: SparkSession, folder: str) -> DataFrame:
     return headed.select("path", F.hex(F.encode("_h.text", "ISO-8859-1")).alias("content_hex"), F.col("_h.changed").alias("changed"))
 
 
+def update_header_all_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file of rename_files; one that does not move keeps its text."""
+    moves = v.rename_moves(spark, folder).withColumnRenamed("src", "path")
+    files = v.rename_files(spark, folder).join(moves, ["repo", "path"], "left")
+    text = F.decode("content", "ISO-8859-1")
+    kept = F.struct(text.alias("text"), F.lit(False).alias("changed"))
+    head = F.when(F.col("dst").isNull(), kept).otherwise(rewrite.update_header(text, F.col("path"), F.col("dst")))
+    headed = files.select("path", head.alias("_h"))
+    return headed.select("path", F.hex(F.encode("_h.text", "ISO-8859-1")).alias("content_hex"), F.col("_h.changed").alias("changed"))
+
+
 def _plan(spark: SparkSession, folder: str) -> DataFrame:
     return rewrite.rewrite_plan(v.rename_files(spark, folder), v.rename_moves(spark, folder), v.NAMESPACES)
 
@@ -459,7 +470,7 @@ QUERIES: dict[str, Query] = {
         project_names, project_edges, dangling_references, adjacency, strong_components, find_cycles,
         layer_of, layer_violations, unassigned_projects,
         sarif_diagnostics, sarif_contexts, select_removable, keep_directive_lines, remove_lines, unreadable_logs, prune_report, prune_status,
-        validate_moves, rename_namespaces, update_header, rewrite_plan, gated_rewrite_plan, rewrite_summary, replaced_files,
+        validate_moves, rename_namespaces, update_header, update_header_all_files, rewrite_plan, gated_rewrite_plan, rewrite_summary, replaced_files,
         read_move_maps, map_moves, rewrite_plan_by_map,
         ddl_tables, list_tables, list_named_tables, table_names, describe_table, describe_tables,
         active_sessions, top_sql_by_cpu, top_sql_by_default, tablespace_usage, invalid_objects, snapshot_sql,
