@@ -2,8 +2,9 @@
 
 A page is read once into blocks of text, each with its path of block elements from the root.
 Per path, text length and punctuation per block are summed; ratios are smoothed over neighbouring
-paths in page order and fused into one score; paths above a threshold are content. The element
-that holds most content bounds the article, so short blocks inside stay and long ones outside go.
+paths in page order and fused into one score; paths above a threshold are content. The article or
+main element with most content bounds the article, else the smallest element with all content, so
+short blocks inside stay and long ones outside go.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ BLOCKS = frozenset(
     "html head body main article section nav aside header footer address h1 h2 h3 h4 h5 h6 hgroup p div ul ol li dl dt dd blockquote pre "
     "figure figcaption table caption thead tbody tfoot tr td th form fieldset details summary dialog menu search center".split()
 )
-HIDDEN = frozenset("head nav aside footer form button select option svg math canvas object audio video dialog menu search datalist".split())
+HIDDEN = frozenset("head nav aside footer button select option svg math canvas object audio video dialog menu search datalist".split())
 #: Words of class, id and role that name page furniture.
 FURNITURE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead banner ad ads advert adverts advertisement advertising sponsor "
     "sponsored promo promotion notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login comment comments "
     "respond disqus share sharing social related recommended toolbar pagination pager widget widgets search contentinfo complementary skip".split()
 )
+#: Elements that only group list items, cells and headings.
+GROUPS = frozenset("ul ol dl li dt dd table caption thead tbody tfoot tr td th hgroup figure figcaption blockquote".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -50,6 +53,7 @@ class Block:
     text: str
     hidden: bool
     linked: int  # characters inside links
+    forms: tuple[int, ...]  # those of the elements that are forms
 
 
 def _is_furniture(tag: str, attributes: str) -> bool:
@@ -80,7 +84,7 @@ def read_blocks(page: str) -> list[Block]:
         text = " ".join("".join(words).split())
         if text:
             blocks = [s for s in stack if s[0] in BLOCKS]
-            out.append(Block(tuple(s[1] for s in blocks), tuple(s[2] for s in blocks), text, any(s[3] for s in stack), linked))
+            out.append(Block(tuple(s[1] for s in blocks), tuple(s[2] for s in blocks), text, any(s[3] for s in stack), linked, tuple(s[2] for s in blocks if s[0] == "form")))
         words.clear()
         linked = 0
 
@@ -156,9 +160,41 @@ def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
     return dict(zip(order, fused.tolist()))
 
 
+def visible_blocks(page: str) -> list[Block]:
+    """Blocks outside furniture. A form is furniture too, unless it holds more than half of the page's other text."""
+    blocks = [b for b in read_blocks(page) if not b.hidden]
+    inside: dict[int, int] = {}
+    for b in blocks:
+        for form in b.forms:
+            inside[form] = inside.get(form, 0) + len(b.text)
+    half = sum(len(b.text) for b in blocks) / 2
+    return [b for b in blocks if all(inside[form] > half for form in b.forms)]
+
+
+def _article_of(blocks: list[Block], is_content: list[bool], depth: int) -> list[Block]:
+    """The blocks that belong to content spread over the children of an element at `depth` that is not the article's own.
+
+    Children that hold content stay whole. Of the others those stay that are a paragraph, heading, list
+    or table beside them; before the first and behind the last content lists of links do not.
+    """
+    places = [k for k, c in enumerate(is_content) if c]
+    holding = {blocks[k].nodes[: depth + 1] for k in places if len(blocks[k].nodes) > depth}
+
+    def belongs(k: int, b: Block) -> bool:
+        if is_content[k] or len(b.nodes) > depth and b.nodes[: depth + 1] in holding:
+            return True
+        below, between = b.path[depth:], places[0] < k < places[-1]
+        if not below:
+            return between
+        grouped = (below[-1] in LEAVES or below[-1] in GROUPS) and GROUPS.issuperset(below[:-1])
+        return grouped and (between or len(below) == 1 or 2 * b.linked <= len(b.text))
+
+    return [b for k, b in enumerate(blocks) if belongs(k, b)]
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by an empty line; empty if the page has none."""
-    blocks = [b for b in read_blocks(page or "") if not b.hidden]
+    blocks = visible_blocks(page or "")
     if not blocks:
         return ""
     scores = path_scores(blocks)
@@ -170,17 +206,17 @@ def main_text(page: str | None) -> str:
         for depth in range(len(b.nodes) + 1):
             weight[b.nodes[:depth]] = weight.get(b.nodes[:depth], 0) + len(b.text)
             labels[b.nodes[:depth]] = b.path[depth - 1] if depth else "html"
-    # an article or main element with the most content, the outermost of these; else the smallest element with most of it
+    # an article or main element with the most content, the outermost of these; else the smallest element with all of it
     named = [n for n in weight if labels[n] in ("article", "main")]
     if named:
         home = max(named, key=lambda n: (weight[n], -len(n)))
         return "\n\n".join(b.text for b in blocks if b.nodes[: len(home)] == home)
-    home = max((n for n in weight if 10 * weight[n] >= 9 * weight[()]), key=len)
+    home = max((n for n in weight if weight[n] == weight[()]), key=len)
     while labels[home] in LEAVES:  # a lone paragraph: its neighbours belong to it
         home = home[:-1]
     inside = [b for b in blocks if b.nodes[: len(home)] == home]
-    if labels[home] in ("html", "body"):  # the article has no element of its own
-        inside = [b for b in inside if scores[b.path] >= threshold or b.path[-1:] and b.path[-1] in LEAVES and len(b.nodes) == len(home) + 1]
+    if labels[home] in ("html", "body", "form"):  # the article has no element of its own
+        inside = _article_of(inside, [scores[b.path] >= threshold for b in inside], len(home))
     return "\n\n".join(b.text for b in inside)
 
 

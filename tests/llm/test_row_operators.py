@@ -127,6 +127,24 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+LEAD, STORY = "A lead, short.", [f"Sentence {k} of the story, with commas, and more words to be long." for k in range(6)]
+TOLD = "".join(f"<p>{s}</p>" for s in STORY)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><div class=lead><p>{LEAD}</p></div><div class=story>{TOLD}</div></body>", [LEAD, *STORY]),
+        (f"<body><div><h2>One</h2>{TOLD}<ul><li>item</li></ul></div><div><h2>Two</h2><table><tr><td>cell</td></tr></table>{TOLD}</div></body>", ["One", *STORY, "item", "Two", "cell", *STORY]),
+        (f"<body><ul><li><a href=x>Home page</a></li></ul><div>{TOLD}</div><h2>Mid</h2><ul><li><a href=y>See</a></li></ul><div>{TOLD}</div><ol><li>note</li></ol></body>", [*STORY, "Mid", "See", *STORY, "note"]),
+        (f"<body><form id=aspnetForm><div class=menu>Menu</div><div><h1>Top</h1>{TOLD}</div><div><h3>Sub</h3>{TOLD}</div></form><form>Your mail</form></body>", ["Top", *STORY, "Sub", *STORY]),
+        (f"<form id=f><article><h1>Top</h1>{TOLD}</article></form>", ["Top", *STORY]),
+    ],
+)
+def test_main_text_without_an_element_of_its_own(page, text):
+    assert html_extract.main_text(page) == "\n\n".join(text)
+
+
 def test_extraction_of_a_table(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<article><p>é</p></article>", "x"), (None, None, "", "x")], "page_id long, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in html_extract.extract(pages).collect()) == [("", 0), ("", 0), ("é", 1)]
