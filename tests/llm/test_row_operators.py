@@ -203,6 +203,33 @@ def test_url_parts_rules_and_links(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_trust_settles_on_chains_rings_and_links_without_a_scheme(spark):
+    chain = [(f"c{k}.net", f"c{k + 1}.net") for k in range(14)]  # the last one is blocked by rule
+    graph = [*chain, ("c14.net", "example.org"), ("r0.net", "r1.net"), ("r1.net", "r2.net"), ("r2.net", "r0.net"), ("r1.net", "x.com"), ("far.net", "c0.net"), ("good.org", "r0.net")]
+    paths = {"example.org": "/es/", "x.com": "/de/", "good.org": "/"}
+    rows, hosts = [], sorted({h for e in graph for h in e})
+    for k, h in enumerate(hosts):
+        links = "".join(f'<a href="//{b}/p">' if b in ("c0.net", "c5.net") else f"<a href=http://{b}/>" for a, b in graph if a == h)
+        rows.append((k, f"https://{h}{paths.get(h, '/')}", links))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["host"]: r["verdict"] for r in url_filter.judge(pages).collect()}
+    assert all(found[f"c{k}.net"] == "block" for k in range(15)) and found["far.net"] == "block"
+
+    at = {h: k for k, h in enumerate(hosts)}
+    links = np.zeros((len(hosts),) * 2)
+    for a, b in graph:
+        links[at[a], at[b]] += 1
+    exact = []
+    for moves, seeds in ((links, ["good.org"]), (links.T, ["example.org", "x.com"])):
+        share = moves / np.maximum(moves.sum(1, keepdims=True), 1)
+        start = np.array([0.15 * (h in seeds) for h in hosts])
+        exact.append(np.linalg.solve(np.eye(len(hosts)) - 0.85 * share.T, start))
+    edges = url_filter.host_edges(pages.select(url_filter.host_of(F.col("url")).alias("host"), "html"))
+    seeds = spark.createDataFrame([("good.org", 1, 0), ("example.org", 0, 1), ("x.com", 0, 1)], "host string, trust long, distrust long")
+    for r in url_filter.propagate(edges, seeds).collect():
+        assert (r["trust"], r["distrust"]) == pytest.approx((exact[0][at[r["host"]]], exact[1][at[r["host"]]]), rel=1e-6, abs=0)
+
+
 # --- registered queries
 
 
