@@ -192,6 +192,28 @@ REGION_PLAN = f"""
            {REGION_TEXT} AS content, {REGION_HITS} AS replacements, {REGION_MOVED} AND p_partkey % 5 < 2 AS header_updated,
            p_partkey % 25 = 3 AS unreadable
     FROM part WHERE {REGION_MOVED} OR p_partkey % 25 = 3 OR {REGION_HITS} > 0"""
+
+# Per part: the same with a map of its own, which moves the part's own file.
+PART_RENAMES, PART_MOVED = "p_partkey % 4 < 2", "p_partkey % 4 < 3"
+PART_MOVED_PATH = "'src/New/f' || p_partkey || ['.cs','.cs','.csproj','.json','.cs'][p_partkey % 5 + 1]"
+PART_HITS = f"CASE WHEN {PART_RENAMES} THEN {HITS} ELSE 0 END"
+
+
+def part_name(new: str, old: str) -> str:
+    return f"' || CASE WHEN {PART_RENAMES} THEN {new} ELSE '{old}' END || '"
+
+
+PART_TEXT = rename_text(
+    part_name("'Part' || p_partkey || '.Old'", "Kiln.Clay"),
+    part_name("'Deep' || p_partkey", "Kiln.Clay.Deep"),
+    part_name("'Kiln.Clay'", "Kiln.Glaze"),
+    f"CASE WHEN {PART_MOVED} THEN 'src/New' ELSE 'src/Old' END",
+)
+PART_PLAN = f"""
+    SELECT 'part-' || p_partkey AS repo, {RENAME_PATH} AS src, CASE WHEN {PART_MOVED} THEN {PART_MOVED_PATH} ELSE {RENAME_PATH} END AS dst,
+           {PART_TEXT} AS content, {PART_HITS} AS replacements, {PART_MOVED} AND p_partkey % 5 < 2 AS header_updated,
+           p_partkey % 25 = 3 AS unreadable
+    FROM part WHERE {PART_MOVED} OR p_partkey % 25 = 3 OR {PART_HITS} > 0"""
 FAULTY = """
     SELECT p_partkey, CASE WHEN p_partkey % 7 = 1 THEN 'src/gone' || p_partkey || '.cs' ELSE 'src/f' || p_partkey || '.cs' END AS src,
            CASE p_partkey % 7 WHEN 2 THEN 'src/f' || (p_partkey - p_partkey % 14) || '.cs' WHEN 3 THEN 'new/shared' || (p_partkey // 14) || '.cs'
@@ -507,6 +529,13 @@ ORACLES: dict[str, str] = {
         SELECT 'region-' || r_regionkey AS repo, 'src/Old/f' || r_regionkey || '.cs' AS src, 'src/New/f' || r_regionkey || '.cs' AS dst
         FROM region WHERE r_regionkey % 4 < 3""",
     "rewrite_plan_by_map": REGION_PLAN,
+    "read_part_move_maps": """
+        SELECT 'part-' || p_partkey AS repo, CASE WHEN p_partkey % 4 < 3 THEN 1::BIGINT END AS moves,
+               CASE WHEN p_partkey % 4 < 2 THEN 3::BIGINT WHEN p_partkey % 4 = 2 THEN 0::BIGINT END AS namespaces,
+               CASE WHEN p_partkey % 4 < 3 THEN 'ok' ELSE 'cannot read map' END AS status
+        FROM part""",
+    "map_part_moves": f"SELECT 'part-' || p_partkey AS repo, {RENAME_PATH} AS src, {PART_MOVED_PATH} AS dst FROM part WHERE {PART_MOVED}",
+    "rewrite_plan_by_part_map": PART_PLAN,
     "ddl_tables": """
         SELECT 's' || s_suppkey || '.sql' AS script, 1::BIGINT AS pos, 't_' || s_suppkey AS "table", 'id, name, n_' || s_nationkey || ', PRIMARY' AS columns FROM supplier
         UNION ALL SELECT 's' || s_suppkey || '.sql', 2, 'u_' || s_suppkey, 'id' FROM supplier""",

@@ -318,17 +318,34 @@ def replaced_files(spark: SparkSession, folder: str) -> DataFrame:
     return rewrite.replaced_files(_plan(spark, folder))
 
 
-def read_move_maps(spark: SparkSession, folder: str) -> DataFrame:
-    read = rewrite.read_move_maps(v.move_map_texts(spark, folder))
-    return read.select(
+def _map_sizes(texts: DataFrame) -> DataFrame:
+    return rewrite.read_move_maps(texts).select(
         "repo", F.size("moves").cast("bigint").alias("moves"), F.size("namespaces").cast("bigint").alias("namespaces"), "status"
     )
 
 
+def read_move_maps(spark: SparkSession, folder: str) -> DataFrame:
+    return _map_sizes(v.move_map_texts(spark, folder))
+
+
+def read_part_move_maps(spark: SparkSession, folder: str) -> DataFrame:
+    return _map_sizes(v.part_map_texts(spark, folder))
+
+
 def map_moves(spark: SparkSession, folder: str) -> DataFrame:
     return rewrite.map_moves(rewrite.read_move_maps(v.move_map_texts(spark, folder)))
 
 
+def map_part_moves(spark: SparkSession, folder: str) -> DataFrame:
+    return rewrite.map_moves(rewrite.read_move_maps(v.part_map_texts(spark, folder)))
+
+
+def rewrite_plan_by_part_map(spark: SparkSession, folder: str) -> DataFrame:
+    maps = rewrite.read_move_maps(v.part_map_texts(spark, folder))
+    plan = rewrite.rewrite_plan(v.part_rename_files(spark, folder), rewrite.map_moves(maps), maps)
+    return plan.withColumn("content", F.hex("content"))
+
+
 def rewrite_plan_by_map(spark: SparkSession, folder: str) -> DataFrame:
     maps = rewrite.read_move_maps(v.move_map_texts(spark, folder))
     plan = rewrite.rewrite_plan(v.regional_rename_files(spark, folder), rewrite.map_moves(maps), maps)
@@ -471,7 +488,7 @@ QUERIES: dict[str, Query] = {
         layer_of, layer_violations, unassigned_projects,
         sarif_diagnostics, sarif_contexts, select_removable, keep_directive_lines, remove_lines, unreadable_logs, prune_report, prune_status,
         validate_moves, rename_namespaces, update_header, update_header_all_files, rewrite_plan, gated_rewrite_plan, rewrite_summary, replaced_files,
-        read_move_maps, map_moves, rewrite_plan_by_map,
+        read_move_maps, map_moves, rewrite_plan_by_map, read_part_move_maps, map_part_moves, rewrite_plan_by_part_map,
         ddl_tables, list_tables, list_named_tables, table_names, describe_table, describe_tables,
         active_sessions, top_sql_by_cpu, top_sql_by_default, tablespace_usage, invalid_objects, snapshot_sql,
         env_entries, effective_config, resolve_placeholders, fill_templates, connection_inventory,

@@ -347,6 +347,26 @@ def regional_rename_files(spark: SparkSession, folder: str) -> DataFrame:
     return rename_files(spark, folder).withColumn("repo", _t("region-", number % 6))
 
 
+def part_map_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """A map file per part, in the part's own repository: renames and a move, only a move, or a broken one."""
+    k = F.col("p_partkey")
+    name = _t("f", k, _pick(k % 5, ".cs", ".cs", ".csproj", ".json", ".cs"))
+    move = _t('{"from": "src/./Old/', name, '", "to": "src\\\\New\\\\', name, '"}')
+    names = _t('{"Kiln.Clay": "Part', k, '.Old", "Kiln.Clay.Deep": "Deep', k, '", "Kiln.Glaze": "Kiln.Clay"}')
+    body = (
+        F.when(k % 4 < 2, _t('{"moves": [', move, '], "namespaces": ', names, "}"))
+        .when(k % 4 == 2, _t('{"moves": [', move, "]}"))
+        .otherwise(_t('{"moves": [{"from": "only"}]}'))
+    )
+    return table(spark, folder, "part").select(_t("part-", k).alias("repo"), body.alias("body"))
+
+
+def part_rename_files(spark: SparkSession, folder: str) -> DataFrame:
+    """`rename_files`, each in the repository of its part."""
+    number = F.regexp_extract("path", "f([0-9]+)", 1)
+    return rename_files(spark, folder).withColumn("repo", _t("part-", number))
+
+
 def faulty_moves(spark: SparkSession, folder: str) -> DataFrame:
     """Moves by part: missing sources, taken targets, shared targets, chains."""
     k = F.col("p_partkey")
