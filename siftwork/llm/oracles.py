@@ -1,7 +1,8 @@
 """The same answers as SQL, where SQL can express them over whole tables.
 
 Not here: sharding (op1: approximate cell borders), packing (op2: tokenizer), extraction (op4: a parser),
-near-duplicates (op5, op10: components), repeats (op7: suffixes) and the trained classifier (op9).
+near-duplicates (op5, op10: components), repeats (op7: suffixes), the trained classifier (op9), tokens of two
+tokenizers (op11) and eigenvectors (op13).
 Tests compare these with brute force.
 """
 
@@ -107,4 +108,13 @@ SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host IN (SELECT ho
 """
 
 
-ORACLES: dict[str, str] = {"op3_source_mixing": _MIXING, "op6_url_filters": _url_sql(), "op8_quality_rules": _RULES}
+_COPIES = r"""
+WITH shaped AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
+placed AS (
+  SELECT doc_id, body, min(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS n, row_number() OVER w AS k
+  FROM shaped WINDOW w AS (PARTITION BY body ORDER BY doc_id NULLS LAST))
+SELECT doc_id, keep_id, CAST(n AS BIGINT) AS group_size, k = 1 AS kept, sha256(body) AS text_sha256 FROM placed
+"""
+
+
+ORACLES: dict[str, str] = {"op3_source_mixing": _MIXING, "op6_url_filters": _url_sql(), "op8_quality_rules": _RULES, "op12_exact_dedup": _COPIES}
