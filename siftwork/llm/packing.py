@@ -9,6 +9,7 @@ capacities. Spark counts lengths, orders pieces by length and hands each the pla
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -23,10 +24,18 @@ from siftwork.llm.batches import batches_of
 from siftwork.llm.order import with_place
 from siftwork.sources.checkpoints import materialize
 
+#: The pattern of the faster library runs out of stack on a million blanks in a row.
+_MANY_BLANKS = re.compile(r"\s{100000}")
+
 Encoder = Callable[[str], list[int]]
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def suits_fast(text: str) -> bool:
+    """Whether `tiktoken` can cut this text into words."""
+    return len(text) < 100_000 or not _MANY_BLANKS.search(text)
+
+
 def byte_bpe(json_path: str) -> Encoder:
     """The ids that `tokenizers` gives for this file without adding special tokens.
 
@@ -36,6 +45,7 @@ def byte_bpe(json_path: str) -> Encoder:
     if json_path not in _ENCODERS:
         from tokenizers import Tokenizer
 
+        slow = Tokenizer.from_file(json_path)
         ranks_path = json_path.removesuffix(".json") + ".tiktoken"
         try:
             import public_tokenizers
@@ -45,9 +55,8 @@ def byte_bpe(json_path: str) -> Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             special = {"<|endoftext|>": len(ranks)}
             fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            _ENCODERS[json_path] = lambda text: fast.encode(text, allowed_special="all")
+            _ENCODERS[json_path] = lambda text: fast.encode(text, allowed_special="all") if suits_fast(text) else slow.encode(text, add_special_tokens=False).ids
         except (ImportError, FileNotFoundError):
-            slow = Tokenizer.from_file(json_path)
             _ENCODERS[json_path] = lambda text: slow.encode(text, add_special_tokens=False).ids
     return _ENCODERS[json_path]
 

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm import (
-    embedding_dedup, hilbert_shards, html_extract, mixing, ngram_jaccard, packing, quality_classifier, quality_rules, suffix_dedup, url_filter,
+    alignment, embedding_dedup, exact_dedup, hilbert_shards, html_extract, mixing, ngram_jaccard, packing, quality_classifier, quality_rules,
+    suffix_dedup, url_filter, whitening,
 )
 from siftwork.sources.checkpoints import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
+OTHER_TOKENIZER = "piece_bpe_32k.model"
 ACCEPT = 0.3  # the least score of an accepted document
 SHARDS = 24
 
@@ -22,10 +24,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def op1_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,10 +86,24 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, folder, "documents"), tokenizer_path(), tokenizer_path(OTHER_TOKENIZER))
+
+
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, folder, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))  # null where no long can hold it
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_hilbert_shards, op2_best_fit_packing, op3_source_mixing, op4_html_extraction, op5_ngram_jaccard,
         op6_url_filters, op7_suffix_dedup, op8_quality_rules, op9_quality_classifier, op10_embedding_dedup,
+        op11_tokenizer_alignment, op12_exact_dedup, op13_embedding_whitening,
     )
 }
