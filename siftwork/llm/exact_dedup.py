@@ -61,6 +61,7 @@ def _fold(runs: DataFrame) -> DataFrame:
         for rows in batches:
             if not len(rows):
                 continue
+            rows = pa.RecordBatch.from_arrays(rows.columns, rows.schema.names)  # the same schema, nullable or not
             table = pa.Table.from_batches([*held, rows])
             first = bounds(table)
             n = np.add.reduceat(table.column("n").to_numpy(), first)

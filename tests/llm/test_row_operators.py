@@ -69,7 +69,7 @@ def test_pieces_hold_the_tokenizers_ids(documents):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(queries.tokenizer_path())
-    texts = ["", None, "Hello  world\n", "a<|endoftext|>b", "naïve 東京 🙂", "word " * 5000, "x" * 3000]
+    texts = ["", None, "Hello  world\n", "a<|endoftext|>b", "naïve 東京 🙂", "word " * 5000, "x" * 3000, " " * 1_000_000 + "end"]
     rows = packing.pack_documents(documents(*enumerate(texts)), queries.tokenizer_path(), with_ids=True).collect()
     pieces = defaultdict(list)
     for r in rows:
