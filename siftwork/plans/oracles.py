@@ -337,6 +337,22 @@ ORACLES: dict[str, str] = {
                    arg_min(strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' ' || upper(event_type) || ' user=' || user_id || ' props=' || props, event_id) AS line
             FROM events GROUP BY event_type)
         QUALIFY rank <= 25""",
+    "log_window_patterns": f"""
+        WITH arriving AS (
+            SELECT *, least(2, floor(event_id * 3 / (SELECT max(event_id) + 1 FROM events)) + CASE WHEN event_id % 50 = 7 THEN 1 ELSE 0 END) AS delivery,
+                   date_trunc('day', ts) AS opens FROM events),
+        marks AS (
+            SELECT k, date_trunc('millisecond', (SELECT max(ts) FROM arriving WHERE delivery <= k)) - INTERVAL 6 HOUR AS mark
+            FROM range(3) AS t(k)),
+        judged AS (SELECT a.*, coalesce(a.opens + INTERVAL 1 DAY <= m.mark, false) AS late FROM arriving a LEFT JOIN marks m ON m.k = a.delivery - 1),
+        counted AS (
+            SELECT opens, '# ' || upper(event_type) || ' user=# props={{"k": #}}' AS pattern, count(*) AS n, min(event_id) AS first_no,
+                   arg_min(strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' ' || upper(event_type) || ' user=' || user_id || ' props=' || props, event_id) AS line
+            FROM judged WHERE NOT late AND opens + INTERVAL 1 DAY <= (SELECT max(mark) FROM marks) GROUP BY opens, event_type),
+        totals AS (SELECT opens, count(*) AS lines, count(*) FILTER (late) AS late FROM judged GROUP BY opens)
+        SELECT 'app' AS source, strftime(opens, '%Y-%m-%d %H:%M:%S') AS window_start,
+               row_number() OVER (PARTITION BY opens ORDER BY n DESC, first_no) AS rank, n, pattern, first_no, line, lines, late
+        FROM counted JOIN totals USING (opens) QUALIFY rank <= 3""",
     "log_summary": """
         SELECT 'app' AS source, count(*) AS total_lines, strftime(arg_min(ts, event_id), '%Y-%m-%d %H:%M:%S.%f') AS first_ts,
                strftime(arg_max(ts, event_id), '%Y-%m-%d %H:%M:%S.%f') AS last_ts, count(DISTINCT event_type) AS distinct_patterns

@@ -12,7 +12,8 @@ from siftwork.operators import catalog, chat, config, diagnostics, graph, lines,
 from siftwork.plans import views as v
 from siftwork.sources.checkpoints import materialize, new_location
 from siftwork.sources.files import register_tables, run_sql
-from siftwork.streaming.config_stream import last_good_config
+from siftwork.streaming.config_stream import keep_last_good, last_good_config, newest_config
+from siftwork.streaming.log_stream import late_lines, top_window_patterns, write_window_patterns
 
 LAYERS = "Utility; DB,FS; *; WebApi"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,22 @@ def log_summary(spark: SparkSession, folder: str) -> DataFrame:
     return lines.log_summary(v.log_lines(spark, folder))
 
 
+def log_window_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a stream in three deliveries, some of each only with the next; every delivery restarts the query."""
+    arriving = v.event_deliveries(spark, folder)
+    place, sink, state = (new_location(spark, name) for name in ("log-deliveries", "log-windows", "log-state"))
+    for k in range(v.DELIVERIES):
+        arriving.filter(F.col("delivery") == k).drop("delivery").write.mode("append").parquet(place)
+        stream = spark.readStream.schema(arriving.drop("delivery").schema).parquet(place)
+        write_window_patterns(v.event_lines(stream), sink, state).awaitTermination()
+    closed = spark.read.parquet(sink)
+    late = late_lines(v.event_lines(spark.read.parquet(place)), closed)
+    top = top_window_patterns(closed, 3).join(late, ["source", "window_start"])
+    return top.select(
+        "source", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "rank", "n", "pattern", "first_no", "line", "lines", "late"
+    )
+
+
 def doc_line_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     split = lines.to_lines(v.texts(spark, folder, "documents"), ["lang", "doc_id"], "text", "newline")
     placed = split.withColumn("line_no", F.col("doc_id") * (1 << 24) + F.col("line_no"))
@@ -437,20 +454,12 @@ def resolve_connection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def last_good_config_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The orders file read as a stream; each micro-batch replaces the table of results."""
-    schema = v.table(spark, folder, "orders").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(folder)
-    result = new_location(spark, "last-good-config")
-    query = (
-        last_good_config(v.config_versions(stream))
-        .writeStream.outputMode("complete")
-        .option("checkpointLocation", new_location(spark, "last-good-state"))
-        .trigger(availableNow=True)
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(result))
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(result)
+    """The orders as files that arrive one after the other: a micro-batch each, upserts by customer."""
+    arriving = materialize(v.table(spark, folder, "orders").repartition(3), "arriving-orders")
+    stream = spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(v.folder_of(arriving))
+    ledger = new_location(spark, "last-good-config")
+    keep_last_good(v.config_versions(stream), ledger, new_location(spark, "last-good-state")).awaitTermination()
+    return newest_config(spark, ledger)
 
 
 def last_good_config_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -478,7 +487,7 @@ def chat_status_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        log_top_patterns, log_summary, doc_line_dedupe, cap_text, html_to_text,
+        log_top_patterns, log_summary, log_window_patterns, doc_line_dedupe, cap_text, html_to_text,
         classify_build_lines, build_top_patterns, build_digest, build_failed,
         test_totals, test_failure_lines, test_summary_lines, test_digest,
         file_inventory, file_paths, python_symbols, js_symbols, repo_map, todo_markers, todo_summary, scan_secrets,

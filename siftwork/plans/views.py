@@ -34,12 +34,32 @@ def _pick(index: Column, *options: str) -> Column:
 # --- logs and runs --------------------------------------------------------------------------
 
 
-def log_lines(spark: SparkSession, folder: str) -> DataFrame:
+def event_lines(events: DataFrame) -> DataFrame:
+    """Events (a table or a stream of them) as log lines with their time."""
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     line = _t(stamp, " ", F.upper("event_type"), " user=", F.col("user_id"), " props=", F.col("props"))
-    return texts(spark, folder, "events").select(
-        F.lit("app").alias("source"), F.col("event_id").alias("line_no"), line.alias("line")
-    )
+    return events.select(F.lit("app").alias("source"), F.col("event_id").alias("line_no"), F.col("ts").cast("timestamp").alias("ts"), line.alias("line"))
+
+
+def log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return event_lines(texts(spark, folder, "events")).drop("ts")
+
+
+DELIVERIES = 3
+
+
+def event_deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    """The events with `delivery`, 0 to 2: thirds by event_id, and of each a fiftieth one delivery late."""
+    events = table(spark, folder, "events")
+    n = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    own = F.floor(F.col("event_id") * DELIVERIES / n)
+    late = (F.col("event_id") % 50 == 7).cast("int")
+    return events.withColumn("delivery", F.least(own + late, F.lit(DELIVERIES - 1)))
+
+
+def folder_of(written: DataFrame) -> str:
+    """The folder of a table that was written as one."""
+    return written.inputFiles()[0].rsplit("/", 1)[0]
 
 
 def build_lines(spark: SparkSession, folder: str, run: str) -> DataFrame:
