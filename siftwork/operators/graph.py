@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -100,7 +101,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
     some random orders and finds, per order, the first node that reaches a node and the first
     one it reaches. Where both are the same node, that node's component is known. Edges whose
     ends disagree in any answer lie on no cycle and are dropped. Random orders make the number
-    of rounds logarithmic in expectation, also for long chains without a cycle.
+    of rounds logarithmic in expectation, also for long chains without a cycle. Long stretches of
+    nodes with one way in and one way on are bridged before (`_roots`).
     """
     edges = materialize(edges.select("repo", "src", "dst").filter("src != dst"), "edges")
     ends = edges.select("repo", F.explode(F.array("src", "dst")).alias("name")).distinct()
@@ -111,8 +113,59 @@ def strong_components(edges: DataFrame) -> DataFrame:
     links, left = materialize_counting(
         edges.join(sources, ["repo", "src"]).join(targets, ["repo", "dst"]).select("u", "v"), "links"
     )
+    if not left:
+        none = nodes.limit(0)
+        return none.select("repo", "name", F.col("name").alias("component"), F.lit(1).cast("bigint").alias("size"))
+    members = _roots(links).join(nodes, "id")
+    components = members.groupBy("root").agg(F.min("name").alias("component"), F.count("*").alias("size"))
+    return members.join(components.filter("size > 1"), "root").select("repo", "name", "component", "size")
+
+
+# Of the nodes with one way in and on, one in so many stays; as many pointer doublings reach over the others.
+_STAYS, _REACH = 16, 7
+_FEW = 1000  # fewer are not worth the jobs
+
+
+def _roots(links: DataFrame, turn: int = 0) -> DataFrame:
+    """(id, root): a node of the component for every node of `links(u, v)` that may lie in one.
+
+    Nodes with one way in and one way on are bridged but for a random few, and the smaller graph
+    is solved the same way. A bridged node belongs where both ends of its stretch do.
+    """
+    ends = links.groupBy("u").agg(F.count("*").alias("_out"), F.min("v").alias("to"))
+    back = links.groupBy(F.col("v").alias("u")).agg(F.count("*").alias("_in"))
+    one_way = ends.join(back, "u").filter(f"_out = 1 and _in = 1 and pmod(xxhash64(u, {turn}), {_STAYS}) != 0")
+    passing, many = materialize_counting(one_way.select(F.col("u").alias("id"), "to", F.col("u").alias("last")), "passing")
+    if many < _FEW:
+        return _random_order_roots(links)
+    at, moved, reach = passing, many, 0
+    while moved and reach < _REACH:
+        onward = at.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("last").alias("_last"))
+        far = at.join(onward, "to", "left").select("id", F.coalesce("_to", "to").alias("to"), F.coalesce("_last", "last").alias("last"), F.col("_to").isNotNull().alias("moved"))
+        at, moved = materialize_counting(far, "passing", "moved")
+        at, reach = at.drop("moved"), reach + 1
+    # What still ends at a passing node, as in a ring of them, stays; the rest knows its stretch by the last node.
+    bridged = materialize(at.join(passing.select(F.col("id").alias("to")), "to", "left_anti"), "bridged")
+    starts = links.join(bridged.select(F.col("id").alias("u")), "u", "left_anti")
+    starts = starts.join(bridged.withColumnsRenamed({"id": "v", "to": "_to", "last": "_last"}), "v", "left")
+    shorter = materialize(starts.select("u", F.coalesce("_to", "v").alias("v"), F.col("_last").alias("last")), "shorter")
+    between = shorter.select("u", "v").filter("u != v").distinct()
+    kept, left = materialize_counting(between, "links")
+    solved = _roots(kept, turn + 1) if left else kept.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    solved = materialize(solved, "roots")
+    at_u = solved.select(F.col("id").alias("u"), F.col("root").alias("_root_u"))
+    at_v = solved.select(F.col("id").alias("v"), F.col("root").alias("_root_v"))
+    stretches = shorter.filter("last is not null").join(at_u, "u", "left").join(at_v, "v", "left")
+    closed = stretches.filter("u = v or _root_u = _root_v").select("last", "u", F.coalesce("_root_u", "u").alias("root"))
+    inside = bridged.join(closed.select("last", "root"), "last").select("id", "root")
+    alone = closed.filter("u = root").select(F.col("u").alias("id"), "root").distinct().join(solved.select("id"), "id", "left_anti")
+    return solved.unionByName(inside).unionByName(alone)
+
+
+def _random_order_roots(links: DataFrame) -> DataFrame:
     rng = random.Random(0)
     found: list[DataFrame] = []
+    left = 1
     while left:
         keys = [rng.getrandbits(63) for _ in range(_ORDERS)]
         labels = _reach_labels(links, keys)
@@ -127,12 +180,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         links, left = materialize_counting(
             links.join(at_u, "u").join(at_v, "v").filter(agree).select("u", "v"), "links"
         )
-    if not found:
-        none = nodes.limit(0)
-        return none.select("repo", "name", F.col("name").alias("component"), F.lit(1).cast("bigint").alias("size"))
-    members = reduce(DataFrame.unionByName, found).join(nodes, "id")
-    components = members.groupBy("root").agg(F.min("name").alias("component"), F.count("*").alias("size"))
-    return members.join(components.filter("size > 1"), "root").select("repo", "name", "component", "size")
+    return reduce(DataFrame.unionByName, found)
 
 
 def _reach_labels(links: DataFrame, keys: list[int]) -> DataFrame:
@@ -170,11 +218,27 @@ def _reach_labels(links: DataFrame, keys: list[int]) -> DataFrame:
 # --- cycles ---------------------------------------------------------------------------------
 
 
+_NODE = ["repo", "component", "node"]
+_PART = ["repo", "component"]
+
+
 def find_cycles(edges: DataFrame) -> DataFrame:
     """One shortest cycle per component through its smallest name: (repo, component, length, cycle).
 
-    Among equally short cycles the one met first when references are followed in file order
-    wins, so paths carry the reference positions and the least position list is kept.
+    Among equally short cycles the one met first when references are followed in file order wins.
+    """
+    places = cycle_nodes(edges).withColumn("_one", F.struct("at", "name"))
+    cycles = places.groupBy("repo", "component").agg(F.max("at").alias("length"), F.array_sort(F.collect_list("_one")).alias("_all"))
+    return cycles.select("repo", "component", "length", F.col("_all.name").alias("cycle"))  # the cycle itself, nothing else, in one row
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """The cycles of `find_cycles` as rows: (repo, component, at, name), `at` from 0; the last name is the first again.
+
+    Nodes with one way on are passed by pointers that double, so long stretches without a choice cost
+    a logarithm of rounds. Between the others, labels (distance, choices so far, predecessor)
+    spread one reference per round until none improves; no label holds names but two, and four bytes per
+    choice keep ties in order. The nodes on the way are then marked by doubling pointers again.
     """
     edges = materialize(edges.select("repo", "src", "dst", "pos"), "edges")
     components = materialize(strong_components(edges), "components")
@@ -185,37 +249,108 @@ def find_cycles(edges: DataFrame) -> DataFrame:
     at_dst = members.select("repo", F.col("name").alias("dst"), F.col("component").alias("other"))
     inner = materialize(
         edges.join(at_src, ["repo", "src"]).join(at_dst, ["repo", "dst"]).filter("component = other")
-        .select("repo", "component", "src", "dst", "pos"),
+        .select("repo", "component", F.col("src").alias("node"), "dst", "pos"),
         "inner",
     )
-    empty = F.array().cast("array<bigint>")
-    frontier = members.select("repo", "component").distinct().select(
-        "repo", "component", F.col("component").alias("node"), empty.alias("key"), F.array("component").alias("path")
+    ways = inner.groupBy(*_NODE).agg(F.count("*").alias("_ways"), F.min("dst").alias("next"))
+    straight = materialize(ways.filter("_ways = 1 and node != component").select(*_NODE, "next", F.lit(1).cast("bigint").alias("steps")), "straight")
+    jumps = _doubled(straight)
+    heads = jumps[-1]
+    # Start and choices alone stay; `end` is the start when it is met again.
+    first = heads.select("repo", "component", F.col("node").alias("dst"), F.col("next").alias("_head"), "steps")
+    choices = inner.join(straight.select(*_NODE), _NODE, "left_anti").join(first, ["repo", "component", "dst"], "left")
+    target = F.coalesce("_head", "dst")
+    links = materialize(
+        choices.select(
+            *_NODE, "pos", F.col("dst").alias("via"), target.alias("to"), (target == F.col("component")).alias("end"),
+            (F.coalesce("steps", F.lit(0)) + 1).cast("bigint").alias("steps"),
+        ),
+        "choices",
     )
-    visited = [frontier.select("repo", "component", "node")]
-    closed = []
-    left = True
-    while left:
-        onward = frontier.withColumnRenamed("node", "src").join(inner, ["repo", "component", "src"])
-        # A closing edge counts as the node it leaves: nodes are taken in order, edges are not.
-        closes = F.col("dst") == F.col("component")
-        key = F.when(closes, F.col("key")).otherwise(F.array_append("key", F.col("pos")))
-        reached = onward.select(
-            "repo", "component", F.col("dst").alias("node"), key.alias("key"),
-            F.array_append("path", F.col("dst")).alias("path"),
+    settled = _shortest(links)
+    on_way = _marked(
+        settled.filter("end").select("repo", "component", "node", "end"),
+        _ancestors(settled),
+        lambda found, up: found.join(up, ["repo", "component", "node", "end"]).select("repo", "component", F.col("above").alias("node"), F.lit(False).alias("end")),
+    )
+    stops = settled.join(on_way, ["repo", "component", "node", "end"])
+    chains = stops.filter("via != node or (end and via != component)").select("repo", "component", F.col("via").alias("node"))
+    inside = _marked(
+        chains.join(straight.select(*_NODE), _NODE, "left_semi"),
+        jumps[:-1],
+        lambda found, up: found.join(up, _NODE).select("repo", "component", F.col("next").alias("node")).join(straight.select(*_NODE), _NODE, "left_semi"),
+    )
+    ends = stops.select("repo", "component", F.col("node").alias("_head"), F.col("at").alias("_head_at"), "end")
+    passed = inside.join(heads.withColumnRenamed("next", "_head"), _NODE).join(ends.filter("end or _head != component"), ["repo", "component", "_head"])
+    return stops.select("repo", "component", "at", F.col("node").alias("name")).unionByName(
+        passed.select("repo", "component", (F.col("_head_at") - F.col("steps")).alias("at"), F.col("node").alias("name"))
+    )
+
+
+def _doubled(pointers: DataFrame) -> list[DataFrame]:
+    """Pointers (repo, component, node, next, steps) after 1, 2, 4, ... steps; one that leaves the given nodes stays."""
+    levels, moved = [pointers], 1
+    while moved:
+        at = levels[-1]
+        onward = at.select("repo", "component", F.col("node").alias("next"), F.col("next").alias("_next"), F.col("steps").alias("_steps"))
+        far = at.join(onward, ["repo", "component", "next"], "left").select(
+            *_NODE, F.coalesce("_next", "next").alias("next"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_next").isNotNull().alias("_moved")
         )
-        best = reached.groupBy("repo", "component", "node").agg(F.min(F.struct("key", "path")).alias("_best"))
-        step = materialize(best.select("repo", "component", "node", "_best.key", "_best.path"), "frontier")
-        done = step.filter("node = component")
-        closed.append(done)
-        frontier = step.join(done.select("repo", "component"), ["repo", "component"], "left_anti")
-        seen = reduce(DataFrame.unionByName, visited)
-        frontier = frontier.join(seen, ["repo", "component", "node"], "left_anti")
-        frontier, left = materialize_counting(frontier, "frontier")
-        visited.append(frontier.select("repo", "component", "node"))
-    return reduce(DataFrame.unionByName, closed).select(
-        "repo", "component", (F.size("path") - 1).cast("bigint").alias("length"), F.col("path").alias("cycle")
+        table, moved = materialize_counting(far, "pointers", "_moved")
+        levels.append(table.drop("_moved"))
+    return levels
+
+
+def _shortest(links: DataFrame) -> DataFrame:
+    """(repo, component, node, end, at, above, via) of every node met from the start: distance, predecessor, first step of the link.
+
+    Each round the nodes whose label improved offer one to their targets. Offers longer than the
+    component's shortest way back so far go no further.
+    """
+    label = F.struct("at", "key", "above", "via")
+    no_key = F.lit(b"").cast("binary")
+    zero, nobody = F.lit(0).cast("bigint"), F.lit(None).cast("string")
+    state = links.select("repo", "component").distinct().select(
+        "repo", "component", F.col("component").alias("node"), F.lit(False).alias("end"),
+        F.struct(zero.alias("at"), no_key.alias("key"), nobody.alias("above"), nobody.alias("via")).alias("label"), F.lit(True).alias("fresh"),
     )
+    going = 1
+    while going:
+        limit = state.filter("end").select("repo", "component", F.col("label.at").alias("_most"))
+        senders = state.filter("fresh and not end").join(limit, _PART, "left").filter("_most is null or label.at < _most")
+        choice = F.concat("label.key", F.unhex(F.lpad(F.hex("pos"), 8, "0")))
+        # The last step counts as the node that it leaves: nodes are taken in order, references are not.
+        key = F.when(F.col("l.end") & (F.col("via") == F.col("s.component")), F.col("label.key")).otherwise(choice)
+        offers = senders.alias("s").join(links.alias("l"), _NODE).select(
+            "repo", "component", F.col("to").alias("node"), F.col("l.end").alias("end"), (F.col("label.at") + F.col("l.steps")).alias("at"),
+            key.alias("key"), F.col("node").alias("above"), "via",
+        )
+        offers = offers.select("repo", "component", "node", "end", label.alias("label"), F.lit(None).cast(state.schema["label"].dataType).alias("before"))
+        known = state.select("repo", "component", "node", "end", "label", F.col("label").alias("before"))
+        best = known.unionByName(offers).groupBy("repo", "component", "node", "end").agg(F.min("label").alias("label"), F.max("before").alias("before"))
+        improved = F.col("before").isNull() | (F.col("label") < F.col("before"))
+        state, going = materialize_counting(best.select("repo", "component", "node", "end", "label", improved.alias("fresh")), "labels", "fresh")
+    return state.select("repo", "component", "node", "end", "label.at", "label.above", "label.via")
+
+
+def _ancestors(settled: DataFrame) -> list[DataFrame]:
+    """(repo, component, node, end, above): the predecessor 1, 2, 4, ... links before."""
+    at = settled.filter("above is not null").select("repo", "component", "node", "end", "above")
+    levels, left = [], 1
+    while left:
+        levels.append(at)
+        upper = at.filter("not end").select("repo", "component", F.col("node").alias("above"), F.col("above").alias("_above"))
+        at, left = materialize_counting(
+            at.join(upper, ["repo", "component", "above"]).select("repo", "component", "node", "end", F.col("_above").alias("above")), "ancestors"
+        )
+    return levels
+
+
+def _marked(found: DataFrame, levels: list[DataFrame], step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """`found` and all that it reaches: each level of doubled pointers doubles what is marked."""
+    for level in levels:
+        found = materialize(found.unionByName(step(found, level)).distinct(), "marked")
+    return found
 
 
 # --- layers ---------------------------------------------------------------------------------

@@ -218,6 +218,15 @@ def find_cycles(spark: SparkSession, folder: str) -> DataFrame:
     return _joined(graph.find_cycles(graph.project_edges(v.graph_files(spark, folder))), " -> ", "cycle")
 
 
+def one_repository_components(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.strong_components(v.one_repository_edges(spark, folder))
+
+
+def one_repository_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    """As rows, since one cycle holds every supplier."""
+    return graph.cycle_nodes(v.one_repository_edges(spark, folder))
+
+
 def layer_of(spark: SparkSession, folder: str) -> DataFrame:
     names = graph.project_names(v.graph_files(spark, folder))
     spec = "u?ility*,util*; DB,FS; *.web[!x]*"
@@ -493,7 +502,7 @@ QUERIES: dict[str, Query] = {
         file_inventory, file_paths, python_symbols, js_symbols, repo_map, todo_markers, todo_summary, scan_secrets,
         deps_package_json, deps_requirements, deps_csproj, list_dependencies, dependency_counts,
         diff_files, diff_totals, diff_symbols, recent_commits, status_report,
-        project_names, project_edges, dangling_references, adjacency, strong_components, find_cycles,
+        project_names, project_edges, dangling_references, adjacency, strong_components, find_cycles, one_repository_components, one_repository_cycles,
         layer_of, layer_violations, unassigned_projects,
         sarif_diagnostics, sarif_contexts, select_removable, keep_directive_lines, remove_lines, unreadable_logs, prune_report, prune_status,
         validate_moves, rename_namespaces, update_header, update_header_all_files, rewrite_plan, gated_rewrite_plan, rewrite_summary, replaced_files,

@@ -237,6 +237,29 @@ def graph_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def one_repository_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """All suppliers in one repository: a ring through every one, and a hub that references as many spokes, the even ones back."""
+    suppliers = table(spark, folder, "supplier")
+    low, high = suppliers.agg(F.min("s_suppkey"), F.max("s_suppkey")).first()
+    k = F.col("s_suppkey")
+
+    def named(kind: str, key: Column) -> Column:
+        return _t(kind, F.lpad(key.cast("string"), 9, "0"))
+
+    def edge(src: Column, dst: Column, pos: Column) -> Column:
+        return F.struct(src.alias("src"), dst.alias("dst"), pos.cast("bigint").alias("pos"))
+
+    onward = F.when(k == high, F.lit(low)).otherwise(k + 1)
+    found = F.array(
+        edge(named("Ring", k), named("Ring", onward), F.lit(0)),
+        edge(F.lit("Hub"), named("Spoke", k), k),
+        F.when(k % 2 == 0, edge(named("Spoke", k), F.lit("Hub"), F.lit(0))),
+        F.when(k == low, edge(F.lit("Hub"), named("Ring", k), F.lit(high) + 1)),
+    )
+    rows = suppliers.select(F.explode(F.filter(found, lambda e: e.isNotNull())).alias("e"))
+    return rows.select(F.lit("one").alias("repo"), "e.src", "e.dst", "e.pos")
+
+
 # --- diagnostics and rewrites ---------------------------------------------------------------
 
 
