@@ -489,9 +489,9 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT DISTINCT 'one', 'Hub', 'Hub', even + 1 FROM k""",
     "one_repository_cycles": """
         WITH k AS (SELECT s_suppkey AS k, min(s_suppkey) OVER () AS low, max(s_suppkey) OVER () AS high, min(s_suppkey) FILTER (s_suppkey % 2 = 0) OVER () AS even FROM supplier),
-        ring AS (SELECT k - low AS at, k, low FROM k UNION ALL SELECT high - low + 1, low, low FROM k WHERE k = low)
-        SELECT 'one' AS repo, 'Ring' || lpad(low::VARCHAR, 9, '0') AS component, at, 'Ring' || lpad(k::VARCHAR, 9, '0') AS name FROM ring
-        UNION ALL SELECT 'one', 'Hub', at, CASE at WHEN 1 THEN 'Spoke' || lpad(even::VARCHAR, 9, '0') ELSE 'Hub' END FROM k, range(3) AS t(at) WHERE k = low""",
+        ring AS (SELECT k - low AS "at", k, low FROM k UNION ALL SELECT high - low + 1, low, low FROM k WHERE k = low)
+        SELECT 'one' AS repo, 'Ring' || lpad(low::VARCHAR, 9, '0') AS component, "at", 'Ring' || lpad(k::VARCHAR, 9, '0') AS name FROM ring
+        UNION ALL SELECT 'one', 'Hub', i, CASE i WHEN 1 THEN 'Spoke' || lpad(even::VARCHAR, 9, '0') ELSE 'Hub' END FROM k, range(3) AS t(i) WHERE k = low""",
     "layer_of": f"""
         SELECT {repo('s_suppkey')} AS repo, {project('s_suppkey')} AS name, CASE s_suppkey % 4 WHEN 1 THEN 1 WHEN 3 THEN 2 END::BIGINT AS layer FROM supplier""",
     "layer_violations": f"""
