@@ -8,7 +8,7 @@ The moves are a table of any size. The namespace mapping is a dict for all files
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,9 @@ NAMESPACE_EXTENSIONS = (
 FILE_ENDINGS = "csproj|sln|slnx|dll|exe|pdb|props|targets|json|xml|config|nupkg"
 NAMESPACE_KEY = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*"
 
+# A dotted name where a key may begin.
+_DOTTED = r"(?<![A-Za-z0-9_./\\])[A-Za-z_][A-Za-z0-9_.]*"
+
 BAD_NAME = "not an ASCII dotted identifier"
 
 # Not bytes, so they cannot occur in text read one character per byte.
@@ -123,7 +126,8 @@ def applicable(rows: DataFrame, errors: DataFrame) -> DataFrame:
 def rename_namespaces(text: Column, namespaces: Mapping[str, str] | Column) -> Column:
     """STRUCT(text, replacements): all keys replaced at once, longest first, whole prefixes only.
 
-    `namespaces` is one mapping for all rows or a MAP column.
+    `namespaces` is one mapping for all rows or a MAP column, of few keys: every place of a text is
+    tried against each. For many keys use `rename_by_table`.
 
     `A.B` fits `A.B` and `A.B.C`, but not `A.BC`, `X.A.B`, a path segment, a file name or
     anything in an AssemblyName element. One pass marks the hits, the marks are then looked up,
@@ -134,7 +138,9 @@ def rename_namespaces(text: Column, namespaces: Mapping[str, str] | Column) -> C
     if isinstance(namespaces, Column):
         table = namespaces
         longest_first = F.array_sort(F.map_keys(table), lambda a, b: F.length(b) - F.length(a))
-        keys = F.array_join(F.transform(longest_first, lambda k: F.concat(F.lit(r"\Q"), k, F.lit(r"\E"))), "|")
+        # Quoted for Java; the mark that ends a quote may stand in a key.
+        quoted = lambda k: F.concat(F.lit(r"\Q"), F.replace(k, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+        keys = F.array_join(F.transform(longest_first, quoted), "|")
         pattern, any_key = F.concat(F.lit(lead), keys, F.lit(end)), F.size(table) > 0
     elif namespaces:
         table = F.create_map(*[F.lit(x) for pair in namespaces.items() for x in pair])
@@ -161,6 +167,34 @@ def rename_namespaces(text: Column, namespaces: Mapping[str, str] | Column) -> C
     return tx.bind(F.split(marked, _OPEN), rebuild)
 
 
+def _prefixes(text: Column) -> Column:
+    """What a key could be in this text: every dotted name that nothing precedes, cut after each of its parts."""
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(_DOTTED), F.lit(0)))
+
+    def cuts(name: Column) -> Column:
+        parts = F.split(name, r"\.")
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+
+    return F.array_distinct(F.flatten(F.transform(names, cuts)))
+
+
+def rename_by_table(files: DataFrame, names: DataFrame, keys: Sequence[str] = ("repo", "path"), text: str = "text") -> DataFrame:
+    """`files` with `renamed`, the STRUCT(text, replacements) of `rename_namespaces`, by a table of any size.
+
+    `names` are (repo, old, new); of repeated keys the least `new` counts, and a key that is no dotted
+    identifier fits nothing. A text is cut once into the names it holds, and their prefixes are
+    looked up by a join: the time grows with the texts, not with texts times keys. Each text then
+    replaces the keys that it holds, longest first.
+    """
+    sound = names.filter(F.col("old").rlike(f"^(?:{NAMESPACE_KEY})\\z")).groupBy("repo", "old").agg(F.min("new").alias("new"))
+    held = files.select(*keys, F.explode(_prefixes(F.col(text))).alias("old")).distinct().join(sound, ["repo", "old"])
+    # No more entries than the text has names.
+    own = held.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("_names"))
+    none = F.create_map().cast("map<string,string>")
+    joined = files.join(own, list(keys), "left").withColumn("_names", F.coalesce("_names", none))
+    return joined.withColumn("renamed", rename_namespaces(F.col(text), F.col("_names"))).drop("_names")
+
+
 # --- path headers ---------------------------------------------------------------------------
 
 
@@ -240,13 +274,8 @@ def rewrite_plan(
         candidate = candidate & (path != map_path)
     moved = F.col("_to").isNotNull() & (F.col("_to") != path)
     named = files.join(targets, ["repo", "path"], "left").filter(candidate | F.col("_to").isNotNull())
-    mapping = namespaces
-    if isinstance(namespaces, DataFrame):
-        named = named.join(namespaces.select("repo", "namespaces"), "repo", "left")
-        mapping = F.col("namespaces")
     texts = named.select(
-        "repo", "path", F.coalesce("_to", path).alias("dst"), moved.alias("moved"),
-        F.decode("content", "ISO-8859-1").alias("text"), *(["namespaces"] if isinstance(namespaces, DataFrame) else []),
+        "repo", "path", F.coalesce("_to", path).alias("dst"), moved.alias("moved"), F.decode("content", "ISO-8859-1").alias("text")
     )
     text = F.col("text")
     unreadable = text.rlike("^(?:\xff\xfe|\xfe\xff)") | F.contains(text, F.lit("\x00"))
@@ -257,11 +286,14 @@ def rewrite_plan(
             F.struct(text.alias("text"), F.lit(False).alias("changed"))
         ),
     )
-    renamed = headed.withColumn(
-        "_r",
-        F.when(~F.col("unreadable"), rename_namespaces(F.col("_h.text"), mapping)).otherwise(
-            F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("replacements"))
-        ),
+    if isinstance(namespaces, DataFrame):
+        names = namespaces.select("repo", F.explode("namespaces").alias("old", "new"))
+        named_once = rename_by_table(headed.withColumn("_text", F.when(~F.col("unreadable"), F.col("_h.text"))), names, text="_text")
+        new = F.col("renamed")
+    else:
+        named_once, new = headed, rename_namespaces(F.col("_h.text"), namespaces)
+    renamed = named_once.withColumn(
+        "_r", F.when(~F.col("unreadable"), new).otherwise(F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("replacements")))
     )
     changed = F.col("moved") | F.col("unreadable") | (F.col("_r.text") != text)
     return renamed.filter(changed).select(

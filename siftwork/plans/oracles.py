@@ -532,6 +532,10 @@ ORACLES: dict[str, str] = {
     "rename_namespaces": f"""
         SELECT {RENAME_PATH} AS path, {rename_text(*AFTER, "'src/Old'")} AS content_hex,
                [2, 2, 1, 0, 3][p_partkey % 5 + 1]::BIGINT AS replacements FROM part""",
+    "rename_by_table": f"""
+        SELECT {RENAME_PATH} AS path, replace({rename_text("Kiln.Mud", "Kiln.Mud.Deep", "Kiln.Glaze", "'src/Old'")},
+                   hex(encode('using Kiln.Mud.P' || p_partkey || ';')), hex(encode('using Kiln.Glaze.Q' || p_partkey || ';'))) AS content_hex,
+               [2, 2, 1, 0, 2][p_partkey % 5 + 1]::BIGINT AS replacements FROM part""",
     "update_header": f"""
         SELECT {RENAME_PATH} AS path, {rename_text(*BEFORE, HEADER_MOVED)} AS content_hex, p_partkey % 5 < 2 AS changed FROM part WHERE {MOVED}""",
     "update_header_all_files": f"""
@@ -629,3 +633,10 @@ ORACLES: dict[str, str] = {
     ),
     "chat_draft": request_body(""),
 }
+
+# The plain names answer for whole tables, as the longer ones do.
+for _whole, _name in (
+    ("update_header_all_files", "update_header"), ("read_part_move_maps", "read_move_maps"),
+    ("map_part_moves", "map_moves"), ("rewrite_plan_by_part_map", "rewrite_plan_by_map"),
+):
+    ORACLES[_name] = ORACLES[_whole]

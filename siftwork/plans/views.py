@@ -347,6 +347,13 @@ def rename_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def part_names(spark: SparkSession, folder: str) -> DataFrame:
+    """A key for every part, and one that is a prefix of them all."""
+    k = F.col("p_partkey")
+    keys = table(spark, folder, "part").select(F.lit("main").alias("repo"), _t("Kiln.Clay.P", k).alias("old"), _t("Kiln.Glaze.Q", k).alias("new"))
+    return keys.unionByName(spark.createDataFrame([("main", "Kiln.Clay", "Kiln.Mud")], "repo string, old string, new string"))
+
+
 def rename_moves(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("p_partkey")
     moved = table(spark, folder, "part").filter((k % 10 < 2) | (k % 50 == 3))
