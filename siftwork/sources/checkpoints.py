@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +31,28 @@ def new_location(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siftwork/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go as soon as it ends; until then lost executors can be made good."""
+    before = spark.conf.get(_CLEAN_KEY, "false")
+    spark.conf.set(_CLEAN_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN_KEY, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """`df` written as a table of the shared folder and read back.
 
     The plan runs once, survives lost executors, and later joins see the table's true size.
     """
     location = new_location(df.sparkSession, name)
-    df.write.parquet(location)
+    with _shuffles_removed(df.sparkSession):
+        df.write.parquet(location)
     return df.sparkSession.read.schema(df.schema).parquet(location)
 
 
