@@ -8,14 +8,17 @@ from contextlib import contextmanager
 from pyspark.sql import SparkSession
 
 _KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES_KEY, _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
 
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """At most `rows` rows to a batch for the jobs that run inside; the session's own setting returns after."""
-    before = spark.conf.get(_KEY)
+    """At most `rows` rows and about 16 MB to a batch for the jobs that run inside; the session's own settings return after."""
+    before, bytes_before = spark.conf.get(_KEY), spark.conf.get(_BYTES_KEY)
     spark.conf.set(_KEY, str(min(rows, int(before)) if int(before) > 0 else rows))
+    spark.conf.set(_BYTES_KEY, _BYTES)
     try:
         yield
     finally:
         spark.conf.set(_KEY, before)
+        spark.conf.set(_BYTES_KEY, bytes_before)

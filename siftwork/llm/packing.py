@@ -13,6 +13,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,13 @@ def suits_fast(text: str) -> bool:
     return len(text) < 100_000 or not _MANY_BLANKS.search(text)
 
 
+def _plain_tokenizer(json_path: str) -> Encoder:
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(json_path)
+    return lambda text: slow.encode(text, add_special_tokens=False).ids
+
+
 def byte_bpe(json_path: str) -> Encoder:
     """The ids that `tokenizers` gives for this file without adding special tokens.
 
@@ -43,9 +51,7 @@ def byte_bpe(json_path: str) -> Encoder:
     the same, and the text of the special token becomes its id in both.
     """
     if json_path not in _ENCODERS:
-        from tokenizers import Tokenizer
-
-        slow = Tokenizer.from_file(json_path)
+        slow = lru_cache(maxsize=1)(lambda: _plain_tokenizer(json_path))
         ranks_path = json_path.removesuffix(".json") + ".tiktoken"
         try:
             import public_tokenizers
@@ -55,9 +61,9 @@ def byte_bpe(json_path: str) -> Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             special = {"<|endoftext|>": len(ranks)}
             fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-            _ENCODERS[json_path] = lambda text: fast.encode(text, allowed_special="all") if suits_fast(text) else slow.encode(text, add_special_tokens=False).ids
+            _ENCODERS[json_path] = lambda text: fast.encode(text, allowed_special="all") if suits_fast(text) else slow()(text)
         except (ImportError, FileNotFoundError):
-            _ENCODERS[json_path] = lambda text: slow.encode(text, add_special_tokens=False).ids
+            _ENCODERS[json_path] = slow()
     return _ENCODERS[json_path]
 
 

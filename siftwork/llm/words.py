@@ -28,10 +28,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _TABLES: dict[int, np.ndarray] = {}
+_SPAN = 1 << 19
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1); the longest table so far is kept."""
+    """base^0 .. base^(n-1); the longest table so far is kept, at most that of `_SPAN` bytes or one longer word."""
     table = _TABLES.get(base)
     if table is None or len(table) < n:
         table = np.full(max(1 << 16, 1 << (max(n, 1) - 1).bit_length()), base, np.uint64)
@@ -74,6 +75,18 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of every word, by its bytes alone; computed over spans of words, so that long texts need little room."""
+    if len(data) <= _SPAN:
+        return _span_hashes(data, starts, ends)
+    cuts = np.flatnonzero(np.diff(starts // (_SPAN // 2))) + 1
+    bounds = [0, *cuts.tolist(), len(starts)]
+    parts = [
+        _span_hashes(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]) for i, j in zip(bounds, bounds[1:]) if j > i
+    ]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=sums[1:])
