@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from siftwork.functions import paths
 from siftwork.functions import text as tx
 from siftwork.operators.runs import build_failed
+from siftwork.sources.checkpoints import materialize
 
 # As the only element of an array, so that text behind the object is noticed.
 SARIF_SCHEMA = """
@@ -56,6 +57,23 @@ def sarif_contexts(sarif: DataFrame) -> DataFrame:
     return _logs(sarif).select("run_id", *_context(F.col("file_name"))).distinct()
 
 
+def read_logs(sarif: DataFrame, rule: str = RULE) -> DataFrame:
+    """Each log parsed once: (run_id, file_name, project, tfm, sound, runs).
+
+    `sound` tells whether the body is one JSON object with nothing behind it; `runs` are its results
+    as far as they are read here, NULL where the body does not name the rule.
+    """
+    parsed = F.from_json(F.concat(F.lit("["), tx.without_bom(F.col("body")), F.lit("]")), SARIF_SCHEMA)
+
+    def judged(objects: Column) -> Column:
+        sound = F.coalesce((F.size(objects) == 1) & F.get(objects, F.lit(0)).isNotNull(), F.lit(False))
+        return F.struct(sound.alias("sound"), F.when(sound, F.get(objects, F.lit(0))["runs"]).alias("runs"))
+
+    read = _logs(sarif).select("run_id", "file_name", *_context(F.col("file_name")), "body", tx.bind(parsed, judged).alias("_log"))
+    named = F.when(F.contains("body", F.lit(rule)), F.col("_log.runs"))
+    return read.select("run_id", "file_name", "project", "tfm", "_log.sound", named.alias("runs"))
+
+
 def unreadable_logs(sarif: DataFrame) -> DataFrame:
     """Logs that are no JSON object: (run_id, file_name)."""
     return _logs(sarif).filter(~tx.is_json_object(F.col("body"))).select("run_id", "file_name")
@@ -63,15 +81,10 @@ def unreadable_logs(sarif: DataFrame) -> DataFrame:
 
 def sarif_spans(sarif: DataFrame, rule: str = RULE) -> DataFrame:
     """Flagged spans of own code: (run_id, path, start, end, project, tfm)."""
-    logs = _logs(sarif).filter(F.contains("body", F.lit(rule)))
-    parsed = F.from_json(F.concat(F.lit("["), tx.without_bom(F.col("body")), F.lit("]")), SARIF_SCHEMA)
-    only = tx.bind(parsed, lambda objects: F.when(F.size(objects) == 1, objects[0]["runs"]))
-    runs = logs.select("run_id", *_context(F.col("file_name")), F.explode(only).alias("run"))
-    results = runs.select("run_id", "project", "tfm", F.explode("run.results").alias("result"))
-    live = results.filter(
-        (F.col("result.ruleId") == rule) & (F.coalesce(F.size("result.suppressions"), F.lit(0)) <= 0)
-    )
+    return _spans(read_logs(sarif.filter(F.contains("body", F.lit(rule))), rule), rule)
+
 
+def _spans(logs: DataFrame, rule: str) -> DataFrame:
     def place(location: Column) -> Column:
         at = location["physicalLocation"]
         start = at["region"]["startLine"]
@@ -81,9 +94,11 @@ def sarif_spans(sarif: DataFrame, rule: str = RULE) -> DataFrame:
             F.least(F.coalesce(at["region"]["endLine"], start), F.lit(MOST_LINES)).alias("end"),
         )
 
-    # Decoded before the explode, since a filter moved below a projection would decode again.
-    spots = live.select("run_id", "project", "tfm", F.explode(F.transform("result.locations", place)).alias("_at"))
-    placed = spots.select("run_id", "project", "tfm", "_at.*")
+    live = lambda result: (result["ruleId"] == rule) & (F.coalesce(F.size(result["suppressions"]), F.lit(0)) <= 0)
+    # A log's live results in one array, places decoded there: one explode, and no filter that decodes again.
+    results = F.filter(F.flatten(F.transform(F.filter("runs", lambda run: run["results"].isNotNull()), lambda run: run["results"])), live)
+    spots = F.flatten(F.transform(F.filter(results, lambda r: r["locations"].isNotNull()), lambda r: F.transform(r["locations"], place)))
+    placed = logs.select("run_id", "project", "tfm", F.explode(spots).alias("_at")).select("run_id", "project", "tfm", "_at.*")
     own_code = F.lower("path").endswith(".cs") & ~F.col("path").rlike(r"(?i)[\\/](?:obj|bin)[\\/]")
     return placed.filter(own_code & (F.col("end") >= F.col("start"))).select(
         "run_id", paths.normalize(F.col("path")).alias("path"), F.greatest("start", F.lit(0)).alias("start"), "end", "project", "tfm"
@@ -190,14 +205,15 @@ def prune_report(
 ) -> DataFrame:
     """Per file the directive lines that may go or must stay: (run_id, path, status, lines).
 
-    A run whose build failed, or one of whose logs cannot be read, has no rows: its diagnostics
+    The logs are parsed once and written. A run whose build failed, or one of whose logs cannot be read, has no rows: its diagnostics
     would be incomplete. `prune_status` has a row for every run.
     """
+    logs = materialize(read_logs(sarif, rule), "logs")
     failed = build_failed(build_lines, build_runs, rule).filter("failed").select("run_id")
-    incomplete = failed.unionByName(unreadable_logs(sarif).select("run_id")).distinct()
-    spans = sarif_spans(sarif, rule).join(incomplete, "run_id", "left_anti").join(line_counts(sources), KEYS)
+    incomplete = failed.unionByName(logs.filter("not sound").select("run_id")).distinct()
+    spans = _spans(logs, rule).join(incomplete, "run_id", "left_anti").join(line_counts(sources), KEYS)
     clipped = spans.withColumn("end", F.least("end", "n_lines")).filter("end >= start")
-    status = select_removable(span_lines(clipped), sarif_contexts(sarif))
+    status = select_removable(span_lines(clipped), logs.select("run_id", "project", "tfm").distinct())
     return keep_directive_lines(status, sources).groupBy(*KEYS, "status").agg(F.count("*").alias("lines"))
 
 

@@ -116,3 +116,13 @@ def test_report_and_status_per_run(spark):
         "cut": ("unreadable log", 0, 0), "more": ("unreadable log", 0, 0), "null": ("unreadable log", 0, 0),
         "calm": ("nothing unnecessary", 0, 0), "silent": ("no compilation seen", 0, 0),
     }
+
+
+def test_a_log_is_sound_by_the_one_parse_as_by_the_plain_test(spark):
+    bodies = [
+        "{}", "\ufeff{}", '{"runs": []}', '{"runs": "x"}', '{"runs": [{"results": 5}]}', '{"runs": [{"results": [{"ruleId": 7}]}]}', "[]", "[{}]", "5", "null", '"x"', "", " ",
+        None, "{} oops", "{},{}", "{}{}", "{oops", '{"a": 1, "runs": null}', '{"runs": [null]}', "{}\n", '{"x": "]"}', '{"x": [1,}', '{"version": "2", "runs": [{"tool": {}}]} ',
+    ]
+    logs = spark.createDataFrame([("b", f"P_net8.0_{k}.sarif", b) for k, b in enumerate(bodies)], LOGS)
+    unsound = {r["file_name"] for r in dg.read_logs(logs).filter("not sound").collect()}
+    assert unsound == {r["file_name"] for r in dg.unreadable_logs(logs).collect()}
