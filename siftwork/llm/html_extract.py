@@ -32,6 +32,13 @@ FURNITURE = frozenset(
     "sponsored promo promotion notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login comment comments "
     "respond disqus share sharing social related recommended toolbar pagination pager widget widgets search contentinfo complementary skip".split()
 )
+#: Of these, words that hide whatever the element holds: comments and adverts may be longer than the article.
+FOREIGN = frozenset(
+    "comment comments respond disqus ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr "
+    "popup modal overlay newsletter subscribe".split()
+)
+#: First parts of a word that say something about the layout, not about the element.
+PLAIN_LEADS = frozenset("has with no is layout page without".split())
 #: Elements that only group list items, cells and headings.
 GROUPS = frozenset("ul ol dl li dt dd table caption thead tbody tfoot tr td th hgroup figure figcaption blockquote".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd".split())
@@ -53,29 +60,40 @@ class Block:
     text: str
     hidden: bool
     linked: int  # characters inside links
-    forms: tuple[int, ...]  # those of the elements that are forms
+    doubtful: tuple[int, ...]  # those of the elements that are furniture unless they hold most of the page
 
 
-def _is_furniture(tag: str, attributes: str) -> bool:
+def _is_hidden(tag: str, attributes: str) -> bool:
+    """Whether nobody reads the element as part of an article, by its tag, its attributes or as comments and adverts."""
     if tag in HIDDEN:
         return True
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name == "aria-hidden" or tag in ("html", "body", "main"):
-            continue
-        for word in value.split():
-            parts = re.split(r"[^a-z]+", word)
-            if parts[0] not in ("has", "with", "no", "is") and FURNITURE.intersection(parts):
-                return True
+        if name != "aria-hidden" and tag not in ("html", "body", "main", "article") and any(FOREIGN.intersection(p) for p in _parts(value)):
+            return True
     return False
 
 
+def _parts(value: str) -> list[list[str]]:
+    """The parts of each word of a class, id or role, unless it speaks of the layout or of what is missing."""
+    split = [re.split(r"[^a-z]+", word) for word in value.split()]
+    return [parts for parts in split if parts[0] not in PLAIN_LEADS and parts[-1] != "free"]
+
+
+def _is_doubtful(tag: str, attributes: str, inside_article: bool) -> bool:
+    """Whether the element is called furniture, or is a form. A header inside an article is the article's own."""
+    if tag in ("html", "body", "main", "article"):
+        return False
+    found = {w for name, value in _NAMED.findall(attributes) if name.lower() not in ("hidden", "aria-hidden") for p in _parts(value.strip("\"'").lower()) for w in p}
+    return tag == "form" or bool(FURNITURE.intersection(found - ({"header"} if inside_article else set())))
+
+
 def read_blocks(page: str) -> list[Block]:
     """The page's blocks of text in order. Unclosed and unmatched tags end where their parents do."""
     out: list[Block] = []
-    stack: list[tuple[str, str, int, bool]] = []  # tag, label, number, hidden
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, doubtful, number, hidden
     words: list[str] = []
     link, linked, number, at = 0, 0, 0, 0
 
@@ -84,7 +102,7 @@ def read_blocks(page: str) -> list[Block]:
         text = " ".join("".join(words).split())
         if text:
             blocks = [s for s in stack if s[0] in BLOCKS]
-            out.append(Block(tuple(s[1] for s in blocks), tuple(s[2] for s in blocks), text, any(s[3] for s in stack), linked, tuple(s[2] for s in blocks if s[0] == "form")))
+            out.append(Block(tuple(s[0] for s in blocks), tuple(s[2] for s in blocks), text, any(s[3] for s in stack), linked, tuple(s[2] for s in stack if s[1])))
         words.clear()
         linked = 0
 
@@ -135,8 +153,8 @@ def read_blocks(page: str) -> list[Block]:
         link += tag == "a"
         number += 1
         inside_article = any(s[0] in ("article", "main") for s in stack)
-        hidden = _is_furniture(tag, m[3]) or tag == "header" and not inside_article
-        stack.append((tag, tag, number, hidden))
+        hidden = _is_hidden(tag, m[3]) or tag == "header" and not inside_article
+        stack.append((tag, _is_doubtful(tag, m[3], inside_article), number, hidden))
     flush()
     return out
 
@@ -161,14 +179,22 @@ def path_scores(blocks: list[Block]) -> dict[tuple[str, ...], float]:
 
 
 def visible_blocks(page: str) -> list[Block]:
-    """Blocks outside furniture. A form is furniture too, unless it holds more than half of the page's other text."""
+    """Blocks outside furniture.
+
+    What is only called so, and a form, is none if it holds more than half of the page's other text, links
+    aside, and no article or main element lies outside of it.
+    """
     blocks = [b for b in read_blocks(page) if not b.hidden]
     inside: dict[int, int] = {}
-    for b in blocks:
-        for form in b.forms:
-            inside[form] = inside.get(form, 0) + len(b.text)
-    half = sum(len(b.text) for b in blocks) / 2
-    return [b for b in blocks if all(inside[form] > half for form in b.forms)]
+    named: dict[int, int] = {}
+    plain = [max(0, len(b.text) - b.linked) for b in blocks]
+    own = ["article" in b.path or "main" in b.path for b in blocks]
+    for b, size, is_own in zip(blocks, plain, own):
+        for node in b.doubtful:
+            inside[node] = inside.get(node, 0) + size
+            named[node] = named.get(node, 0) + is_own
+    half, articles = sum(plain) / 2, sum(own)
+    return [b for b in blocks if all(inside[n] > half and named[n] == articles for n in b.doubtful)]
 
 
 def _article_of(blocks: list[Block], is_content: list[bool], depth: int) -> list[Block]:
@@ -200,23 +226,34 @@ def main_text(page: str | None) -> str:
     scores = path_scores(blocks)
     threshold = 0.5 * max(scores.values())
     content = [b for b in blocks if scores[b.path] >= threshold]
-    weight: dict[tuple[int, ...], int] = {}
-    labels: dict[tuple[int, ...], str] = {(): "html"}
+    # By number of the element, 0 for the page: characters of content, label, depth.
+    weight, labels, depths = {0: 0}, {0: "html"}, {0: 0}
     for b in content:
-        for depth in range(len(b.nodes) + 1):
-            weight[b.nodes[:depth]] = weight.get(b.nodes[:depth], 0) + len(b.text)
-            labels[b.nodes[:depth]] = b.path[depth - 1] if depth else "html"
-    # an article or main element with the most content, the outermost of these; else the smallest element with all of it
+        weight[0] += len(b.text)
+        for depth, (node, label) in enumerate(zip(b.nodes, b.path), 1):
+            weight[node] = weight.get(node, 0) + len(b.text)
+            labels[node], depths[node] = label, depth
+
+    def within(b: Block, node: int) -> bool:
+        return not node or len(b.nodes) >= depths[node] and b.nodes[depths[node] - 1] == node
+
+    # Articles by name, the outermost ones that hold much of the content, if together they hold most of it; else the
+    # smallest element with all of it.
     named = [n for n in weight if labels[n] in ("article", "main")]
     if named:
-        home = max(named, key=lambda n: (weight[n], -len(n)))
-        return "\n\n".join(b.text for b in blocks if b.nodes[: len(home)] == home)
-    home = max((n for n in weight if weight[n] == weight[()]), key=len)
-    while labels[home] in LEAVES:  # a lone paragraph: its neighbours belong to it
-        home = home[:-1]
-    inside = [b for b in blocks if b.nodes[: len(home)] == home]
+        most = max(weight[n] for n in named)
+        homes = {n for n in named if 2 * weight[n] >= most}
+        whole = [b for b in blocks if any(within(b, n) for n in homes)]
+        if 2 * sum(len(b.text) for b in content if any(within(b, n) for n in homes)) >= weight[0]:
+            return "\n\n".join(b.text for b in whole)
+    full = [n for n in weight if weight[n] == weight[0]]
+    home = max(full, key=lambda n: depths[n])
+    way = {depths[n]: n for n in full}
+    while labels[home] in LEAVES and home:  # a lone paragraph: its neighbours belong to it
+        home = way[depths[home] - 1]
+    inside = [b for b in blocks if within(b, home)]
     if labels[home] in ("html", "body", "form"):  # the article has no element of its own
-        inside = _article_of(inside, [scores[b.path] >= threshold for b in inside], len(home))
+        inside = _article_of(inside, [scores[b.path] >= threshold for b in inside], depths[home])
     return "\n\n".join(b.text for b in inside)
 
 
