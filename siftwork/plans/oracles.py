@@ -337,6 +337,9 @@ ORACLES: dict[str, str] = {
                    arg_min(strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' ' || upper(event_type) || ' user=' || user_id || ' props=' || props, event_id) AS line
             FROM events GROUP BY event_type)
         QUALIFY rank <= 25""",
+    "numbered_log_lines": """
+        SELECT event_id // 5000 AS file, row_number() OVER (PARTITION BY event_id // 5000 ORDER BY event_id) AS line_no,
+               strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' ' || upper(event_type) || ' user=' || user_id || ' props=' || props AS line FROM events""",
     "log_window_patterns": f"""
         WITH arriving AS (
             SELECT *, least(2, floor(event_id * 3 / (SELECT max(event_id) + 1 FROM events)) + CASE WHEN event_id % 50 = 7 THEN 1 ELSE 0 END) AS delivery,

@@ -11,7 +11,7 @@ from siftwork.functions import text as tx
 from siftwork.operators import catalog, chat, config, diagnostics, graph, lines, repo, rewrite, runs
 from siftwork.plans import views as v
 from siftwork.sources.checkpoints import materialize, new_location
-from siftwork.sources.files import register_tables, run_sql
+from siftwork.sources.files import read_numbered_lines, register_tables, run_sql
 from siftwork.streaming.config_stream import keep_last_good, last_good_config, newest_config
 from siftwork.streaming.log_stream import late_lines, top_window_patterns, write_window_patterns
 
@@ -52,6 +52,19 @@ def log_window_patterns(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def numbered_log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The log read back from text files of several splits each."""
+    place, key = new_location(spark, "log-files"), "spark.sql.files.maxPartitionBytes"
+    v.write_event_log(spark, folder, place)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "128k")
+    try:
+        numbered = materialize(read_numbered_lines(spark, place), "numbered-lines")
+    finally:
+        spark.conf.set(key, before)
+    return numbered.select(F.regexp_extract("source", "file=([0-9]+)", 1).cast("bigint").alias("file"), "line_no", "line")
+
+
 def doc_line_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     split = lines.to_lines(v.texts(spark, folder, "documents"), ["lang", "doc_id"], "text", "newline")
     placed = split.withColumn("line_no", F.col("doc_id") * (1 << 24) + F.col("line_no"))
@@ -483,7 +496,7 @@ def chat_status_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        log_top_patterns, log_summary, log_window_patterns, doc_line_dedupe, cap_text, html_to_text,
+        log_top_patterns, log_summary, log_window_patterns, numbered_log_lines, doc_line_dedupe, cap_text, html_to_text,
         classify_build_lines, build_top_patterns, build_digest, build_failed,
         test_totals, test_failure_lines, test_summary_lines, test_digest,
         file_inventory, file_paths, python_symbols, js_symbols, repo_map, todo_markers, todo_summary, scan_secrets,

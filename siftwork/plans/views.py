@@ -45,6 +45,16 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     return event_lines(texts(spark, folder, "events")).drop("ts")
 
 
+LOG_FILE = 5000
+
+
+def write_event_log(spark: SparkSession, folder: str, place: str) -> None:
+    """The log as text files of 5,000 events in order, a folder `file=<number>` for each."""
+    lines = event_lines(table(spark, folder, "events")).withColumn("file", F.floor(F.col("line_no") / LOG_FILE))
+    ordered = lines.repartition("file").sortWithinPartitions("file", "line_no")
+    ordered.select("file", "line").write.partitionBy("file").text(place)
+
+
 DELIVERIES = 3
 
 

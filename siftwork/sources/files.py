@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import paths
@@ -139,6 +139,25 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Splittable text files as (source, line_no, line), `line_no` from 1 without gaps in each file.
+
+    The lines of each split are counted first; what the splits before hold is added up over one row per
+    split, and lines are numbered where they are read. Both passes see the same splits as long as files
+    and settings stay; no file passes through one task.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND((1 << _ROWS_PER_PARTITION_BITS) - 1)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_split"), place.alias("_place"), F.col("value")
+    )
+    splits = lines.groupBy("source", "_split").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("source").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return lines.join(starts, ["source", "_split"]).select(
+        "source", (F.col("_before") + F.col("_place") - F.col("_first") + 1).alias("line_no"), tx.make_clean(F.col("value")).alias("line")
+    )
+
+
 def register_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> None:
     """Parquet tables of one folder as temporary views, for `run_sql`."""
     for name in names:

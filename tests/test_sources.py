@@ -68,3 +68,23 @@ def test_intermediate_tables_live_in_the_configured_folder(spark):
     table, odd = checkpoints.materialize_counting(spark.range(10), "ten", "id % 2 = 1")
     assert odd == 5 and table.count() == 10
     assert all(f.replace("file://", "").startswith(folder) for f in table.inputFiles())
+
+
+def test_lines_are_numbered_without_gaps_over_splits(spark, tmp_path):
+    from siftwork.sources.files import read_numbered_lines
+
+    expected = {}
+    for name, n in (("a.log", 4000), ("b c.log", 1), ("empty.log", 0), ("d.log", 900)):
+        lines = [f"{name} line {k} " + "x" * (k * 37 % 200) for k in range(n)]
+        (tmp_path / name).write_text("\r\n".join(lines))
+        expected.update({(name[0], k + 1): x for k, x in enumerate(lines)})
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16k")
+    try:
+        frame = read_numbered_lines(spark, str(tmp_path))
+        assert frame.rdd.getNumPartitions() > 1
+        found = [(r["source"].rsplit("/", 1)[1][0], r["line_no"], r["line"]) for r in frame.collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert len(found) == len(expected) and {(s, n): x for s, n, x in found} == expected
