@@ -232,9 +232,11 @@ def package_json_dependencies(content: Column) -> Column:
 
     def section(root: Column, name: str) -> Column:
         entries = F.coalesce(F.map_entries(root[name]), F.array().cast("array<struct<key string, value string>>"))
-        # a repeated key holds its last value
+        names = F.transform(entries, lambda e: e["key"])
+        # A repeated key holds its last value; only then are entries compared with those behind them.
         last = F.filter(entries, lambda e, k: ~F.exists(F.slice(entries, k + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-        return F.transform(last, lambda e: _dependency(F.lit(name), e["key"], e["value"]))
+        kept = F.when(F.size(F.array_distinct(names)) == F.size(entries), entries).otherwise(last)
+        return F.transform(kept, lambda e: _dependency(F.lit(name), e["key"], e["value"]))
 
     return tx.bind(
         F.when((F.size(parsed) == 1) & keys.isNotNull() & ~reduce(or_, unread), first),
