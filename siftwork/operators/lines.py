@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions import text as tx
+from siftwork.operators.ranks import ranked_within
 
 
 def to_lines(df: DataFrame, keep: Sequence[str], text: str, mode: str = "universal") -> DataFrame:
@@ -35,11 +36,13 @@ def dedupe_lines(
 def top_patterns(patterns: DataFrame, by: Sequence[str], n: int | None = None) -> DataFrame:
     """The patterns per key by frequency (the top `n` if given), ties in order of first appearance, with `rank`.
 
-    A rank filter lets Spark cut every partition to `n` rows per key before the shuffle.
+    A rank filter lets Spark cut every partition to `n` rows per key before the shuffle; without one, keys
+    are ranked in ranges, so that no key passes through one task.
     """
+    if n is None:
+        return ranked_within(patterns, by, [F.desc("n"), F.asc("first_no")])
     order = Window.partitionBy(*by).orderBy(F.desc("n"), "first_no")
-    ranked = patterns.withColumn("rank", F.row_number().over(order))
-    ranked = ranked if n is None else ranked.filter(F.col("rank") <= n)
+    ranked = patterns.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
     return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, StringType
 from siftwork.functions import paths
 from siftwork.functions import text as tx
 from siftwork.operators.lines import to_lines
+from siftwork.operators.ranks import ranked_within
 from siftwork.operators.runs import build_digest, test_digest
 
 S, W = tx.SPACE, tx.WORD
@@ -351,9 +352,10 @@ def diff_symbols(diffs: DataFrame, limit: int | None = None) -> DataFrame:
     hunk = f"(?md)^@@ -{d}+(?:,{d}+)? \\+{d}+(?:,{d}+)? @@{S}*(.*)$"
     found = diffs.select("repo", F.explode(F.regexp_extract_all("patch", F.lit(hunk), F.lit(1))).alias("_s"))
     symbols = found.select("repo", tx.strip(F.col("_s")).alias("symbol")).filter(F.col("symbol") != "").distinct()
+    if limit is None:
+        return ranked_within(symbols, ["repo"], ["symbol"]).select("repo", "rank", "symbol")
     order = Window.partitionBy("repo").orderBy("symbol")
-    ranked = symbols.withColumn("rank", F.row_number().over(order))
-    ranked = ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    ranked = symbols.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     return ranked.select("repo", F.col("rank").cast("bigint").alias("rank"), "symbol")
 
 
