@@ -416,6 +416,16 @@ ORACLES: dict[str, str] = {
             SELECT run_id, count(*) AS failure_lines, count(DISTINCT pattern) AS failure_patterns FROM ({TEST_FAILURES}) GROUP BY run_id) USING (run_id)""",
     "file_inventory": f"SELECT p_brand AS repo, count(*) AS file_count FROM part WHERE {TRACKED} GROUP BY p_brand",
     "file_paths": f"SELECT p_brand AS repo, {SOURCE_PATH} AS path FROM part WHERE {TRACKED}",
+    "walked_files": f"""
+        SELECT p_brand AS repo, regexp_replace({SOURCE_PATH}, '/m([0-9]*5)\\.', '/p\\1/__init__.') AS path,
+               octet_length(encode(content))::BIGINT AS n_bytes, sha256(content) AS sha256
+        FROM (SELECT *, CASE
+                WHEN p_partkey % 9 = 0 THEN 'def broken' || p_partkey || '(:' || chr(10)
+                WHEN p_partkey % 3 = 0 THEN replace('import os|||async def load_' || p_partkey || '():|    def inner():|        pass|||class C' || p_partkey
+                    || ':|    def run(self):|        pass|', '|', chr(10))
+                ELSE replace('export async function run' || p_partkey || '() {{}}|  class W' || p_partkey
+                    || ' {{}}|const f = () => 1;|export default function|  last' || p_partkey || '() {{}}|', '|', chr(10)) END AS content
+              FROM part WHERE {TRACKED} AND p_partkey % 3 <> 2)""",
     "python_symbols": f"""
         SELECT p_brand AS repo, {SOURCE_PATH} AS path, unnest([1, 2])::BIGINT AS pos, unnest(['load_' || p_partkey, 'C' || p_partkey]) AS symbol
         FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 9 <> 0""",

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions import text as tx
+from siftwork.functions.paths import SOURCE_TREE_EXCLUDES
 from siftwork.operators import catalog, chat, config, diagnostics, graph, lines, repo, rewrite, runs
 from siftwork.plans import views as v
 from siftwork.sources.checkpoints import materialize, new_location
-from siftwork.sources.files import read_numbered_lines, register_tables, run_sql
+from siftwork.sources.files import read_numbered_lines, register_tables, run_sql, walk_files
 from siftwork.streaming.config_stream import keep_last_good, last_good_config, newest_config
 from siftwork.streaming.log_stream import late_lines, top_window_patterns, write_window_patterns
 
@@ -130,6 +131,14 @@ def file_paths(spark: SparkSession, folder: str) -> DataFrame:
     return repo.file_paths(repo.tracked_files(v.source_files(spark, folder)))
 
 
+def walked_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The source files read back from a folder tree: those of two extensions, without excluded and hidden folders."""
+    place = new_location(spark, "source-tree")
+    v.write_source_tree(spark, folder, place)
+    files = walk_files(spark, place, SOURCE_TREE_EXCLUDES, [".py", ".ts"], skip_hidden=True, repo_depth=1)
+    return files.select("repo", "path", F.octet_length("content").cast("bigint").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def python_symbols(spark: SparkSession, folder: str) -> DataFrame:
     return repo.python_symbols(v.source_files(spark, folder))
 
@@ -499,7 +508,7 @@ QUERIES: dict[str, Query] = {
         log_top_patterns, log_summary, log_window_patterns, numbered_log_lines, doc_line_dedupe, cap_text, html_to_text,
         classify_build_lines, build_top_patterns, build_digest, build_failed,
         test_totals, test_failure_lines, test_summary_lines, test_digest,
-        file_inventory, file_paths, python_symbols, js_symbols, repo_map, todo_markers, todo_summary, scan_secrets,
+        file_inventory, file_paths, walked_files, python_symbols, js_symbols, repo_map, todo_markers, todo_summary, scan_secrets,
         deps_package_json, deps_requirements, deps_csproj, list_dependencies, dependency_counts,
         diff_files, diff_totals, diff_symbols, recent_commits, status_report,
         project_names, project_edges, dangling_references, adjacency, strong_components, find_cycles, one_repository_components, one_repository_cycles,

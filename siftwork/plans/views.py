@@ -7,6 +7,9 @@ No view groups rows to build one big text: every rendered value belongs to one t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,6 +159,30 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def write_source_tree(spark: SparkSession, folder: str, place: str) -> None:
+    """The source files as files below `place`, a folder per repository; a tenth of them are `__init__` files of a package."""
+    files = source_files(spark, folder).select(
+        F.concat_ws("/", F.lit(""), "repo", F.regexp_replace("path", r"/m([0-9]*5)\.", "/p$1/__init__.")).alias("path"), F.encode("content", "utf-8").alias("content")
+    )
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs as arrow_fs
+
+        store, top = arrow_fs.FileSystem.from_uri(place)
+        known = set()
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                home = (top + path).rsplit("/", 1)[0]
+                if home not in known:
+                    store.create_dir(home, recursive=True)
+                    known.add(home)
+                with store.open_output_stream(top + path) as out:
+                    out.write(content)
+            yield batch[["path"]]
+
+    files.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+
+
 def marker_files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as files, with a marker in front of four lines out of seven."""
     def marked(line: Column, i: Column) -> Column:

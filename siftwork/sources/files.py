@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import paths
 from siftwork.functions import text as tx
-from siftwork.sources.checkpoints import materialize_counting
+from siftwork.sources.checkpoints import materialize
+from siftwork.sources.tree import FolderTree, extension
 
 _ROWS_PER_PARTITION_BITS = 33
 
@@ -66,27 +67,11 @@ def walk_files(
 ) -> DataFrame:
     """The same table as `read_files`, with every file name included.
 
-    Folders are listed level by level, spread over the cluster, and excluded ones are not
-    entered; the contents are then read where their paths were sent. `root` is an absolute path
-    or a URI the workers can open.
+    The data source `folder_tree` lists in one job, without entering excluded folders or keeping
+    names of other extensions; the list is written, spread evenly, and contents are read where
+    their paths were sent. `root` is an absolute path or a URI the workers can open.
     """
-    excluded, wanted = set(exclude_dirs), tuple(e.lower() for e in exts)
-
-    def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs as arrow_fs
-
-        store = arrow_fs.FileSystem.from_uri(root)[0]
-        for folder in (f for batch in batches for f in batch["folder"]):
-            rows = []
-            for info in store.get_file_info(arrow_fs.FileSelector(folder)):
-                is_folder = info.type == arrow_fs.FileType.Directory
-                linked = store.type_name == "local" and os.path.islink(info.path)
-                hidden = skip_hidden and info.base_name.startswith(".")
-                if is_folder and not (info.base_name in excluded or hidden or linked):
-                    rows.append((info.path, True))
-                elif info.type == arrow_fs.FileType.File and (not wanted or info.base_name.lower().endswith(wanted)):
-                    rows.append((info.path, False))
-            yield pd.DataFrame(rows, columns=["path", "is_folder"])
+    files = walk_names(spark, root, exclude_dirs, exts, skip_hidden)
 
     def read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as arrow_fs
@@ -96,22 +81,32 @@ def walk_files(
             with store.open_input_stream(path) as stream:
                 yield pd.DataFrame({"path": [path], "content": [stream.read()]})
 
-    from pyarrow import fs as arrow_fs
-
     pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    level = spark.createDataFrame([(arrow_fs.FileSystem.from_uri(root)[1],)], "folder string")
-    listings, deeper = [], True
-    while deeper:
-        listing, deeper = materialize_counting(
-            level.mapInPandas(list_folders, "path string, is_folder boolean"), "listing", "is_folder"
-        )
-        listings.append(listing.filter("NOT is_folder").select("path"))
-        level = listing.filter("is_folder").select(F.col("path").alias("folder")).repartition(pieces)
-    files = reduce(DataFrame.unionByName, listings).repartition(pieces)
-    contents = files.mapInPandas(read_contents, "path string, content binary")
+    contents = files.select("path").repartition(pieces).mapInPandas(read_contents, "path string, content binary")
     return contents.select(*_repo_and_path(root, repo_depth), "content")
 
 
+def walk_names(
+    spark: SparkSession, root: str, exclude_dirs: Iterable[str] = (), exts: Iterable[str] = (), skip_hidden: bool = False
+) -> DataFrame:
+    """The files under `root` as (path, extension, size), listed once."""
+    spark.dataSource.register(FolderTree)
+    tree = spark.read.format("folder_tree").option("exclude", "/".join(exclude_dirs)).option("skipHidden", str(skip_hidden).lower())
+    files = tree.option("tasks", spark.conf.get("spark.sql.shuffle.partitions")).load(root)
+    endings = [e.lower() for e in exts]
+    if endings:
+        if all("." in e for e in endings):
+            files = files.filter(F.col("extension").isin(sorted({extension(e) for e in endings})))
+        files = files.filter(reduce(or_, [F.lower("path").endswith(e) for e in endings]))
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        return materialize(files, "listing")
+    finally:
+        spark.conf.set(key, before)
+
+
 def _quoted_tail(root: str) -> str:
     path = root.split("://", 1)[-1].removeprefix("file:").rstrip("/")
     return r"\Q" + path + r"\E"

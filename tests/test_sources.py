@@ -88,3 +88,36 @@ def test_lines_are_numbered_without_gaps_over_splits(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert len(found) == len(expected) and {(s, n): x for s, n, x in found} == expected
+
+
+def test_excluded_folders_are_never_opened(tmp_path):
+    from pyspark.sql.datasource import EqualTo, In
+
+    from siftwork.sources.tree import TreeReader
+
+    for folder in ("a/b/c", "a/node_modules/x", "a/.hid", "d", "e/f"):
+        (tmp_path / folder).mkdir(parents=True)
+        for name in ("m.py", "n.PY", "o.ts", ".py", "p"):
+            (tmp_path / folder / name).write_text(folder)
+    for tasks in (1, 2, 3, 50):
+        reader, opened = TreeReader(str(tmp_path), {"node_modules"}, True, tasks), []
+        plain = reader.entries
+        reader.entries = lambda store, folder: opened.append(folder) or plain(store, folder)
+        kept = [EqualTo(("size",), 3)]
+        assert list(reader.pushFilters([In(("extension",), (".py", ".ts")), *kept, EqualTo(("extension",), ".py")])) == kept
+        parts = reader.partitions()
+        assert len(parts) <= tasks and len(opened) <= 7
+        found = sorted(path[len(str(tmp_path)) + 1:] for part in parts for path, _, _ in reader.read(part))
+        assert found == sorted(f"{folder}/{name}" for folder in ("a/b/c", "d", "e/f") for name in (".py", "m.py", "n.PY"))
+        assert set(opened) == {str(tmp_path / f) if f else str(tmp_path) for f in ("", "a", "a/b", "a/b/c", "d", "e", "e/f")}
+
+
+def test_walk_pushes_extensions_and_keeps_longer_endings(spark, tmp_path):
+    from siftwork.sources.files import walk_names
+
+    write(tmp_path, a__x_dot_d_dot_ts=b"12", a__y_dot_ts=b"1", b__z_dot_TS=b"", b__copy=b"1234")
+    names = lambda **o: sorted(r["path"].rsplit("/", 1)[1] for r in walk_names(spark, str(tmp_path), **o).collect())
+    assert names(exts=[".ts"]) == ["x.d.ts", "y.ts", "z.TS"]
+    assert names(exts=[".d.ts"]) == ["x.d.ts"]
+    assert names(exts=["py", ".d.ts"]) == ["copy", "x.d.ts"]
+    assert {r["size"] for r in walk_names(spark, str(tmp_path)).collect()} == {0, 1, 2, 4}
