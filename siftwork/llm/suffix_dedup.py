@@ -304,8 +304,8 @@ def _covered(docs: DataFrame, width: int, shard_contexts: int) -> DataFrame:
     found = _settled(bodies, width, shard_contexts)
     part = places.join(found, ["gram", "context"]).select("id", "row", (F.col("low") + F.col("first")).alias("low"), (F.col("low") + F.col("last") + width).alias("high"))
     whole = places.join(twins, ["gram", "context"], "left_semi").select("id", "row", "low", "high")
-    # no more stretches than runs in the text; their union is taken where the text is
-    spans = materialize(part.union(whole).groupBy("id", "row").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
+    # a set: equal rows share it; no more stretches than runs in the text, whose union is taken where the text is
+    spans = materialize(part.union(whole).groupBy("id", "row").agg(F.collect_set(F.struct("low", "high")).alias("spans")), "spans")
     discard(places, bodies, found, heads)
     return spans
 

@@ -76,3 +76,11 @@ def test_cut_texts_keep_rows_columns_and_whole_characters(documents):
     found = {r["doc_id"]: r["text"] for r in suffix_dedup.without_repeats(df).collect()}
     assert found == {1: "start  end", 2: "x", 3: None, 4: "alone"}
     assert suffix_dedup.without_repeats(df).columns == df.columns
+
+
+def test_equal_rows_share_one_list_of_spans(documents):
+    text = sample(4)[0] + sample(5)[1]
+    df = documents(*[(k % 2 or None, text) for k in range(600)])
+    found = suffix_dedup._with_spans(df, 200, 1 << 14).selectExpr("size(_spans) AS n").distinct().collect()
+    assert len(found) == 1 and found[0]["n"] <= len(text.encode()) // 100
+    assert report(df) == brute([(k % 2 or None, text) for k in range(600)], 200)
