@@ -37,6 +37,32 @@ def test_shards_are_even_and_slots_gapless(spark, documents):
     assert hilbert_shards.shard_rows(documents(), ["source"], 24).count() == 0
 
 
+def test_columns_of_clashing_names_stay(documents):
+    names = ["_curve", "_row", "_d0", "place"]
+    df = documents(*[(k, "t" * k, f"s{k % 3}") for k in range(50)])
+    df = df.withColumnsRenamed(dict(zip(["doc_id", "text", "lang", "source"], names))).selectExpr("*", "n_chars AS shard", "'x' AS row")
+    found = hilbert_shards.shard_rows(df, ["place", "shard", "_d0"], 4, ties=["_curve"])
+    assert found.columns == [*names, "n_chars", "row", "shard", "slot"]
+    rows = found.collect()
+    assert sorted((r["_curve"], r["_row"], r["place"], r["row"]) for r in rows) == [(k, "t" * k, f"s{k % 3}", "x") for k in range(50)]
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in range(4) for k in range(13 if s in (0, 2) else 12)]
+
+
+def test_strings_count_whole_and_cells_are_even(spark):
+    names = [f"common-crawl-{chr(97 + k)}é" for k in range(8)] + [None, ""]
+    rows = [(k, names[k * 7 % 10]) for k in range(1000)]
+    df = spark.createDataFrame(rows, "id long, source string")
+    places = defaultdict(set)
+    for r in hilbert_shards.with_curve(df, ["source"], bits=4).collect():
+        places[r["source"] or ""].add(r["_curve"])
+    assert all(len(p) == 1 for p in places.values())  # one place for a string, another for every other
+    in_order = [min(places[name]) for name in sorted(places)]
+    assert len(in_order) == 9 and in_order == sorted(set(in_order))
+    many = spark.createDataFrame([(k, f"the-same-long-beginning-{k:05}") for k in range(3200)], "id long, source string")
+    sizes = [r["count"] for r in hilbert_shards.with_curve(many, ["source"], bits=4).groupBy("_curve").count().collect()]
+    assert sizes == [200] * 16
+
+
 # --- packing
 
 
