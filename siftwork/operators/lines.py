@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import text as tx
 from siftwork.operators.ranks import ranked_within
+from siftwork.sources.checkpoints import materialize
 
 
 def to_lines(df: DataFrame, keep: Sequence[str], text: str, mode: str = "universal") -> DataFrame:
@@ -56,11 +57,41 @@ def log_top_patterns(lines: DataFrame, top_n: int = 25) -> DataFrame:
     counted = _log_patterns(lines).groupBy("source", tx.mask_line(F.col("line")).alias("pattern")).agg(
         F.count("*").alias("n"), F.min("line_no").alias("first_no")
     )
-    top = top_patterns(counted, ["source"], top_n)
+    return _with_first_lines(lines, top_patterns(counted, ["source"], top_n))
+
+
+def _with_first_lines(lines: DataFrame, top: DataFrame) -> DataFrame:
     first = lines.select("source", F.col("line_no").alias("first_no"), "line")
     return first.join(top, ["source", "first_no"]).select("source", "rank", "n", "line", "pattern", "first_no")
 
 
+def log_top_patterns_by_buckets(lines: DataFrame, top_n: int = 25, buckets: int = 1 << 16) -> DataFrame:
+    """The rows of `log_top_patterns`, for logs whose lines are mostly distinct patterns.
+
+    Patterns fall into hash buckets, and a bucket's line count is a bound on the count of each of its
+    patterns. The `top_n` largest buckets of a source are counted by pattern; the `top_n`-th largest count
+    found there is a floor that the answer reaches. Only buckets that reach it too can hold patterns of the
+    answer, and those are counted exactly, so the result does not depend on `buckets`. What is shuffled is
+    bounded by `buckets` rows per source and partition, and the patterns of the buckets that stay; if all
+    stay, that is every pattern, as in `log_top_patterns`. The lines are masked three times. Rows without
+    source are left out; a source with fewer than `top_n` patterns returns all.
+    """
+    masked = _log_patterns(lines).select("source", "line_no", tx.mask_line(F.col("line")).alias("pattern"))
+    placed = masked.withColumn("bucket", F.pmod(F.xxhash64("pattern"), F.lit(buckets)))
+    totals = materialize(placed.groupBy("source", "bucket").agg(F.count("*").alias("total")), "pattern-buckets")
+
+    by_total = Window.partitionBy("source").orderBy(F.desc("total"), "bucket")
+    largest = totals.withColumn("_rank", F.row_number().over(by_total)).filter(F.col("_rank") <= top_n).select("source", "bucket")
+    seen = placed.join(largest, ["source", "bucket"]).groupBy("source", "pattern").agg(F.count("*").alias("n"))
+    by_count = Window.partitionBy("source").orderBy(F.desc("n"))
+    best = seen.withColumn("_rank", F.row_number().over(by_count)).filter(F.col("_rank") <= top_n)
+    floors = best.groupBy("source").agg(F.min("n").alias("floor"))
+
+    kept = materialize(totals.join(floors, "source").filter("total >= floor").select("source", "bucket"), "kept-buckets")
+    counted = placed.join(kept, ["source", "bucket"]).groupBy("source", "pattern").agg(F.count("*").alias("n"), F.min("line_no").alias("first_no"))
+    return _with_first_lines(lines, top_patterns(counted, ["source"], top_n))
+
+
 def log_summary(lines: DataFrame) -> DataFrame:
     """Per source: non-blank lines, first and last timestamp in file order, distinct patterns.
 

@@ -6,7 +6,7 @@ parses the rendered text. Queries over real text repeat the pattern.
 
 from __future__ import annotations
 
-from siftwork.functions.text import SPACE_CHARS
+from siftwork.functions.text import SPACE_CHARS, TIMESTAMP
 from siftwork.plans.views import NAMESPACES
 
 # --- shared pieces --------------------------------------------------------------------------
@@ -337,6 +337,12 @@ ORACLES: dict[str, str] = {
                    arg_min(strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' ' || upper(event_type) || ' user=' || user_id || ' props=' || props, event_id) AS line
             FROM events GROUP BY event_type)
         QUALIFY rank <= 25""",
+    "doc_top_patterns": rf"""
+        SELECT lang AS source, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first_no) AS rank, n, line, pattern, first_no FROM (
+            SELECT lang, regexp_replace(line, '{TIMESTAMP}|\p{{Nd}}+', '#', 'g') AS pattern, count(*) AS n,
+                   min(doc_id * 16777216 + line_no) AS first_no, arg_min(line, doc_id * 16777216 + line_no) AS line
+            FROM ({DOC_LINES}) WHERE trim(line, {BLANKS}) <> '' GROUP BY ALL)
+        QUALIFY rank <= 50""",
     "numbered_log_lines": """
         SELECT event_id // 5000 AS file, row_number() OVER (PARTITION BY event_id // 5000 ORDER BY event_id) AS line_no,
                strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || ' ' || upper(event_type) || ' user=' || user_id || ' props=' || props AS line FROM events""",

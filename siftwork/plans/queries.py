@@ -33,6 +33,13 @@ def log_top_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return lines.log_top_patterns(v.log_lines(spark, folder))
 
 
+def doc_top_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of texts, of which most occur once, as the logs of their languages."""
+    split = lines.to_lines(v.texts(spark, folder, "documents"), ["lang", "doc_id"], "text", "newline")
+    placed = split.select(F.col("lang").alias("source"), (F.col("doc_id") * (1 << 24) + F.col("line_no")).alias("line_no"), "line")
+    return lines.log_top_patterns_by_buckets(placed, 50)
+
+
 def log_summary(spark: SparkSession, folder: str) -> DataFrame:
     return lines.log_summary(v.log_lines(spark, folder))
 
@@ -505,7 +512,7 @@ def chat_status_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        log_top_patterns, log_summary, log_window_patterns, numbered_log_lines, doc_line_dedupe, cap_text, html_to_text,
+        log_top_patterns, doc_top_patterns, log_summary, log_window_patterns, numbered_log_lines, doc_line_dedupe, cap_text, html_to_text,
         classify_build_lines, build_top_patterns, build_digest, build_failed,
         test_totals, test_failure_lines, test_summary_lines, test_digest,
         file_inventory, file_paths, walked_files, python_symbols, js_symbols, repo_map, todo_markers, todo_summary, scan_secrets,

@@ -54,6 +54,27 @@ def test_ties_keep_first_seen_order_whatever_the_partitioning(spark):
         assert [r["line"] for r in top] == ["zeta 0", "alpha 0", "mid 0"]
 
 
+def test_buckets_never_change_the_top(spark):
+    mostly_once = [f"once {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    often = [f"{w} {i}" for k, w in enumerate(("ten", "nine", "nine too", "two")) for i in range((10, 9, 9, 2)[k])]
+    rows = log(spark, mostly_once[:150] + often + ["", " "] + mostly_once[150:]).union(log(spark, ["x", "y", "x"], "b"))
+    rows = rows.union(spark.createDataFrame([(None, 1, "none")], rows.schema)).repartition(5)
+    for top_n in (1, 3, 4, 400):
+        wanted = sorted(map(tuple, lines.log_top_patterns(rows, top_n).collect()))
+        for buckets in (1, 7, 1 << 16):
+            assert sorted(map(tuple, lines.log_top_patterns_by_buckets(rows, top_n, buckets).collect())) == wanted
+
+
+def test_buckets_of_an_empty_log(spark):
+    assert lines.log_top_patterns_by_buckets(log(spark, [""])).collect() == []
+
+
+def test_one_frequent_pattern_among_rare_ones(spark):
+    many = spark.range(200000).selectExpr("'a' source", "id line_no", "if(id % 4 = 0, 'often', concat('x', translate(string(id), '0123456789', 'abcdefghij'))) line")
+    row = lines.log_top_patterns_by_buckets(many, 1).collect()
+    assert [(r["n"], r["line"], r["first_no"]) for r in row] == [(50000, "often", 0)]
+
+
 def test_digits_of_any_script_are_masked(column):
     assert column("a٣٤b1", tx.mask_numbers(F.col("x"))) == "a#b#"
 
