@@ -79,6 +79,16 @@ def first_timestamp(line: Column) -> Column:
     return F.nullif(F.regexp_extract(line, TIMESTAMP, 0), F.lit(""))
 
 
+def entropy(text: Column) -> Column:
+    """Bits per character of a text by the frequencies of its characters; 0 for an empty one."""
+    def bits(value: Column) -> Column:
+        share = lambda c: (F.length(value) - F.length(F.replace(value, c, F.lit("")))) / F.length(value)
+        shares = F.transform(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")), share)
+        return F.aggregate(shares, F.lit(0.0), lambda total, p: total - p * F.log2(p))
+
+    return bind(text, bits)
+
+
 def cap_text(text: Column, limit: int) -> Column:
     """The first `limit` characters, and a note with the number left out."""
     before, after = CUT_NOTE.split("{}")

@@ -212,6 +212,71 @@ def scan_secrets(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
     )
 
 
+BLOCK_MARK = r"-----(?:BEGIN|END) (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----"
+LEAST_KEY = 48  # characters of the shortest encoded key
+
+
+def scan_secret_blocks(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """Private keys over any number of lines: (keep..., line_no, last_line_no, label, closed, n_chars).
+
+    A block runs from a BEGIN line to the END line of the same label that follows it as the next mark; without
+    one it is not closed and has no `last_line_no`. Line breaks may be written as `\\n`, and header lines may
+    lead, so a key inside one line of JSON counts too. `n_chars` counts the encoded characters that lead the
+    block; blocks with fewer than LEAST_KEY of them are placeholders and no findings. Work stays in the row
+    and grows with the text's length; null texts have no findings.
+    """
+    def in_line(line: Column, i: Column) -> Column:
+        marks = F.transform(F.regexp_extract_all(line, F.lit(BLOCK_MARK), F.lit(0)), lambda m: F.struct((i + 1).cast("bigint").alias("line_no"), m.alias("mark")))
+        return F.when(F.contains(line, F.lit("PRIVATE KEY")), marks)
+
+    def key_chars(body: Column) -> Column:
+        broken = F.regexp_replace(body, r"\\[nr]", "\n")
+        bare = F.regexp_replace(broken, r"[A-Za-z][A-Za-z-]{0,40}: [^\r\n]*", "")
+        return F.length(F.regexp_extract(F.regexp_replace(bare, f"[{tx.SPACE_SET}\"',]+", ""), "^[A-Za-z0-9+/=]*", 0))
+
+    def blocks(marks: Column, pieces: Column) -> Column:
+        def block(m: Column, k: Column) -> Column:
+            after = F.get(marks, k + 1)
+            closed = F.coalesce(after["mark"] == F.replace(m["mark"], F.lit("-BEGIN "), F.lit("-END ")), F.lit(False))
+            return F.struct(
+                m["line_no"].alias("line_no"),
+                F.when(closed, after["line_no"]).alias("last_line_no"),
+                F.regexp_extract(m["mark"], "-BEGIN ([A-Z0-9 ]+)-", 1).alias("label"),
+                closed.alias("closed"),
+                key_chars(F.get(pieces, k + 1)).cast("bigint").alias("n_chars"),
+            )
+
+        return F.transform(marks, block)
+
+    value = F.col(text)
+    marks = F.flatten(F.array_compact(F.transform(tx.text_lines(value), in_line)))
+    found = tx.bind(marks, lambda ms: tx.bind(F.split(value, BLOCK_MARK), lambda ps: blocks(ms, ps)))
+    rows = texts.filter(F.contains(value, F.lit("PRIVATE KEY"))).select(*keep, F.explode(found).alias("_block"))
+    return rows.select(*keep, "_block.*").filter((F.col("label") != "") & (F.col("n_chars") >= LEAST_KEY))
+
+
+RANDOM_VALUE = r"[:=]\s{0,8}[\"']([A-Za-z0-9+/=_-]{20,})[\"']"
+HEX_BITS, MIXED_BITS = 3.0, 4.0
+
+
+def scan_random_values(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """Quoted values assigned to any name that look random: (keep..., line_no, nth, entropy, masked).
+
+    Hex digits count from 32 characters and HEX_BITS bits a character on; other values need a capital, a small
+    letter, a digit and MIXED_BITS, so that words, paths and names written with dashes are left out. `nth` is
+    the place among the quoted long values of the line, from 1.
+    """
+    lines = to_lines(texts, keep, text).filter(F.contains("line", F.lit("=")) | F.contains("line", F.lit(":")))
+    values = lines.select(*keep, "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(RANDOM_VALUE), F.lit(1))).alias("_pos", "_value"))
+    value, bits = F.col("_value"), F.col("entropy")
+    rated = values.withColumn("entropy", F.round(tx.entropy(value), 6))
+    is_hex = value.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") & (bits >= HEX_BITS)
+    is_mixed = value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]") & (bits >= MIXED_BITS)
+    return rated.filter(is_hex | is_mixed).select(
+        *keep, "line_no", (F.col("_pos") + 1).cast("bigint").alias("nth"), F.round(bits, 3).alias("entropy"), _masked(value, 0).alias("masked")
+    )
+
+
 # --- manifests ------------------------------------------------------------------------------
 
 _DEPENDENCIES = "array<struct<section string, name string, version string>>"

@@ -452,6 +452,23 @@ ORACLES: dict[str, str] = {
         FROM m JOIN (SELECT repo, marker, count(*) AS marker_count FROM m GROUP BY ALL) USING (repo, marker)
         JOIN (SELECT repo, count(*) AS repo_count FROM m GROUP BY repo) USING (repo)""",
     "scan_secrets": secret_scan(),
+    "scan_secret_blocks": """
+        WITH forms(form, line_no, last_line_no, label, closed, n_chars) AS (VALUES
+            (0, 2, 7, 'RSA PRIVATE KEY', true, 128), (1, 1, NULL, 'PRIVATE KEY', false, 64), (3, 1, 1, 'EC PRIVATE KEY', true, 64),
+            (4, 1, NULL, 'PRIVATE KEY', false, 64), (4, 3, 5, 'DSA PRIVATE KEY', true, 64))
+        SELECT 'repo-' || p_partkey AS repo, 'keys/' || p_partkey || '.pem' AS path, CAST(line_no AS BIGINT) AS line_no,
+               CAST(last_line_no AS BIGINT) AS last_line_no, label, closed, CAST(n_chars AS BIGINT) AS n_chars
+        FROM part JOIN forms ON form = p_partkey % 6""",
+    "scan_random_values": rf"""
+        WITH quoted AS (
+            SELECT doc_id, line_no, unnest(found) AS v, generate_subscripts(found, 1) AS nth
+            FROM (SELECT *, regexp_extract_all(line, '[:=]\s{{0,8}}["'']([A-Za-z0-9+/=_-]{{20,}})["'']', 1) AS found FROM ({DOC_LINES}))),
+        rated AS (
+            SELECT *, round(list_sum(list_transform(list_distinct(string_split(v, '')), lambda c:
+                -((length(v) - length(replace(v, c, ''))) / length(v)) * log2((length(v) - length(replace(v, c, ''))) / length(v)))), 6) AS bits FROM quoted)
+        SELECT doc_id, line_no, nth, round(bits, 3) AS entropy, '***' || length(v) AS masked FROM rated
+        WHERE (regexp_matches(v, '^([0-9a-f]{{32,}}|[0-9A-F]{{32,}})$') AND bits >= 3)
+           OR (regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]') AND bits >= 4)""",
     "deps_package_json": DEPENDENCIES["package.json"],
     "deps_requirements": DEPENDENCIES["requirements.txt"],
     "deps_csproj": DEPENDENCIES["csproj"],

@@ -172,6 +172,14 @@ def scan_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return repo.scan_secrets(v.texts(spark, folder, "documents"), ["doc_id"], "text")
 
 
+def scan_secret_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return repo.scan_secret_blocks(v.key_files(spark, folder), ["repo", "path"], "content")
+
+
+def scan_random_values(spark: SparkSession, folder: str) -> DataFrame:
+    return repo.scan_random_values(v.texts(spark, folder, "documents"), ["doc_id"], "text")
+
+
 def deps_package_json(spark: SparkSession, folder: str) -> DataFrame:
     return repo.deps_package_json(v.manifests(spark, folder))
 
@@ -516,6 +524,7 @@ QUERIES: dict[str, Query] = {
         classify_build_lines, build_top_patterns, build_digest, build_failed,
         test_totals, test_failure_lines, test_summary_lines, test_digest,
         file_inventory, file_paths, walked_files, python_symbols, js_symbols, repo_map, todo_markers, todo_summary, scan_secrets,
+        scan_secret_blocks, scan_random_values,
         deps_package_json, deps_requirements, deps_csproj, list_dependencies, dependency_counts,
         diff_files, diff_totals, diff_symbols, recent_commits, status_report,
         project_names, project_edges, dangling_references, adjacency, strong_components, find_cycles, one_repository_components, one_repository_cycles,

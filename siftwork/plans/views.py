@@ -195,6 +195,22 @@ def marker_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def key_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A file per part that holds a key block: closed, open, a placeholder, on one line, one after an open one, or a public one."""
+    k = F.col("p_partkey")
+    body = F.sha2(k.cast("string"), 256)
+    forms = (
+        _t("# key\n-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n", body, "\n", body, "\n-----END RSA PRIVATE KEY-----\n"),
+        _t("-----BEGIN PRIVATE KEY-----\n", body, "\n"),
+        _t("-----BEGIN PRIVATE KEY-----\n<your key here>\n-----END PRIVATE KEY-----\n"),
+        _t('{"key": "-----BEGIN EC PRIVATE KEY-----\\n', body, '\\n-----END EC PRIVATE KEY-----\\n"}'),
+        _t("-----BEGIN PRIVATE KEY-----\r\n", body, "\r\n-----BEGIN DSA PRIVATE KEY-----\r\n", body, "\r\n-----END DSA PRIVATE KEY-----"),
+        _t("-----BEGIN PUBLIC KEY-----\n", body, "\n-----END PUBLIC KEY-----\n"),
+    )
+    content = F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int"))
+    return texts(spark, folder, "part").select(_t("repo-", k).alias("repo"), _t("keys/", k, ".pem").alias("path"), content.alias("content"))
+
+
 def manifests(spark: SparkSession, folder: str) -> DataFrame:
     k, size, name = F.col("p_partkey"), F.col("p_size"), F.regexp_replace("p_name", " ", "-")
     package = F.when(k % 11 == 0, F.lit('{"dependencies": ')).otherwise(

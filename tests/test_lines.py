@@ -118,3 +118,8 @@ def test_html_with_loose_angle_brackets(column):
 def test_bytes_as_text(column):
     assert column(b"a\xffb", tx.utf8_text(F.col("x")), "binary") == "a�b"
     assert column(b"a\xffb", tx.utf8_text_lenient(F.col("x")), "binary") == "ab"
+
+
+def test_entropy_of_characters(column):
+    rated = lambda text: column(text, tx.entropy(F.col("x")))
+    assert [rated(t) for t in ("", "aaaa", "abab", "abcdabcd", "日本")] == [0.0, 0.0, 1.0, 2.0, 1.0] and rated(None) is None
