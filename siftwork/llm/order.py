@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.llm.names import free
 from siftwork.sources.checkpoints import materialize
 
 
@@ -18,13 +19,15 @@ def with_place(df: DataFrame, *keys: Column | str, name: str = "place") -> DataF
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    table = materialize(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranges")
-    part = F.shiftright("_at", 33)
+    at_name, part_name, start_name = (free(c, [*df.columns, name]) for c in ("_at", "_part", "_start"))
+    table = materialize(ranged.withColumn(at_name, F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright(at_name, 33)
     sizes = table.groupBy(part.alias("_part")).count().collect()  # one row per range
     before, starts = 0, []
     for row in sorted(sizes):
         starts.append((row["_part"], before))
         before += row["count"]
-    offsets = spark.createDataFrame(starts, "_part long, _start long")
-    placed = table.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # as many rows as ranges
-    return placed.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_start", "_at")
+    offsets = spark.createDataFrame(starts, f"{part_name} long, {start_name} long")
+    placed = table.withColumn(part_name, part).join(F.broadcast(offsets), part_name)  # as many rows as ranges
+    place = F.col(start_name) + F.col(at_name).bitwiseAND((1 << 33) - 1)
+    return placed.withColumn(name, place).drop(part_name, start_name, at_name)

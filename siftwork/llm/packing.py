@@ -18,10 +18,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwork.llm import words as w
 from siftwork.llm.batches import batches_of
+from siftwork.llm.names import col, free, numbered, without
 from siftwork.llm.order import with_place
 from siftwork.sources.checkpoints import materialize
 
@@ -177,8 +178,10 @@ def pack(pieces: DataFrame, most: int = 2048) -> DataFrame:
     """The rows of `pieces(length, ...)`, a written table, with sequence_id and offset.
 
     Lengths from 1 to `most`. Equal rows take places of their own. Only counts by length (at most
-    `most` rows) and the runs made of them are gathered. An empty table gives none.
+    `most` rows) and the runs made of them are gathered. An empty table gives none. Columns may have any
+    names; those named sequence_id or offset, in any case, give way.
     """
+    pieces = pieces.select(*map(col, without(pieces.columns, ["sequence_id", "offset"])))
     counts = {row["length"]: row["count"] for row in pieces.groupBy("length").count().collect()}
     runs = best_fit_decreasing(counts, most)
     table = {}
@@ -190,13 +193,15 @@ def pack(pieces: DataFrame, most: int = 2048) -> DataFrame:
         start[length] = before
         before += counts[length]
     shared = pieces.sparkSession.sparkContext.broadcast((table, start))
-    columns = pieces.columns
+    columns, place_name = pieces.columns, free("_place", pieces.columns)
+    length_at, kinds = columns.index("length"), [*[f.dataType for f in pieces.schema], T.LongType(), T.LongType()]
+    schema = T.StructType([T.StructField(f"c{k}", kind) for k, kind in enumerate(kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, first_place = shared.value
         for rows in batches:
-            length = rows.column(rows.schema.get_field_index("length")).to_numpy()
-            place = rows.column(rows.schema.get_field_index("_place")).to_numpy()
+            length = rows.column(length_at).to_numpy()
+            place = rows.column(len(columns)).to_numpy()
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for n in np.unique(length).tolist():
                 k = np.flatnonzero(length == n)
@@ -206,12 +211,12 @@ def pack(pieces: DataFrame, most: int = 2048) -> DataFrame:
                 inside = rank - firsts[r]
                 sequence[k] = bins[r] + inside // each[r]
                 offset[k] = fill[r] + inside % each[r] * n
-            kept = [rows.column(rows.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
+            kept = [rows.column(k) for k in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], schema.names)
 
-    placed = with_place(pieces, "length", *[c for c in columns if c != "length" and pieces.schema[c].dataType.typeName() != "array"], name="_place")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return placed.mapInArrow(run, schema)
+    others = [col(c) for c in columns if c != "length" and pieces.schema[c].dataType.typeName() not in ("array", "map", "struct")]
+    placed = with_place(pieces, "length", *others, name=place_name)
+    return numbered(placed).mapInArrow(run, schema).toDF(*columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, most: int = 2048, with_ids: bool = False) -> DataFrame:

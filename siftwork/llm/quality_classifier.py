@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.llm.names import col, free, without
 from siftwork.llm.text_stats import with_counts
 
 PREFIX = "_stat_"
@@ -170,8 +171,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, label:
 def score(docs: DataFrame, model: RuleModel, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of `docs`, and `score`: 0 to 1, higher where label 1 is likelier.
 
-    Null and empty texts have all statistics 0 and get a score like any other. Input columns
-    whose names begin with `_stat_` or equal `score` must be left out of `keep`.
+    Null and empty texts have all statistics 0 and get a score like any other. A column of `keep`
+    named `score`, in any case, gives way to the model's; other names may be any.
     """
-    keep = docs.columns if keep is None else keep
-    return with_counts(docs, "text", prefix=PREFIX, keep=keep).select(*keep, model.score().alias("score"))
+    keep = without(docs.columns if keep is None else keep, ["score"])
+    prefix = free(PREFIX, docs.columns)
+    return with_counts(docs, "text", prefix=prefix, keep=keep).select(*map(col, keep), model.score(prefix).alias("score"))
+
+
+def accepted(docs: DataFrame, model: RuleModel, least: float) -> DataFrame:
+    """The rows of `docs` whose score is at least `least`, with their own columns, whatever their names."""
+    prefix = free(PREFIX, docs.columns)
+    return with_counts(docs, "text", prefix=prefix).filter(model.score(prefix) >= least).select(*map(col, docs.columns))

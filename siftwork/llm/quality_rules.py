@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.llm.names import without
 from siftwork.llm.text_stats import with_counts
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_upper", "n_same_words")
@@ -35,9 +36,10 @@ def ledger(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (default doc_id) of `docs(text)`, MEASURES and `failed`, the rules' bits.
 
     A null or empty text has no words and fails as short. Every row has its row in the ledger,
-    repeated rows too; an empty table gives none. Columns of `keep` must not be named like measures.
+    repeated rows too; an empty table gives none. A column of `keep` that is named like a measure or
+    `failed`, in any case, gives way to the ledger's.
     """
-    counted = with_counts(docs, "text", MEASURES, keep=["doc_id"] if keep is None else keep)
+    counted = with_counts(docs, "text", MEASURES, keep=without(["doc_id"] if keep is None else keep, [*MEASURES, "failed"]))
     bits: Column = F.lit(0)
     for k, condition in enumerate(RULES.values()):
         bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(1 << k)).otherwise(F.lit(0)))

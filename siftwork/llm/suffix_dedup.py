@@ -24,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwork.llm import words as w
 from siftwork.llm.batches import batches_of
 from siftwork.llm.bitmap import Bitmap
 from siftwork.llm.induced_sort import permuted_prefixes, prefix_sums, span, suffix_array
+from siftwork.llm.names import col, free, numbered
 from siftwork.sources.checkpoints import discard, materialize
 
 WIDTH = 200
@@ -328,15 +330,16 @@ def _kept(text: bytes, spans: np.ndarray) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def _with_spans(docs: DataFrame, width: int, shard_contexts: int) -> DataFrame:
-    """`docs` and a column `_spans` of covered stretches (null: none)."""
+def _with_spans(docs: DataFrame, width: int, shard_contexts: int, name: str = "_spans") -> DataFrame:
+    """`docs` and a column `name` of covered stretches (null: none)."""
     row = F.xxhash64(F.col("doc_id").cast("long"), "text")
     with batches_of(docs.sparkSession, 2048):
         covered = _covered(docs.select(F.col("doc_id").cast("long").alias("id"), row.alias("row"), "text"), width, shard_contexts)
-    found = covered.select(F.col("id").alias("_id"), F.col("row").alias("_key"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_row", row)
-    same = (F.col("_row") == F.col("_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    return keyed.join(found, same, "left").drop("_row", "_key", "_id")
+    id_name, key_name, row_name = (free(c, docs.columns) for c in ("_id", "_key", "_row"))
+    found = covered.select(F.col("id").alias(id_name), F.col("row").alias(key_name), F.col("spans").alias(name))
+    keyed = docs.withColumn(row_name, row)
+    same = (F.col(row_name) == F.col(key_name)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_name))
+    return keyed.join(found, same, "left").select(*map(col, docs.columns), name)
 
 
 def repeat_report(docs: DataFrame, width: int = WIDTH, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
@@ -365,16 +368,17 @@ def repeat_report(docs: DataFrame, width: int = WIDTH, shard_contexts: int = SHA
 def without_repeats(docs: DataFrame, width: int = WIDTH, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
     """`docs` with the repeated bytes cut from `text`; characters that a cut splits go with it.
 
-    All rows stay, also those left empty; null texts stay null.
+    All rows stay, also those left empty; null texts stay null. Columns may have any names.
     """
+    name, at, spans_at = free("_spans", docs.columns), docs.columns.index("text"), len(docs.columns)
+    schema = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in w.chunks(batches, "text"):
-            at, spans_at = rows.schema.get_field_index("text"), rows.schema.get_field_index("_spans")
+        for rows in w.chunks(batches, f"c{at}"):
             texts = []
             for text, spans in zip(rows.column(at), rows.column(spans_at)):
                 body = text.as_buffer().to_pybytes() if text.is_valid else None
                 texts.append(body if body is None else _kept(body, _merged(spans)).decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else rows.column(k) for k in range(rows.num_columns) if k != spans_at], [f for f in rows.schema.names if f != "_spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else rows.column(k) for k in range(spans_at)], rows.schema.names[:spans_at])
 
-    return _with_spans(docs, width, shard_contexts).select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    return numbered(_with_spans(docs, width, shard_contexts, name)).mapInArrow(run, schema).toDF(*docs.columns)

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import types as T
 
 from siftwork.llm import words as w
+from siftwork.llm.names import col, numbered
 
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -92,12 +94,16 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
 def with_counts(df, text: str, names: tuple[str, ...] = COUNTS, prefix: str = "", keep: list[str] | None = None):
     """The columns `keep` (all unless given) of `df` and the counts of its column `text`, one pass over the rows."""
     keep = df.columns if keep is None else keep
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep] + [f"`{prefix}{n}` bigint" for n in names])
+    read = list(dict.fromkeys([*keep, text]))
+    rows_of = numbered(df.select(*[col(c) for c in read]))
+    kinds = [f.dataType for f in rows_of.schema][: len(keep)] + [T.LongType()] * len(names)
+    schema = T.StructType([T.StructField(f"c{k}", kind) for k, kind in enumerate(kinds)])
+    text_at = read.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in w.chunks(batches, text):
-            found = counts(rows.column(text))
-            columns = [rows.column(c) for c in keep] + [pa.array(found[n], pa.int64()) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, *[f"{prefix}{n}" for n in names]])
+        for rows in w.chunks(batches, f"c{text_at}"):
+            found = counts(rows.column(text_at))
+            columns = [rows.column(k) for k in range(len(keep))] + [pa.array(found[n], pa.int64()) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return rows_of.mapInArrow(run, schema).toDF(*keep, *[f"{prefix}{n}" for n in names])

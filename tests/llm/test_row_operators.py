@@ -211,6 +211,37 @@ def test_classifier_without_labels_or_texts(spark, documents):
     assert one.bias > 0 and not one.rules
 
 
+def test_rules_and_scores_beside_any_column_names(documents):
+    names = ["_stat_n_words", "SCORE", "n_words", "failed", "a.b", "w`x"]
+    docs = documents((1, "one two " * 20), (2, None), (2, None)).select("doc_id", "text", *[F.concat(F.lit(f"own {k} "), "doc_id").alias(n) for k, n in enumerate(names)])
+    model = quality_classifier.RuleModel(-1.0, [(("n_words", True, 5.0),)], [2.0])
+    scored = quality_classifier.score(docs, model)
+    assert scored.columns == [c for c in docs.columns if c != "SCORE"] + ["score"]
+    assert sorted((r["doc_id"], r["_stat_n_words"], r["a.b"], round(r["score"], 3)) for r in scored.collect()) == [
+        (1, "own 0 1", "own 4 1", 0.731), (2, "own 0 2", "own 4 2", 0.269), (2, "own 0 2", "own 4 2", 0.269),
+    ]
+    kept = quality_classifier.accepted(docs, model, 0.5)
+    assert kept.columns == docs.columns and kept.collect() == docs.filter("doc_id = 1").collect()
+    assert quality_classifier.accepted(docs.limit(0), model, 0.5).count() == 0
+    ledger = quality_rules.ledger(docs, docs.columns)
+    assert ledger.columns == ["doc_id", "text", "_stat_n_words", "SCORE", "a.b", "w`x", *quality_rules.MEASURES, "failed"]
+    assert sorted((r["doc_id"], r["n_words"], r["w`x"]) for r in ledger.collect()) == [(1, 40, "own 5 1"), (2, 0, "own 5 2"), (2, 0, "own 5 2")]
+
+
+def test_pack_keeps_columns_of_any_names(spark):
+    rows = [(k, f"p{k}", k * 2, -k, 7) for k in range(1, 60)]
+    pieces = spark.createDataFrame(rows, "length long, _place string, _at long, `a.b` int, sequence_id int")
+    found = packing.pack(pieces, 60).collect()
+    assert sorted(tuple(r)[:4] for r in found) == [r[:4] for r in rows]
+    by_bin = defaultdict(list)
+    for r in found:
+        by_bin[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in by_bin.values():
+        ends = [0, *[a + n for a, n in sorted(places)]]
+        assert [a for a, _ in sorted(places)] == ends[:-1] and ends[-1] <= 60
+    assert packing.pack(pieces.limit(0), 60).count() == 0
+
+
 # --- URLs
 
 

@@ -84,3 +84,13 @@ def test_equal_rows_share_one_list_of_spans(documents):
     found = suffix_dedup._with_spans(df, 200, 1 << 14).selectExpr("size(_spans) AS n").distinct().collect()
     assert len(found) == 1 and found[0]["n"] <= len(text.encode()) // 100
     assert report(df) == brute([(k % 2 or None, text) for k in range(600)], 200)
+
+
+def test_cut_texts_keep_columns_of_any_names(spark):
+    passage = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, "a " + passage, "x", 1, None), (2, passage + " b", "y", 2, [3]), (None, None, "z", 3, []), (4, "", "z", 3, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, `a.b` int, _spans array<int>")
+    found = suffix_dedup.without_repeats(docs)
+    assert found.columns == docs.columns
+    assert sorted((r[2], r[3], r["_spans"] or [], r["text"]) for r in found.collect() if r["text"]) == [("x", 1, [], "a "), ("y", 2, [3], " b")]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in found.collect() if r["_id"] == "z") == [(0, None), (4, "")]
