@@ -29,7 +29,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches ACCEPT. Rows without doc_id and empty texts are scored like others."""
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model).filter(F.col("score") >= ACCEPT).select(*docs.columns)
+    return quality_classifier.accepted(docs, model, ACCEPT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
