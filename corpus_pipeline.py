@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without its repeated strings; n_chars follows the text."""
     cut = suffix_dedup.without_repeats(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", packed),
 ]
 
-#: SQL expresses neither the trained classifier nor the tokenizer; tests compare with brute force.
+#: SQL expresses neither the trained classifier nor the tokenizer; tests/llm/test_pipeline.py compares every stage with brute force.
 ORACLE_SQL: str | None = None
 
 
