@@ -187,11 +187,11 @@ def rename_by_table(files: DataFrame, names: DataFrame, keys: Sequence[str] = ("
     replaces the keys that it holds, longest first.
     """
     sound = names.filter(F.col("old").rlike(f"^(?:{NAMESPACE_KEY})\\z")).groupBy("repo", "old").agg(F.min("new").alias("new"))
-    held = files.select(*keys, F.explode(_prefixes(F.col(text))).alias("old")).distinct().join(sound, ["repo", "old"])
+    held = files.select(*keys, F.explode(_prefixes(F.col(text))).alias("old")).distinct().join(sound.hint("merge"), ["repo", "old"])
     # No more entries than the text has names.
     own = held.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("_names"))
     none = F.create_map().cast("map<string,string>")
-    joined = files.join(own, list(keys), "left").withColumn("_names", F.coalesce("_names", none))
+    joined = files.join(own.hint("merge"), list(keys), "left").withColumn("_names", F.coalesce("_names", none))
     return joined.withColumn("renamed", rename_namespaces(F.col(text), F.col("_names"))).drop("_names")
 
 
