@@ -25,6 +25,16 @@ def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return table(spark, folder, name)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Into how many tasks work is dealt whose input is a split or two."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
+def dealt(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of short rows, each of which becomes whole files: a few MB are one split, so the rows are dealt out first."""
+    return table(spark, folder, name).repartition(tasks(spark))
+
+
 def _t(*parts: Column | str) -> Column:
     """Text of literals (str) and columns, numbers in plain form."""
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -152,7 +162,7 @@ def source_files(spark: SparkSession, folder: str) -> DataFrame:
     )
     script = _t("export async function run", k, "() {}\n  class W", k, " {}\nconst f = () => 1;\nexport default function\n  last", k, "() {}\n")
     kind = k % 3
-    return texts(spark, folder, "part").select(
+    return dealt(spark, folder, "part").select(
         F.col("p_brand").alias("repo"),
         _t(_pick(k % 10, "src", "lib", "src", "node_modules", "src", "lib", "src", "lib", "src", ".cache"), "/m", k, _pick(kind, ".py", ".ts", ".md")).alias("path"),
         F.when(kind == 0, python).when(kind == 1, script).otherwise(_t("# ", F.col("p_name"), "\n")).alias("content"),
@@ -208,7 +218,7 @@ def key_files(spark: SparkSession, folder: str) -> DataFrame:
         _t("-----BEGIN PUBLIC KEY-----\n", body, "\n-----END PUBLIC KEY-----\n"),
     )
     content = F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int"))
-    return texts(spark, folder, "part").select(_t("repo-", k).alias("repo"), _t("keys/", k, ".pem").alias("path"), content.alias("content"))
+    return dealt(spark, folder, "part").select(_t("repo-", k).alias("repo"), _t("keys/", k, ".pem").alias("path"), content.alias("content"))
 
 
 def manifests(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,7 +236,7 @@ def manifests(spark: SparkSession, folder: str) -> DataFrame:
         entry(F.lit("nested/package.json"), package),
         entry(F.lit("readme.md"), F.lit("text")),
     )
-    return texts(spark, folder, "part").select(_t("repo-", k).alias("repo"), F.explode(rows).alias("_f")).select("repo", "_f.*")
+    return dealt(spark, folder, "part").select(_t("repo-", k).alias("repo"), F.explode(rows).alias("_f")).select("repo", "_f.*")
 
 
 def diffs(spark: SparkSession, folder: str) -> DataFrame:
@@ -364,7 +374,7 @@ def run_sources(spark: SparkSession, folder: str) -> DataFrame:
     line = lambda i: F.when((k + i + run) % 3 != 0, _t("using N", i, ".P", k, ";\r\n")).otherwise(_t("// note ", i, "\r\n"))
     content = F.concat(F.when(k % 2 == 1, "\ufeff").otherwise(""), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), line), ""))
     runs = F.sequence(F.lit(0).cast("bigint"), F.lit(PRUNE_RUNS - 1).cast("bigint"))
-    copies = texts(spark, folder, "part").select("p_partkey", F.explode(runs).alias("run_id"))
+    copies = dealt(spark, folder, "part").select("p_partkey", F.explode(runs).alias("run_id"))
     return copies.select("run_id", _t("src/f", k, ".cs").alias("path"), F.encode(content, "UTF-8").alias("content"))
 
 
@@ -374,7 +384,7 @@ def csharp_files(spark: SparkSession, folder: str) -> DataFrame:
     line = lambda i: F.when((k + i) % 3 != 0, _t("using N", i, ".P", k, ";\r\n")).otherwise(_t("// note ", i, "\r\n"))
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), line), "")
     content = F.concat(F.when(k % 2 == 1, "\ufeff").otherwise(""), body)
-    return texts(spark, folder, "part").select(
+    return dealt(spark, folder, "part").select(
         F.lit("main").alias("repo"), _t("src/f", k, ".cs").alias("path"), F.encode(content, "UTF-8").alias("content")
     )
 
@@ -395,7 +405,7 @@ def rename_files(spark: SparkSession, folder: str) -> DataFrame:
     )
     wide = k % 25 == 3
     content = F.when(wide, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-8"))).otherwise(F.encode(text, "UTF-8"))
-    return texts(spark, folder, "part").select(
+    return dealt(spark, folder, "part").select(
         F.lit("main").alias("repo"), _t("src/Old/f", k, _pick(k % 5, ".cs", ".cs", ".csproj", ".json", ".cs")).alias("path"), content.alias("content")
     )
 
