@@ -292,9 +292,14 @@ def package_json_dependencies(content: Column) -> Column:
     schema = "array<struct<dependencies: map<string,string>, devDependencies: map<string,string>>>"
     parsed = F.from_json(F.concat(F.lit("["), content, F.lit("]")), schema)
     keys = F.try_element_at(F.from_json(F.concat(F.lit("["), content, F.lit("]")), "array<map<string,string>>"), F.lit(1))
-    first = F.try_element_at(parsed, F.lit(1))
-    # a section that is there must be a map of texts
-    unread = [F.coalesce(F.array_contains(F.map_keys(keys), n), F.lit(False)) & first[n].isNull() for n in ("dependencies", "devDependencies")]
+
+    def usable(read: Column) -> Column:
+        first = F.try_element_at(read["parsed"], F.lit(1))
+        # a section that is there must be a map of texts
+        unread = [
+            F.coalesce(F.array_contains(F.map_keys(read["keys"]), n), F.lit(False)) & first[n].isNull() for n in ("dependencies", "devDependencies")
+        ]
+        return F.when((F.size(read["parsed"]) == 1) & read["keys"].isNotNull() & ~reduce(or_, unread), first)
 
     def section(root: Column, name: str) -> Column:
         entries = F.coalesce(F.map_entries(root[name]), F.array().cast("array<struct<key string, value string>>"))
@@ -305,7 +310,7 @@ def package_json_dependencies(content: Column) -> Column:
         return F.transform(kept, lambda e: _dependency(F.lit(name), e["key"], e["value"]))
 
     return tx.bind(
-        F.when((F.size(parsed) == 1) & keys.isNotNull() & ~reduce(or_, unread), first),
+        tx.bind(F.struct(parsed.alias("parsed"), keys.alias("keys")), usable),
         lambda root: F.when(
             root.isNotNull(),
             F.concat(section(root, "dependencies"), section(root, "devDependencies")),
@@ -346,7 +351,9 @@ def _manifests(files: DataFrame) -> DataFrame:
 
 
 def _dependency_rows(manifests: DataFrame) -> DataFrame:
-    rows = manifests.select("repo", "manifest", F.posexplode("deps").alias("_pos", "_dep"))
+    # An expression, not a column: over a column Spark infers a filter that parses every manifest again.
+    listed = F.coalesce("deps", F.array().cast(_DEPENDENCIES))
+    rows = manifests.select("repo", "manifest", F.posexplode(listed).alias("_pos", "_dep"))
     return rows.select("repo", "manifest", (F.col("_pos") + 1).cast("bigint").alias("pos"), "_dep.*")
 
 
