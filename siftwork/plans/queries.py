@@ -487,9 +487,10 @@ def resolve_connection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def last_good_config_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The orders as files that arrive one after the other: a micro-batch each, upserts by customer."""
-    arriving = materialize(v.table(spark, folder, "orders").repartition(3), "arriving-orders")
-    stream = spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(v.folder_of(arriving))
+    """The orders as files that arrive one after the other: three micro-batches, each of a file per task, upserts by customer."""
+    files = v.tasks(spark)
+    arriving = materialize(v.table(spark, folder, "orders").repartition(3 * files), "arriving-orders")
+    stream = spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", files).parquet(v.folder_of(arriving))
     ledger = new_location(spark, "last-good-config")
     keep_last_good(v.config_versions(stream), ledger, new_location(spark, "last-good-state")).awaitTermination()
     return newest_config(spark, ledger)

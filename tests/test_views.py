@@ -22,3 +22,16 @@ def folder(spark, tmp_path):
 def test_files_of_one_split_are_made_by_all_tasks(spark, folder, view):
     counts = view(spark, folder).groupBy(F.spark_partition_id()).count().collect()
     assert len(counts) == v.tasks(spark)
+
+
+def test_every_micro_batch_has_files_for_all_tasks(spark, folder, monkeypatch):
+    write, newest = queries.materialize, queries.newest_config
+    places = []
+    monkeypatch.setattr(queries, "materialize", lambda df, name: places.append(write(df, name)) or places[-1])
+    ledgers = []
+    monkeypatch.setattr(queries, "newest_config", lambda spark, ledger: ledgers.append(ledger) or newest(spark, ledger))
+    found = queries.last_good_config_stream(spark, folder)
+    assert sorted(found.collect()) == sorted(queries.last_good_config_table(spark, folder).collect())
+    assert len(places[0].inputFiles()) == 3 * v.tasks(spark)
+    assert sorted(r["batch_id"] for r in spark.read.parquet(ledgers[0]).select("batch_id").distinct().collect()) == [0, 1, 2]
+
