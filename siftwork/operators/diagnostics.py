@@ -3,6 +3,9 @@
 A run is one build of one tree. Every table names it in `run_id`: logs (run_id, file_name, body),
 sources (run_id, path, content BINARY), build lines and build runs. Runs never mix, also where they
 hold the same path or project.
+
+Joins with the sources carry a merge hint: contents are larger than the scan they are estimated by, and a
+broadcast of them would not fit the driver.
 """
 
 from __future__ import annotations
@@ -149,13 +152,13 @@ def keep_directive_lines(flagged: DataFrame, files: DataFrame) -> DataFrame:
     more than it has lines, meet its content once; other files are not split.
     """
     rest = [c for c in flagged.columns if c not in KEYS]
-    inside = flagged.join(line_counts(files), KEYS).filter((F.col("line_no") >= 1) & (F.col("line_no") <= F.col("n_lines")))
+    inside = flagged.join(line_counts(files).hint("merge"), KEYS).filter((F.col("line_no") >= 1) & (F.col("line_no") <= F.col("n_lines")))
     wanted = inside.groupBy(*KEYS).agg(F.collect_list(F.struct(*rest)).alias("_wanted"))
 
     def texts(lines: Column) -> Column:
         return F.transform("_wanted", lambda x: F.struct(x.alias("at"), F.get(lines, (x["line_no"] - 1).cast("int")).alias("line")))
 
-    found = files.join(wanted, KEYS).select(*KEYS, F.explode(tx.bind(_lines_of(F.col("content")), texts)).alias("_f"))
+    found = files.hint("merge").join(wanted, KEYS).select(*KEYS, F.explode(tx.bind(_lines_of(F.col("content")), texts)).alias("_f"))
     directives = found.filter(is_directive(F.col("_f.line")))
     return directives.select(*KEYS, "_f.at.*", F.regexp_replace("_f.line", f"^{BYTES_BOM}", "").alias("line"))
 
