@@ -126,3 +126,10 @@ def test_a_log_is_sound_by_the_one_parse_as_by_the_plain_test(spark):
     logs = spark.createDataFrame([("b", f"P_net8.0_{k}.sarif", b) for k, b in enumerate(bodies)], LOGS)
     unsound = {r["file_name"] for r in dg.read_logs(logs).filter("not sound").collect()}
     assert unsound == {r["file_name"] for r in dg.unreadable_logs(logs).collect()}
+
+
+def test_files_that_repeat_a_path_lose_their_own_lines(spark):
+    files = sources(spark, x=b"using A;\nusing B;\ncode\n").union(sources(spark, x=b"using A;\n"))
+    rows = dg.remove_lines(files, flagged(spark, ("x.cs", 1), ("x.cs", 2), ("x.cs", 3), ("x.cs", 9))).collect()
+    found = sorted((bytes(r["content"]), r["removed"], r["skipped"], r["outside"]) for r in rows)
+    assert found == [(b"", [1], [], 3), (b"code\n", [1, 2], [3], 1)]
