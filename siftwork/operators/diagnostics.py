@@ -220,7 +220,7 @@ def prune_report(
     logs = materialize(read_logs(sarif, rule), "logs")
     failed = build_failed(build_lines, build_runs, rule).filter("failed").select("run_id")
     incomplete = failed.unionByName(logs.filter("not sound").select("run_id")).distinct()
-    spans = _spans(logs, rule).join(incomplete, "run_id", "left_anti").join(line_counts(sources), KEYS)
+    spans = _spans(logs, rule).join(incomplete, "run_id", "left_anti").join(line_counts(sources).hint("merge"), KEYS)
     clipped = spans.withColumn("end", F.least("end", "n_lines")).filter("end >= start")
     status = select_removable(span_lines(clipped), logs.select("run_id", "project", "tfm").distinct())
     return keep_directive_lines(status, sources).groupBy(*KEYS, "status").agg(F.count("*").alias("lines"))

@@ -128,6 +128,19 @@ def test_a_log_is_sound_by_the_one_parse_as_by_the_plain_test(spark):
     assert unsound == {r["file_name"] for r in dg.unreadable_logs(logs).collect()}
 
 
+def test_sources_are_joined_without_a_broadcast(spark):
+    """Contents grow with the input, while their size is estimated by the small scan that they are rendered from."""
+    files = sources(spark, x=b"using A;\nusing B;\n")
+    lines = flagged(spark, ("x.cs", 2))
+    log = sarif(spark, A_net8__0_1=[result("x.cs", 1)])
+    none = spark.createDataFrame([], "run_id string, line_no bigint, line string")
+    report = dg.prune_report(log, files, none, spark.createDataFrame([("b", 0)], RUNS))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (dg.keep_directive_lines(lines, files), dg.remove_lines(files, lines), report)]
+    assert "Broadcast" not in plans[0] + plans[1]
+    assert [plan.count("SortMergeJoin") >= n for plan, n in zip(plans, (2, 2, 3))] == [True] * 3
+    assert [(r["path"], r["status"], r["lines"]) for r in report.collect()] == [("x.cs", "removable", 1)]
+
+
 def test_files_that_repeat_a_path_lose_their_own_lines(spark):
     files = sources(spark, x=b"using A;\nusing B;\ncode\n").union(sources(spark, x=b"using A;\n"))
     rows = dg.remove_lines(files, flagged(spark, ("x.cs", 1), ("x.cs", 2), ("x.cs", 3), ("x.cs", 9))).collect()
