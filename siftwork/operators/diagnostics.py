@@ -125,7 +125,7 @@ def select_removable(diagnostics: DataFrame, contexts: DataFrame) -> DataFrame:
     every framework it compiled, else partial."""
     compiled = contexts.groupBy("run_id", "project").agg(F.count("*").alias("compiled"))
     flagged = diagnostics.groupBy(*KEYS, "line_no", "project").agg(F.count("*").alias("flagged"))
-    covered = flagged.join(compiled, ["run_id", "project"]).groupBy(*KEYS, "line_no").agg(
+    covered = flagged.join(compiled.hint("merge"), ["run_id", "project"]).groupBy(*KEYS, "line_no").agg(
         F.bool_and(F.col("flagged") == F.col("compiled")).alias("_all")
     )
     return covered.select(*KEYS, "line_no", F.when(F.col("_all"), "removable").otherwise("partial").alias("status"))
