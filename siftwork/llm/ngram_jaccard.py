@@ -11,6 +11,9 @@ allow is decided by binary probes of the remaining shingles in the partner's sor
   speed alone, never the result.
 * Of a shingle's 64-bit hash 48 bits are kept where pairs are verified, which saves a quarter of
   what the sets take; two shingles of a pair agree by accident once in 10^9 pairs of 500 words.
+* Before whole sets are shuffled, pairs that cannot reach the overlap go by a parity bit or two per
+  shingle: each shingle flips one bit of its set, so bits that differ between two sets never
+  outnumber the shingles that only one of them holds. No similar pair is lost.
 * Equal sets are one vertex from the start, so copies cost one row each. A vertex is named by a row
   number of this run, never by a doc_id: ids may repeat or be null.
 * Lists are not expanded into all pairs: documents meet a few hubs of their lists first, join
@@ -52,6 +55,23 @@ def _packed(hashes: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(short))])
 
 
+def _parities(hashes: np.ndarray, owner: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Per row a power of two of bits, 64 and its `n` hashes at least; each hash flips the bit of its place."""
+    sizes = 1 << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    place = ((hashes >> np.uint64(16)).astype(np.int64) & (sizes[owner] - 1)) + ends[owner]
+    bits = np.packbits(np.bincount(place, minlength=ends[-1]).astype(np.uint8) & 1, bitorder="little")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends // 8).astype(np.int32)), pa.py_buffer(bits)])
+
+
+def _differing(x: bytes, y: bytes) -> int:
+    """The number of places whose parity differs, the longer row of bits folded to the shorter."""
+    x, y = sorted((np.frombuffer(bits, np.uint64) for bits in (x, y)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _unpacked(packed: bytes) -> np.ndarray:
     out = np.zeros((len(packed) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
@@ -121,7 +141,7 @@ def _frequent(docs: DataFrame, width: int, bound: int) -> tuple[np.ndarray, np.n
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, bound: int) -> DataFrame:
-    """(doc_id, k1, k2, n, h1, h2, tokens): size and fingerprint of the set, and its short lists, rarest first."""
+    """(doc_id, k1, k2, n, h1, h2, bits, tokens): size, fingerprint and parities of the set, and its short lists, rarest first."""
     known = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width, bound))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,6 +154,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, bound: int) -> DataFram
             for salt in (0, 0x5851F42D4C957F2D):
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.mix(hashes ^ np.uint64(salt)), dtype=np.uint64)))
                 fingerprints.append(pa.array(_signed(sums[first + n] - sums[first])))
+            bits = _parities(hashes, owner, n)
             level = np.zeros(len(hashes), np.int64)
             if len(tokens):
                 short = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -145,18 +166,19 @@ def _prefixes(docs: DataFrame, width: int, percent: int, bound: int) -> DataFram
             short = order[place < (n - skipped)[owner]]
             lists = w.ragged(_signed(hashes[short]), owner[short], len(rows), pa.int64())
             own = [rows.column(k) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), *fingerprints, lists], ["doc_id", "k1", "k2", "n", "h1", "h2", "tokens"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), *fingerprints, bits, lists], ["doc_id", "k1", "k2", "n", "h1", "h2", "bits", "tokens"])
 
     read = docs.select(F.col("doc_id").cast("long"), *row_keys(), "text")
-    return read.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, h1 long, h2 long, tokens array<long>")
+    return read.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, h1 long, h2 long, bits binary, tokens array<long>")
 
 
 @dataclass(frozen=True)
 class _Texts:
-    """Where the texts of the vertices are: the documents, and `heads(doc, k1, k2)`, a row's key per vertex."""
+    """Where the texts of the vertices are: the documents, and `heads(doc, k1, k2)`, a row's key per vertex; `parities(doc, n, bits)`."""
 
     docs: DataFrame
     heads: DataFrame
+    parities: DataFrame
     repeat: bool  # whether several rows can have one key
 
 
@@ -178,8 +200,25 @@ def _sets(texts: _Texts, ids: DataFrame, width: int) -> DataFrame:
     return found.join(wanted, ["k1", "k2"]).select("doc", "tokens")
 
 
+def _possible(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """The rows of `pairs(a, b)` whose parities allow the required overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            both = np.add(rows.column(2).to_numpy(), rows.column(3).to_numpy())
+            apart = np.fromiter((_differing(x.as_py(), y.as_py()) for x, y in zip(rows.column(4), rows.column(5))), np.int64, len(rows))
+            kept = rows.filter(pa.array(apart * (100 + percent) <= (100 - percent) * both))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+
+    x, y = (parities.select(F.col("doc").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")) for end in ("a", "b"))
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _similar(pairs: DataFrame, texts: _Texts, width: int, percent: int) -> DataFrame:
     """The rows of `pairs(a, b)` that reach the required overlap, found by binary probes."""
+    with batches_of(pairs.sparkSession, 2048):
+        pairs = materialize(_possible(pairs, texts.parities, percent), "possible")
     ids = materialize(pairs.select(F.col("a").alias("doc")).distinct().union(pairs.select("b").distinct()).distinct(), "ids")
     with batches_of(pairs.sparkSession, 2048):
         sets = materialize(_sets(texts, ids, width), "sets")
@@ -203,7 +242,7 @@ def _similar(pairs: DataFrame, texts: _Texts, width: int, percent: int) -> DataF
     both = both.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
     with batches_of(pairs.sparkSession, 256):
         found = materialize(both.mapInArrow(probe, "a long, b long").distinct(), "links")
-    discard(sets)
+    discard(sets, pairs)
     return found
 
 
@@ -228,7 +267,7 @@ def _groups(texts: _Texts, lists: DataFrame, width: int, percent: int) -> DataFr
         named = materialize(named.filter(F.col("turn") >= done), "named")
         mixed = named.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
         lists_left = materialize(named.join(mixed.select("token", "m"), "token"), "lists")
-        discard(named)
+        discard(named, lists)
         longest = lists_left.agg(F.max("m")).first()[0]
         if longest is None:
             return groups
@@ -262,7 +301,10 @@ def _judged(docs: DataFrame, width: int, percent: int, frequent: int) -> tuple[D
     heads = classes.select("own.doc", "own.k1", "own.k2")
     postings = worded.join(heads.select("doc"), "doc", "left_semi").select("doc", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "doc", "n", "pos")
     known = materialize(_shared(postings), "lists")
-    groups = _groups(_Texts(docs, heads, not repeated.isEmpty()), known, width, percent)
+    # The short lists, most of what was written, are not needed any more.
+    prefixes, rows = rows, materialize(rows.drop("tokens"), "rows")
+    discard(prefixes)
+    groups = _groups(_Texts(docs, heads, rows.select("doc", "n", "bits"), not repeated.isEmpty()), known, width, percent)
     linked = materialize(groups.join(classes.select(F.col("own.doc").alias("node"), "own"), "node"), "linked")
     firsts = linked.groupBy("component").agg(F.min("own").alias("first"))
     moved = linked.join(firsts, "component").select(F.col("node").alias("doc"), "first")

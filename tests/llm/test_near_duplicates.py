@@ -88,6 +88,42 @@ def test_a_long_text_and_repeated_rows(documents):
     assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (2, 1), (2, 1), (3, 3)]
 
 
+def test_far_pairs_go_before_sets_are_read(documents, monkeypatch):
+    """Texts that share a passage meet, but only those that can be similar are read again; no list outlives its use."""
+    rng = random.Random(3)
+    texts = [" ".join(f"p{k // 2}-{i}" for i in range(24)) + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(80)) for k in range(40)]
+    rows, written = list(enumerate([*texts, texts[0] + " end"])), {}
+    real = ngram_jaccard.materialize
+    monkeypatch.setattr(ngram_jaccard, "materialize", lambda df, name: written.setdefault(name, []).append(real(df, name)) or written[name][-1])
+    dropped = []
+    discard = ngram_jaccard.discard
+    counts = {}
+
+    def counted(*tables):
+        for name, made in written.items():
+            counts.update({(name, k): table.count() for k, table in enumerate(made) if name in ("ids", "pairs") and any(table is x for x in tables)})
+            dropped.extend(name for table in made if any(table is x for x in tables))
+        discard(*tables)
+
+    monkeypatch.setattr(ngram_jaccard, "discard", counted)
+    assert groups(documents(*rows)) == brute_groups(rows)
+    assert sum(n for (name, _), n in counts.items() if name == "pairs") > 10
+    assert sum(n for (name, _), n in counts.items() if name == "ids") == 2
+    assert "prefixes" in dropped and "tokens" not in written["rows"][0].columns
+
+
+@pytest.mark.parametrize("sizes", [(5, 6), (200, 250), (60, 70), (3000, 4000), (500, 500)])
+def test_parities_never_exceed_the_difference(sizes):
+    rng = np.random.default_rng(sum(sizes))
+    for shared in (0, min(sizes) // 2, min(sizes)):
+        common = rng.integers(0, 1 << 63, shared, np.uint64)
+        sets = [np.unique(np.concatenate((common, rng.integers(0, 1 << 63, n - shared, np.uint64)))) for n in sizes]
+        n = np.array([len(x) for x in sets])
+        x, y = (b.as_py() for b in ngram_jaccard._parities(np.concatenate(sets), np.repeat([0, 1], n), n))
+        apart = len(np.setxor1d(*sets))
+        assert ngram_jaccard._differing(x, y) <= apart and (ngram_jaccard._differing(x, y) * 7 > n.sum()) >= (shared == 0)
+
+
 def brute_rows(rows):
     """Per row: count of shingles, the component's smallest id, and whether the row leads its component."""
     sets = [shingle_set(r[1]) for r in rows]
