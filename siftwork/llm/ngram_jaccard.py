@@ -285,6 +285,22 @@ def _groups(texts: _Texts, lists: DataFrame, width: int, percent: int) -> DataFr
         done = until
 
 
+def _lists_of(worded: DataFrame, heads: DataFrame) -> DataFrame:
+    """(doc, n, tokens) of the rows of `worded` that are in `heads(doc)`; only rows that may be copies are shuffled for it."""
+    copies = materialize(worded.select("doc").join(heads.select("doc"), "doc", "left_anti").select(F.xxhash64("doc").alias("key")), "copies")
+    marks = Bitmap(copies, "key", copies.count())
+    rows = worded.select("doc", "n", "tokens", F.xxhash64("doc").alias("key"))
+
+    def marked(as_copy: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(marks.holds(batch.column(3).to_numpy()) == as_copy)).select(["doc", "n", "tokens"])
+
+        return rows.mapInArrow(run, "doc long, n long, tokens array<long>")
+
+    return marked(False).union(marked(True).join(heads.select("doc"), "doc", "left_semi"))
+
+
 def _judged(docs: DataFrame, width: int, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, k1, k2, n, first) of every row, and `repeated(k1, k2)`, the keys of several rows with words.
 
@@ -299,8 +315,9 @@ def _judged(docs: DataFrame, width: int, percent: int, frequent: int) -> tuple[D
     leader = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "k1", "k2", "doc")
     classes = materialize(worded.groupBy(*key).agg(F.min(leader).alias("own")), "classes")
     heads = classes.select("own.doc", "own.k1", "own.k2")
-    postings = worded.join(heads.select("doc"), "doc", "left_semi").select("doc", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "doc", "n", "pos")
-    known = materialize(_shared(postings), "lists")
+    postings = _lists_of(worded, heads).select("doc", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "doc", "n", "pos")
+    with batches_of(docs.sparkSession, 2048):
+        known = materialize(_shared(postings), "lists")
     # The short lists, most of what was written, are not needed any more.
     prefixes, rows = rows, materialize(rows.drop("tokens"), "rows")
     discard(prefixes)

@@ -112,6 +112,13 @@ def test_far_pairs_go_before_sets_are_read(documents, monkeypatch):
     assert "prefixes" in dropped and "tokens" not in written["rows"][0].columns
 
 
+def test_lists_of_copies_go_once(spark):
+    worded = spark.createDataFrame([(k, 2, [k, k + 1]) for k in range(300)], "doc long, n long, tokens array<long>")
+    for step in (1, 7, 301):
+        heads = spark.range(0, 300, step).withColumnRenamed("id", "doc")
+        assert sorted(r["tokens"][0] for r in ngram_jaccard._lists_of(worded, heads).collect()) == list(range(0, 300, step))
+
+
 @pytest.mark.parametrize("sizes", [(5, 6), (200, 250), (60, 70), (3000, 4000), (500, 500)])
 def test_parities_never_exceed_the_difference(sizes):
     rng = np.random.default_rng(sum(sizes))
