@@ -82,18 +82,49 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def _counted(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens of all arrays, sorted, and their counts. Empties `held` and sorts in place, so that little is held twice."""
+    tokens = np.concatenate(held)
+    held.clear()
+    tokens.sort()
+    fresh = np.ones(len(tokens), bool)
+    np.not_equal(tokens[1:], tokens[:-1], out=fresh[1:])
+    edges = np.empty(np.count_nonzero(fresh) + 1, np.uint32)
+    edges[:-1], edges[-1] = np.flatnonzero(fresh), len(tokens)
+    return tokens[fresh], np.diff(edges)
+
+
+def _totals(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct upper halves of all arrays, sorted, and the sums of their lower halves. Empties `held` and sorts in place."""
+    both = np.concatenate(held)
+    held.clear()
+    both.sort()
+    tokens = (both >> np.uint64(32)).astype(np.uint32)
+    both &= np.uint64(0xFFFFFFFF)
+    fresh = np.ones(len(tokens), bool)
+    np.not_equal(tokens[1:], tokens[:-1], out=fresh[1:])
+    first = np.flatnonzero(fresh)
+    return tokens[first], np.add.reduceat(both, first) if len(first) else both
+
+
+def _range_starts(n: int) -> np.ndarray:
+    """Where each of `n` equal ranges of 32-bit tokens begins."""
+    return ((np.arange(n, dtype=np.uint64) << np.uint64(32)) // np.uint64(n)).astype(np.uint32)
+
+
 def _counts(docs: DataFrame, width: int) -> DataFrame:
     """(token, level): upper half of a shingle's hash and the binary logarithm of its document count."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = _range_starts(n)
 
     def pre_aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            part = (tokens % n).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            lists = [w.ragged(x[order].view(np.int32), part[order], n, pa.int32()) for x in (tokens, counts.astype(np.uint32))]
+            tokens, counts = _counted(held)
+            # A part is a range of tokens, so that sorted tokens need no other order to be dealt out.
+            bounds = pa.array([*np.searchsorted(tokens, starts), len(tokens)], pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x.view(np.int32))) for x in (tokens, counts)]
             return pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), *lists], ["part", "tokens", "counts"])
 
         for rows in w.chunks(batches, "text"):
@@ -101,24 +132,20 @@ def _counts(docs: DataFrame, width: int) -> DataFrame:
             size += len(held[-1])
             if size > 1 << 21:
                 yield flush()
-                held, size = [], 0
+                size = 0
         if held:
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         for rows in batches:
             tokens, counts = (rows.column(k).flatten().to_numpy().view(np.uint32) for k in (1, 2))
-            held.append((tokens, counts))
+            held.append((tokens.astype(np.uint64) << np.uint64(32)) | counts)
         if held:
-            tokens, counts = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(tokens, kind="stable")
-            tokens, counts = tokens[order], counts[order].astype(np.int64)
-            first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, int)
-            total = np.add.reduceat(counts, first) if len(first) else counts
+            tokens, total = _totals(held)
             often = total >= LEAST_COUNT
             level = np.log2(total[often]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[first][often].view(np.int32)), pa.array(level)], ["token", "level"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int32)), pa.array(level)], ["token", "level"])
 
     parts = docs.select("text").mapInArrow(pre_aggregate, "part int, tokens array<int>, counts array<int>")
     return parts.repartition(n, "part").mapInArrow(merge, "token int, level int")

@@ -2,12 +2,14 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from siftwork.llm import embedding_dedup, ngram_jaccard
+from siftwork.llm.batches import batches_of
 from siftwork.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,6 +114,38 @@ def test_far_pairs_go_before_sets_are_read(documents, monkeypatch):
     assert "prefixes" in dropped and "tokens" not in written["rows"][0].columns
 
 
+def test_shingles_are_counted_in_little_room():
+    rng = np.random.default_rng(3)
+    pieces = [rng.integers(0, 1 << 32, 50_000, dtype=np.uint64).astype(np.uint32) for _ in range(20)]
+    pieces += [pieces[0], np.zeros(7, np.uint32), np.full(5, (1 << 32) - 1, np.uint32), np.zeros(0, np.uint32)]
+    tokens, counts = np.unique(np.concatenate(pieces), return_counts=True)
+    size, held = sum(x.nbytes for x in pieces), [x.copy() for x in pieces]
+    pairs = [(x.astype(np.uint64) << np.uint64(32)) | np.uint64(3) for x in pieces]
+    for count, parts, times, most in ((ngram_jaccard._counted, held, 1, 5), (ngram_jaccard._totals, pairs, 3, 9)):
+        tracemalloc.start()
+        found = count(parts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.array_equal(found[0], tokens) and np.array_equal(found[1], times * counts) and not parts
+        assert peak < most * size  # np.unique and a stable argsort took 14 and 10 times as much
+    for n in (1, 12, 211):
+        starts = ngram_jaccard._range_starts(n)
+        dealt = np.diff([*np.searchsorted(tokens, starts), len(tokens)])
+        assert len(starts) == n and dealt.sum() == len(tokens) and dealt.max() < 1.2 * len(tokens) / n
+    assert [len(x) for x in ngram_jaccard._counted([np.zeros(0, np.uint32)])] == [0, 0]
+
+
+def test_batches_are_short_only_inside(spark):
+    keys = ["spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"]
+    before = [spark.conf.get(key) for key in keys]
+    with pytest.raises(KeyError), batches_of(spark, 2048):
+        assert [spark.conf.get(key) for key in keys] == ["512", "4m", "2048"]
+        with batches_of(spark, 100):
+            assert [spark.conf.get(key) for key in keys] == ["512", "4m", "100"]
+        raise KeyError
+    assert [spark.conf.get(key) for key in keys] == before
+
+
 def test_lists_of_copies_go_once(spark):
     worded = spark.createDataFrame([(k, 2, [k, k + 1]) for k in range(300)], "doc long, n long, tokens array<long>")
     for step in (1, 7, 301):
